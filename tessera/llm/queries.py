@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, quality_rules, sharding
-from tessera.llm.common import table
+from tessera.llm import mixing, ngram_join, quality_rules, sharding, urls, warc
+from tessera.llm.common import shared_dir, table
+
+
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), folder, min_payload=0)
+    return warc.read(spark, folder).drop("url", "payload")
 
 
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +24,17 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pareto_mix, op4_feistel_shards, op10_risk_controlled_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc_round_trip, op2_pareto_mix, op4_feistel_shards, op7_url_filter, op8_ngram_jaccard_join, op10_risk_controlled_rules)}
 ORACLE_SQL: dict[str, str] = {}
