@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, ngram_join, quality_rules, sharding, urls, warc
+from tessera.llm import langid, mixing, ngram_join, quality_gam, quality_rules, sharding, urls, warc
 from tessera.llm.common import shared_dir, table
 
 
@@ -20,10 +20,18 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op6_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -36,5 +44,5 @@ def op10_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_round_trip, op2_pareto_mix, op4_feistel_shards, op7_url_filter, op8_ngram_jaccard_join, op10_risk_controlled_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc_round_trip, op2_pareto_mix, op3_ecoc_language, op4_feistel_shards, op6_additive_quality, op7_url_filter, op8_ngram_jaccard_join, op10_risk_controlled_rules)}
 ORACLE_SQL: dict[str, str] = {}
