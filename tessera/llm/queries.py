@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, mixing, ngram_join, quality_gam, quality_rules, sharding, urls, warc
+from tessera.llm import decontaminate, langid, mixing, ngram_join, quality_gam, quality_rules, sharding, urls, warc
 from tessera.llm.common import shared_dir, table
 
 
@@ -28,6 +28,10 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,5 +48,5 @@ def op10_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_round_trip, op2_pareto_mix, op3_ecoc_language, op4_feistel_shards, op6_additive_quality, op7_url_filter, op8_ngram_jaccard_join, op10_risk_controlled_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc_round_trip, op2_pareto_mix, op3_ecoc_language, op4_feistel_shards, op5_latent_decontamination, op6_additive_quality, op7_url_filter, op8_ngram_jaccard_join, op10_risk_controlled_rules)}
 ORACLE_SQL: dict[str, str] = {}
