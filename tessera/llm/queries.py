@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, langid, mixing, ngram_join, quality_gam, quality_rules, sharding, urls, warc
+from tessera.llm import decontaminate, extraction, langid, mixing, ngram_join, quality_gam, quality_rules, sharding, urls, warc
 from tessera.llm.common import shared_dir, table
 
 
@@ -44,9 +44,13 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op9_recurrent_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_round_trip, op2_pareto_mix, op3_ecoc_language, op4_feistel_shards, op5_latent_decontamination, op6_additive_quality, op7_url_filter, op8_ngram_jaccard_join, op10_risk_controlled_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc_round_trip, op2_pareto_mix, op3_ecoc_language, op4_feistel_shards, op5_latent_decontamination, op6_additive_quality, op7_url_filter, op8_ngram_jaccard_join, op9_recurrent_extraction, op10_risk_controlled_rules)}
 ORACLE_SQL: dict[str, str] = {}
