@@ -170,3 +170,23 @@ def identify(docs: DataFrame, held_out: Column | None = None, most: int = MOST_T
     kind = slim.schema["k"].dataType.simpleString()
     out = slim.mapInArrow(lambda it: _predict(it, model), f"k {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")
     return out.withColumnRenamed("k", key)
+
+
+def known(docs: DataFrame, held_out: Column | None = None, most: int = MOST_TRAINED, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language can be told (not ``und``): a filter without a shuffle. A text
+    in two languages is ambiguous but stays. If nothing can be learned, texts with a letter stay."""
+    at = docs.columns.index(text)
+    model = train(docs, crc(F.col(key)) % 4 == 2 if held_out is None else held_out, most, key, text, lang)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at)
+            if model is None:
+                keep = [has_letter(t) for t in texts.to_pylist()]
+            else:
+                none = pa.array([None] * batch.num_rows, pa.bool_())
+                judged = next(_predict(iter([pa.RecordBatch.from_arrays([none, none, texts], names=["k", "o", "t"])]), model))
+                keep = [x != UNKNOWN for x in judged.column("lang_pred").to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -67,7 +67,7 @@ TURNS = 3
 SMALL_SOURCES = 20_000
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 1, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 1, key: str = "doc_id", text: str = "text", source: str = "source", keep_source: bool = False) -> DataFrame:
     """key, size, source_size, target, taken of every row of ``docs``; taken / size is the number of copies.
 
     Null text has size 0 and is taken 0 times over; null is a source of its own; an empty table gives no rows. Rows
@@ -97,4 +97,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
             left = F.col("target") - F.col("_certain") * F.col("source_size") - F.col("_got")
             rows = rows.join(small(got), F.col("source").eqNullSafe(F.col("_s"))).withColumn("_left", left).drop("_s", "_got")
     taken = F.col("size") * (F.col("_certain") + F.col("_in").cast("long"))
-    return rows.select(F.col("_key").alias(key), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select(F.col("_key").alias(key), *["source"] * keep_source, "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def resampled(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 1, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns, as often as the mix takes them. Rows equal in key, source and size are taken
+    as often as the one of them taken most."""
+    taken = mix(docs.select(key, text, source), weights, share, cap, seed, key, text, source, keep_source=True)
+    copies = taken.where("size > 0").groupBy(F.col(key).alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_n")).agg(F.max(F.expr("taken div size")).cast("int").alias("_copies"))
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col(source).eqNullSafe(F.col("_s")) & (n_words(F.col(text)) == F.col("_n"))
+    names = docs.columns
+    out = docs.join(copies.where("_copies > 0"), same)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)

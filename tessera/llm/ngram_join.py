@@ -323,3 +323,11 @@ def join(docs: DataFrame, k: int = SHINGLE, num: int = T_NUM, den: int = T_DEN,
     of_node = nodes.join(found, "node", "left").join(named_by, "component", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
     out = made.select("id", "n", "node").join(of_node, "node", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = SHINGLE, num: int = T_NUM, den: int = T_DEN, block: int = BLOCK, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose key names their component: one document of each. Rows without a key
+    stay unless they are linked with a document that has one; rows that share a key stay or go together."""
+    found = join(docs, k, num, den, block, key, text)
+    first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first")).distinct()
+    return docs.join(first, docs[key].eqNullSafe(F.col("_first")), "left_semi")
