@@ -83,9 +83,9 @@ def standardise(value: Column, band: int) -> Column:
 
 def human_bytes(n: Column) -> Column:
     n = n.cast("double")
-    out = F.concat(F.format_number(n / 1024**3, "0.0"), F.lit(" GB"))
+    out = F.format_string("%.1f GB", n / 1024.0**3)
     for power, unit in ((2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(n < 1024.0 ** (power + 1), F.concat(F.format_number(n / 1024.0**power, "0.0"), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", n / 1024.0**power)).otherwise(out)
     return out
 
 

@@ -247,9 +247,9 @@ def disagreement(a: DataFrame, b: DataFrame, key: list[str], column: str = "clus
     return both.agg(F.avg((F.col("_a") != F.col("_b")).cast("double")).alias("disagreement"), F.count("*").alias("n"))
 
 
-def embed(df: DataFrame, loader: Callable[[], Callable[[np.ndarray], np.ndarray]], column: str, dims: int, batch: int = 64, target: str = "vec") -> DataFrame:
-    """Inference with a frozen model: ``loader`` makes the model once a Python worker, and the model turns a batch of
-    inputs (n x ...) into vectors (n x dims)."""
+def embed(df: DataFrame, loader: Callable[[], Callable[[np.ndarray], np.ndarray]], column: str, shape: list[int], dims: int, batch: int = 64, target: str = "vec") -> DataFrame:
+    """Inference with a frozen model over arrays of ``shape``: ``loader`` makes the model once a Python worker, and the
+    model turns a batch of inputs (n x shape) into vectors (n x dims)."""
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql.types import ArrayType, FloatType
 
@@ -257,11 +257,11 @@ def embed(df: DataFrame, loader: Callable[[], Callable[[np.ndarray], np.ndarray]
         model = loader()
 
         def run(x: np.ndarray) -> np.ndarray:
-            out = np.asarray(model(np.stack(x) if x.dtype == object else x), np.float32)
+            out = np.asarray(model(x), np.float32)
             if out.shape != (len(x), dims):
                 raise ValueError(f"the model made {out.shape}, not {(len(x), dims)}")
             return out
 
         return run
 
-    return df.withColumn(target, predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=batch)(F.array(column) if not df.schema[column].dataType.typeName() == "array" else F.col(column)))
+    return df.withColumn(target, predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=batch, input_tensor_shapes=[shape])(F.col(column)))
