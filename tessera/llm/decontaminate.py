@@ -15,7 +15,6 @@ size at any input. The benchmark is broadcast up to MOST_ITEMS items, more are r
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORDS = 8192
-SKETCH = 128
-DIMENSIONS = 96
+SKETCH = 112
+DIMENSIONS = 80
 PASSAGE = 24
 STRIDE = 12
 COSINE = 0.45
@@ -36,29 +35,64 @@ STRONG, WEAK = 0.65, 0.45
 MOST_ITEMS = 50_000
 SLICES = 32
 #: passages that are multiplied at once
-GROUP = 128
-_EDGE = b".,;:!?\"'()[]{}<>*#|-_"
-
-
-class _Ids:
-    """Hashed features of words; edge punctuation doesn't count."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        got = list(map(self.known.get, words))
-        if None in got:
-            if len(self.known) > 1 << 20:
-                self.known.clear()
-            for i, w in enumerate(words):
-                if got[i] is None:
-                    got[i] = self.known[w] = zlib.crc32(w.strip(_EDGE) or w) & (WORDS - 1)
-        return np.array(got, np.int64)
-
-
-def _tokens(text: str | None) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").split() if text else []
+GROUP = 64
+#: bytes of words: ASCII letters and digits, and all of other scripts; the rest separates
+_LETTER = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
+_STEP = 0x9E3779B97F4A7C15
+_PIECE = 1 << 16
+
+
+def _powers(base: int, n: int = _PIECE + 1) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(_STEP), _powers(pow(_STEP, -1, 1 << 64))
+
+
+class Words:
+    """The words of a text in lower case: their places in its bytes and their hashed features."""
+
+    def __init__(self, text: str | None):
+        self.data = text.lower().encode("utf-8", "surrogatepass") if text else b""
+        data = np.frombuffer(self.data, np.uint8)
+        inside = np.zeros(len(data) + 2, bool)
+        inside[1:-1] = _LETTER[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.ids = np.concatenate([self._hashed(data, a) for a in range(0, max(1, len(data)), _PIECE)]) if len(data) > _PIECE else self._hashed(data, 0)
+
+    def _hashed(self, data: np.ndarray, at: int) -> np.ndarray:
+        """Polynomial hashes of the words that start in a piece, from running sums; of a word that is longer than a piece
+        the first bytes count."""
+        a, b = np.searchsorted(self.starts, (at, at + _PIECE))
+        if a == b:
+            return np.empty(0, np.int64)
+        s = self.starts[a:b] - at
+        piece = data[at : int(self.ends[b - 1])]
+        with np.errstate(over="ignore"):
+            if len(piece) > _PIECE:
+                # the last word crosses the border: on its own
+                last = piece[s[-1] : s[-1] + _PIECE].astype(np.uint64)
+                tail = (last * _UP[: len(last)]).sum(dtype=np.uint64)
+                piece, s, e = piece[: s[-1]], s[:-1], self.ends[a : b - 1] - at
+            else:
+                tail, e = None, self.ends[a:b] - at
+            run = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(piece * _UP[: len(piece)], out=run[1:])
+            h = (run[e] - run[s]) * _DOWN[s]
+            if tail is not None:
+                h = np.append(h, tail)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(64 - WORDS.bit_length() + 1)).astype(np.int64)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def text(self, a: int, b: int) -> list[bytes]:
+        return [self.data[x:y] for x, y in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist(), strict=True)]
 
 
 def _sketch() -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +102,9 @@ def _sketch() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids, (column, sign) = _Ids(), _sketch()
+    column, sign = _sketch()
     seen = np.zeros(WORDS)
-    product = np.zeros((WORDS, SKETCH))
+    product = np.zeros((WORDS, SKETCH), np.float32)
     held: list[np.ndarray] = []
     held_words = documents = 0
 
@@ -89,11 +123,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            tokens = _tokens(text)
+            words = Words(text).ids
             documents += 1
-            if not tokens:
+            if not len(words):
                 continue
-            words = ids(tokens)
             seen += np.bincount(words, minlength=WORDS) > 0
             for at in range(0, len(words), PASSAGE * GROUP):
                 held.append(words[at : at + PASSAGE * GROUP])
@@ -204,39 +237,36 @@ class Benchmark:
     mass: np.ndarray
 
 
-def _clean(words: list[bytes]) -> list[bytes]:
-    return [w.strip(_EDGE) or w for w in words]
-
-
 def prepare(items: list[tuple], latent: Latent) -> Benchmark:
-    """items: (id, text, answer or None); items without words match nothing."""
-    ids, vectors, out, owner, rows, masks, answers = _Ids(), latent.vectors, [], [], [], [], []
+    """items: (id, text, answer or None); items without words match nothing. Their passages need not overlap, as those of
+    documents do."""
+    vectors, out, owner, rows, masks, answers = latent.vectors, [], [], [], [], []
     kept, has, mass = [], [], []
     for item, text, answer in items:
-        tokens = _tokens(text)
-        if not tokens:
+        found = Words(text)
+        if not len(found):
             continue
-        words = _clean(tokens)
+        words = found.text(0, len(found))
         mask: dict[bytes, int] = {}
         for i, w in enumerate(words):
             mask[w] = mask.get(w, 0) | 1 << i
-        numbers = ids(tokens)
-        at = starts(len(tokens))
-        rows.append(latent.passages(numbers, at))
+        at = starts(len(words), PASSAGE, PASSAGE)
+        rows += [vectors[found.ids[a : a + PASSAGE]].sum(0) for a in at]
         owner += [len(kept)] * len(at)
         bits = np.zeros(WORDS + 8, np.uint8)
-        bits[numbers] = 1
+        bits[found.ids] = 1
         has.append(np.packbits(bits))
-        mass.append(min(latent.idf[numbers[a : a + PASSAGE]].sum() for a in at))
+        mass.append(min(latent.idf[found.ids[a : a + PASSAGE]].sum() for a in at))
         kept.append(item)
         out.append(words)
         masks.append(mask)
-        answers.append(set(_clean(_tokens(answer))) or None)
-    table = latent.embed(np.concatenate(rows) if rows else np.zeros((0, vectors.shape[1]), np.float32))
+        wanted = Words(answer)
+        answers.append(set(wanted.text(0, len(wanted))) or None)
+    table = latent.embed(np.array(rows, np.float32).reshape(-1, vectors.shape[1]))
     return Benchmark(kept, out, masks, answers, np.array(owner, np.int64), table, np.array(has), np.array(mass))
 
 
-def leaks(texts: list[str | None], latent: Latent, bench: Benchmark, ids: _Ids, cosine: float, strong: float, weak: float) -> list[list[tuple]]:
+def leaks(texts: list[str | None], latent: Latent, bench: Benchmark, cosine: float, strong: float, weak: float) -> list[list[tuple]]:
     """For every text the items found in it: (item, words of the common subsequence, its share, cosine)."""
     found: list[list[tuple]] = [[] for _ in texts]
     if not len(bench.owner):
@@ -261,7 +291,7 @@ def leaks(texts: list[str | None], latent: Latent, bench: Benchmark, ids: _Ids,
             which = np.searchsorted(edges, rows, "right") - 1
             for k in fine.tolist():
                 g = int(which[k])
-                best.setdefault((g, int(item[k])), []).append((int(group[g][3][rows[k] - edges[g]]), float(value[k])))
+                best.setdefault((g, int(item[k])), []).append((int(group[g][3][rows[k] - edges[g]]) + group[g][5], float(value[k])))
         for (g, item), places in best.items():
             i, tokens, *_ = group[g]
             words, n = bench.words[item], len(bench.words[item])
@@ -273,7 +303,7 @@ def leaks(texts: list[str | None], latent: Latent, bench: Benchmark, ids: _Ids,
                 # neighbours are looked at together
                 stop = max(q for q, _ in places if q <= start + n) + PASSAGE
                 done = stop - PASSAGE
-                around = _clean(tokens[max(0, start - n) : stop + n])
+                around = tokens.text(max(0, start - n), stop + n)
                 if lcs(bench.masks[item], n, around) < (strong if bench.answers[item] is None else min(strong, weak)) * n:
                     continue
                 for a in range(0, max(1, len(around) - n), max(1, n // 4)):
@@ -286,15 +316,13 @@ def leaks(texts: list[str | None], latent: Latent, bench: Benchmark, ids: _Ids,
                 found[i].append((bench.ids[item], *best_here))
 
     for i, text in enumerate(texts):
-        tokens = _tokens(text)
-        if not tokens:
-            continue
-        # long texts pass by in pieces that overlap by a passage
+        tokens = Words(text)
+        # long texts pass by in pieces that overlap by two passages
         for at in range(0, len(tokens), 1 << 15):
-            piece = tokens[max(0, at - 2 * PASSAGE) : at + (1 << 15)]
-            words = ids(piece)
-            s = starts(len(piece))
-            group.append((i, piece, latent.passages(words, s), s, words))
+            first = max(0, at - 2 * PASSAGE)
+            words = tokens.ids[first : at + (1 << 15)]
+            s = starts(len(words))
+            group.append((i, tokens, latent.passages(words, s), s, words, first))
             held += len(s)
             if held >= 20_000:
                 search()
@@ -326,9 +354,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     item_type = pa.int64() if kinds[1] in ("bigint", "int", "smallint") else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids()
         for batch in batches:
-            found = leaks(batch.column(1).to_pylist(), *model, ids, cosine, strong, weak)
+            found = leaks(batch.column(1).to_pylist(), *model, cosine, strong, weak)
             rows = [(i, *f) for i, each in enumerate(found) for f in each]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], item_type), *[pa.array([r[j] for r in rows], t) for j, t in ((2, pa.int32()), (3, pa.float64()), (4, pa.float64()))]], names=["k", "item", "lcs_words", "lcs_share", "cosine"])
 
@@ -346,9 +373,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, strong:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids()
         for batch in batches:
-            found = leaks(batch.column(at).to_pylist(), *model, ids, cosine, strong, weak)
+            found = leaks(batch.column(at).to_pylist(), *model, cosine, strong, weak)
             yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
