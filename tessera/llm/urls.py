@@ -7,8 +7,6 @@ ordinary sites), with the JVM's own feature hashing and optimiser; scoring is on
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -38,10 +36,16 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """(url, label): 1 unwanted, 0 wanted. Made by rule: every word alone, pairs of words, made-up words."""
     prefixes, tops, paths = ("", "www.", "m.", "blog."), ("com", "net", "org", "example.com", "example.net", "example.org"), ("/en/1", "/de/27.html", "/fr/380", "/es/9/", "/", "")
-    bad = [*UNWANTED, *(f"{a}-{b}" for a, b in itertools.islice(zip(UNWANTED * 7, itertools.chain.from_iterable(UNWANTED[i:] + UNWANTED[:i] for i in range(1, 8)), strict=False), 300))]
     made = ["".join(SYLLABLES[(i * 7 + j * (i % 11 + 3)) % len(SYLLABLES)] for j in range(2 + i % 3)) for i in range(700)]
-    good = [*WANTED, *(f"{a}-{b}" for a, b in zip(WANTED * 3, WANTED[5:] + WANTED[:5] + WANTED[11:] + WANTED[:11] + WANTED[17:] + WANTED[:17], strict=True)), *made]
-    rows = [(f"https://{prefixes[i % 4]}{name}.{tops[i % 6]}{paths[(i + turn) % 6]}", label) for label, names, turns in ((1, bad, 3), (0, good, 1)) for i, name in enumerate(names) for turn in range(turns)]
+    shapes = ("{0}", "{0}-{1}", "{1}-{0}", "{0}s-{1}", "{0}{1}", "{1}{0}")
+
+    def built(words: list[str], others: list[str]) -> list[str]:
+        """Every word in every shape, with other words in turn."""
+        return [shape.format(w, others[(i * len(shapes) + k) % len(others)]) for i, w in enumerate(words) for k, shape in enumerate(shapes)]
+
+    bad = built(UNWANTED, made) + built(UNWANTED, UNWANTED[7:] + UNWANTED[:7])
+    good = built(WANTED, made) + built(WANTED, WANTED[5:] + WANTED[:5]) + built(made[:60], made[60:]) + made
+    rows = [(f"https://{prefixes[i % 4]}{name}.{tops[i % 6]}{paths[(i // 6) % 6]}", label) for label, names in ((1, bad), (0, good)) for i, name in enumerate(names)]
     return spark.createDataFrame([*rows, *[("", 0)] * 5], "url string, label int")
 
 
