@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, extraction, langid, mixing, ngram_join, quality_gam, quality_rules, sharding, urls, warc
+from tessera.llm import decontaminate, extraction, langid, mixing, ngram_join, oracle, quality_gam, quality_rules, sharding, urls, warc
 from tessera.llm.common import shared_dir, table
 
 
@@ -53,4 +53,4 @@ def op10_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc_round_trip, op2_pareto_mix, op3_ecoc_language, op4_feistel_shards, op5_latent_decontamination, op6_additive_quality, op7_url_filter, op8_ngram_jaccard_join, op9_recurrent_extraction, op10_risk_controlled_rules)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_warc_round_trip": oracle.WARC, "op2_pareto_mix": oracle.MIX, "op4_feistel_shards": oracle.SHARDS, "op8_ngram_jaccard_join": oracle.JOIN, "op10_risk_controlled_rules": oracle.RULES}
