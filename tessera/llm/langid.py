@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import crc
 
 BINS = 4096
-MOST_TRAINED = 2400
+MOST_TRAINED = 1200
 MOST_LANGUAGES = 256
 UNKNOWN = "und"
 #: the second-best language must cost this much more for a sure answer
@@ -93,8 +93,11 @@ class Model:
         return best, p[np.arange(len(x)), best], margin < AMBIGUOUS_MARGIN
 
 
-def fit(x: np.ndarray, languages: list[str], steps: int = 150, rate: float = 0.3, penalty: float = 1e-5) -> Model:
-    """Logistic regression for every bit at once, by full gradients with Adam steps; languages weigh equally."""
+def fit(x: np.ndarray, languages: list[str], order: np.ndarray | None = None, steps: int = 150, rate: float = 0.3, penalty: float = 1e-5) -> Model:
+    """Logistic regression for every bit at once, by full gradients with Adam steps; languages weigh equally. Rows are
+    summed up in the given order, so that the same rows give the same bits however they came."""
+    if order is not None:
+        x, languages = x[order], [languages[i] for i in order]
     names = sorted(set(languages))
     code = codewords(len(names))
     which = np.searchsorted(names, languages)
@@ -136,10 +139,12 @@ def train(docs: DataFrame, held_out: Column, most: int = MOST_TRAINED, key: str
     got = sample.mapInArrow(_rows, "lang string, x binary").limit(2 * most).toArrow()
     if not got.num_rows:
         return None
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, BINS)
+    # one buffer, not copied: the driver holds the sample once
+    column = got.column("x").combine_chunks()
+    x = np.frombuffer(column.buffers()[2], np.float32)[: len(column) * BINS].reshape(-1, BINS)
     names = got.column("lang").to_pylist()
     order = np.lexsort((x[:, :64].sum(1), names))
-    return fit(x[order], [names[i] for i in order])
+    return fit(x, names, order)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
