@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CELLS = 65_536
-SHARD_BYTES = 256 << 20
+SHARD_BYTES = 32 << 20
 FILE_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
