@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import checkpointed
+
 
 def canvas(spark, height: int, width: int) -> DataFrame:
     """Every (row, col) of a raster, made in parallel."""
@@ -98,19 +100,18 @@ def footprint(pixels: DataFrame, step: int, least: int = 64) -> DataFrame:
 
 def _components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, label) by hooking each label to its smallest neighbour and following hooks, until no pair disagrees. Each
-    round is checkpointed where the session has a checkpoint folder."""
-    spark = nodes.sparkSession
-    cut = (lambda df: df.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    labels = cut(nodes.withColumn("label", F.col("node")))
+    round is checkpointed."""
+    labels = checkpointed(nodes.withColumn("label", F.col("node")))
+    pairs = checkpointed(pairs)
     while True:
         a, b = labels.select("node", F.col("label").alias("la")), labels.select(F.col("node").alias("other"), F.col("label").alias("lb"))
         met = pairs.join(a, "node").join(b, "other").where("la <> lb").select("la", "lb")
-        hooks = cut(met.union(met.select("lb", "la")).groupBy("la").agg(F.min("lb").alias("to")).where("to < la"))
+        hooks = checkpointed(met.union(met.select("lb", "la")).groupBy("la").agg(F.min("lb").alias("to")).where("to < la"))
         if hooks.isEmpty():
             return labels
         onward = hooks.select(F.col("la").alias("to"), F.col("to").alias("next"))
         far = hooks.join(onward, "to", "left").select("la", F.coalesce("next", "to").alias("to"))
-        labels = cut(labels.join(far, labels["label"] == far["la"], "left").select("node", F.coalesce("to", "label").alias("label")))
+        labels = checkpointed(labels.join(far, labels["label"] == far["la"], "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
 def tile_split(pixels: DataFrame, tile: int) -> DataFrame:

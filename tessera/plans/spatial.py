@@ -190,10 +190,10 @@ def edge_pad(spark, sf_dir):
     return raster.edge_padded(b.rgb(spark, sf_dir).where("cell_id = 3").select("row", "col", "r"), 16, 16, 7).na.fill(-1, ["r"])
 
 
-@query(f"WITH {b.RGB} SELECT cell_id, row // 4 AS wy, round(avg(CASE WHEN r = 0 AND g = 0 AND b = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END), 6) AS black_frac FROM rgb GROUP BY 1, 2 HAVING avg(CASE WHEN r = 0 AND g = 0 AND b = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) >= 0.3")
+@query(f"WITH {b.RGB} SELECT cell_id, row // 4 AS wy, round(avg(CASE WHEN r = 0 AND g = 0 AND b = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END), 6) AS black_frac FROM rgb GROUP BY 1, 2 HAVING avg(CASE WHEN r = 0 AND g = 0 AND b = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) >= 0.02")
 def black_windows(spark, sf_dir):
     p = b.rgb(spark, sf_dir).withColumn("wy", F.expr("row div 4").cast("int"))
-    return raster.black_windows(p, ["cell_id", "wy"], 0.3).withColumn("black_frac", F.round("black_frac", 6))
+    return raster.black_windows(p, ["cell_id", "wy"], 0.02).withColumn("black_frac", F.round("black_frac", 6))
 
 
 @query(f"WITH {b.RGB}, f AS (SELECT CAST(r.range AS INTEGER) AS row, CAST(c.range AS INTEGER) AS col FROM range(10) r, range(10) c) SELECT f.row, f.col, coalesce(rgb.r, 0) AS r FROM f LEFT JOIN rgb ON rgb.cell_id = 3 AND rgb.row = f.row + 9 AND rgb.col = f.col + 4")
