@@ -6,7 +6,7 @@ the classifiers least, each bit weighted by how well it was learned, is chosen,
 cost nearly the same is flagged as ambiguous.
 
 The classifiers are fitted on the driver on a bounded sample: at most MOST_TRAINED documents, equally many of each
-language, in the order of the MD5 of their ids. Scoring is one pass over whole texts; the model is
+language, in the order of a hash of their ids. Scoring is one pass over whole texts; the model is
 BINS x bits numbers.
 """
 
@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc
+from tessera.llm.common import crc, uniform_hash
 
 BINS = 4096
 MOST_TRAINED = 1200
 MOST_LANGUAGES = 256
+SPARE = 3
 UNKNOWN = "und"
 #: the second-best language must cost this much more for a sure answer
 AMBIGUOUS_MARGIN = 0.05
@@ -131,9 +132,13 @@ def train(docs: DataFrame, held_out: Column, most: int = MOST_TRAINED, key: str
         return None
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    order = Window.partitionBy("lang").orderBy(F.md5(F.col("_key").cast("string").cast("binary")), "_key")
     each = max(1, most // len(counts))
-    picked = known.where("text is not null").select("_key", "lang").withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= each)
+    # of each language about SPARE times as many as are wanted, by a hash, go on to be ordered: few rows however hot it is
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (SPARE * each + 100) / r["count"]))])
+    chance = uniform_hash("language", F.col("_key"))
+    likely = known.where("text is not null").select("_key", "lang", chance.alias("_u")).where(F.col("_u") < share[F.col("lang")])
+    order = Window.partitionBy("lang").orderBy("_u", "_key")
+    picked = likely.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= each)
     # at most ``most`` keys
     sample = known.join(F.broadcast(picked.select("_key", F.col("lang").alias("_lang"))), "_key").where("lang = _lang").select("lang", "text")
     got = sample.mapInArrow(_rows, "lang string, x binary").limit(2 * most).toArrow()
