@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CELLS = 65_536
-SHARD_BYTES = 32 << 20
-FILE_BYTES = 64 << 20
+#: a shard holds a 4096th of all bytes, but not less or more than this
+SHARD_BYTES = (32 << 20, 1 << 30)
+FILE_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -126,7 +127,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, limit: int, date: str
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
 
-def _cells(pages: DataFrame, shard_bytes: int) -> tuple[str, DataFrame]:
+def _cells(pages: DataFrame, shard_bytes: int | None) -> tuple[str, DataFrame]:
     """SQL of an id's cell, and (cell, shard): cells in order, dealt to shards of about shard_bytes."""
     spark = pages.sparkSession
     low, high = pages.agg(F.min("id"), F.max("id")).first()
@@ -136,7 +137,10 @@ def _cells(pages: DataFrame, shard_bytes: int) -> tuple[str, DataFrame]:
     weight = pages.groupBy(F.expr(cell).alias("cell")).agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 600).alias("bytes"))
     dealt, shard, filled = [], 0, 0
     # at most CELLS + 1 rows at any input size
-    for c, b in sorted(weight.collect()):
+    cells = sorted(weight.collect())
+    if shard_bytes is None:
+        shard_bytes = min(SHARD_BYTES[1], max(SHARD_BYTES[0], sum(r.bytes for r in cells) // 4096))
+    for c, b in cells:
         if filled and filled + b > shard_bytes:
             shard, filled = shard + 1, 0
         dealt.append((c, shard))
@@ -144,7 +148,7 @@ def _cells(pages: DataFrame, shard_bytes: int) -> tuple[str, DataFrame]:
     return cell, spark.createDataFrame(dealt, "cell int, shard int")
 
 
-def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, min_payload: int = 0, date: str = DATE, key: str = "page_id", url: str = "url", html: str = "html") -> dict:
+def write(pages: DataFrame, folder: str, shard_bytes: int | None = None, file_bytes: int = FILE_BYTES, min_payload: int = 0, date: str = DATE, key: str = "page_id", url: str = "url", html: str = "html") -> dict:
     """Writes one record for each row of ``pages`` into ``folder`` (which all executors reach) and returns the manifest.
 
     A null payload is empty, a null URL is named after the id; a record without an id is a response or a revisit as
