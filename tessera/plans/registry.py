@@ -22,7 +22,7 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from tessera.plans import learning, relational, scalar, spatial, vector  # noqa: F401
+    from tessera.plans import learning, relational, scalar, spatial, storage, vector  # noqa: F401
 
 
 load()

@@ -30,15 +30,20 @@ def build_session(name: str = "tessera", master: str | None = None, **conf) -> S
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the folder in spark.checkpoint.dir and read again: cut off from its lineage and from
-    what the optimiser knows of it, which would grow from round to round. A temporary folder stands in only where that
-    setting is unset, as in tests."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one stands in only where that is
+    unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: cut off from its lineage and from what the optimiser
+    knows of it, which would grow from round to round."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
