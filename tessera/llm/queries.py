@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, extraction, langid, mixing, ngram_join, oracle, quality_gam, quality_rules, sharding, urls, warc
-from tessera.llm.common import shared_dir, table
+from tessera.llm.common import table
+from tessera.session import shared_folder
 
 
 def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages"), folder, min_payload=0)
     return warc.read(spark, folder).drop("url", "payload")
 

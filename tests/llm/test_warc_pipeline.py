@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import warc
-from tessera.llm.common import shared_dir
+from tessera.session import shared_folder
 from tests.conftest import SF_DIR
 from tests.llm import edge
 
@@ -19,7 +19,7 @@ SCHEMA = "page_id long, url string, html string"
 
 
 def folder(spark):
-    return f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
 
 
 def brute(rows):
