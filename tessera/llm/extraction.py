@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 ROWS = 2048
 PATH, WORD, FIGURES, HIDDEN = 24, 12, 10, 24
-PAGES = 1100
+PAGES = 1300
 EPOCHS = 9
 #: words on fewer than this share of the training pages have no vector
 COMMON = 0.03
@@ -319,6 +319,7 @@ _ROLES = {
     "comments": ("comments comment comment-list responses replies discussion reply thread user-comments", "reply says commented ago likes report share thanks posted by"),
     "share": ("share social sharing buttons follow author-box meta toolbar", "share tweet email print follow facebook"),
 }
+_ARIA = {"nav": "navigation", "header": "banner", "side": "complementary", "notice": "alert", "footer": "contentinfo"}
 _MAIN = "content main article post entry story article-body post-content entry-content text body page main-content prose".split()
 
 
@@ -357,19 +358,27 @@ class _Maker:
             head = tag + (f' class="{self.pick(names)}"' if self.chance(0.4) else "")
         else:
             tag = self.pick(["div", "div", "section", "ul" if role == "nav" else "div"])
-            head = f'{tag} {self.pick(["class", "id", "class"])}="{self.pick(names)}{self.pick(["", " box", "-wrap", " w1"])}"'
+            head = f'{tag} {self.pick(["class", "id", "class"])}="{self.pick(names)}{self.pick(["", " box", "-wrap", " w1", "-1"])}"'
+        if role in _ARIA and self.chance(0.15):
+            tag = "div"
+            head = f'div role="{_ARIA[role]}"'
         if role in ("nav", "share") or role == "side" and self.chance(0.5):
             links = "".join(f'<li><a href="/{i}">{self.words(1, 4, extra, 0.3)}</a></li>' for i in range(int(self.rng.integers(2, 9))))
             inner = links if tag == "ul" else f"<ul>{links}</ul>"
         elif role == "comments":
             one = lambda: f'<{(t := self.pick(["li", "div", "article"]))} class="{self.pick(["comment", "reply", "comment-body", "item"])}"><span>{self.words(1, 2)}</span><p>{self.paragraph(extra, 0.08)}</p></{t}>'
             inner = f"<h3>{self.words(1, 3, extra, 0.6)}</h3>" * self.chance(0.6) + "".join(one() for _ in range(int(self.rng.integers(1, 6))))
+        elif role == "header" and self.chance(0.4):
+            inner = f"<h1><a href='/'>{self.words(1, 3)}</a></h1>" + f"<p>{self.sentence(2, 6, extra, 0.3)}</p>" * self.chance(0.5)
         elif self.chance(0.5):
             inner = f"{self.pick(['&copy; ', ''])}{self.sentence(2, 12, extra, 0.3)}"
         else:
             inner = f"<p>{self.paragraph(extra, self.pick([0.0, 0.2]))}</p>" + f"<p>{self.sentence(2, 8, extra, 0.3)}</p>" * self.chance(0.3)
         return f"<{head}>{inner}</{tag}>"
 
+    def links(self) -> str:
+        return self.pick([" | ", " ", "<br>", " &middot; "]).join(f'<a href="/{i}">{self.words(1, 3)}</a>' for i in range(int(self.rng.integers(2, 8))))
+
     def form(self) -> str:
         return f'<form action="/s"><label>{self.words(1, 3)}</label><input name="q"><select><option>{self.words(1, 2)}</option></select><button>{self.pick(["Search", "Send", "Subscribe", "OK"])}</button></form>'
 
@@ -382,11 +391,15 @@ class _Maker:
 
         body = []
         if self.chance(0.8):
-            body.append(block("h1", self.words(2, 9)))
+            title = block("h1", self.words(2, 9))
+            # a heading of its own belongs to the article, unlike the site's
+            body.append(f"<header>{title}</header>" if self.chance(0.2) else title)
         inside = ["ad", "share", "notice", "side"]
         for _ in range(int(self.rng.integers(1, 13))):
             kind = self.rng.random()
-            if kind < 0.68:
+            if kind < 0.07:
+                body.append(block("p", self.sentence(1, 3)))
+            elif kind < 0.68:
                 body.append(block("p", self.marked(self.paragraph()), self.pick(["<{0}>{1}</{0}>", "<{0}>{1}</{0}>", "<{0}>{1}", "<{0}><b>{1}<br>", '<{0} class="t">{1}</{0}>', "<div>{1}</div>"])))
             elif kind < 0.76:
                 body.append(block(self.pick(["h2", "h3"]), self.words(1, 7)))
@@ -412,11 +425,15 @@ class _Maker:
         after = [self.boilerplate(r) for r in ("share", "ad", "side", "comments", "notice", "nav", "footer") if self.chance(0.45)]
         if self.chance(0.3):
             (before if self.chance(0.5) else after).append(self.form())
+        if self.chance(0.2):
+            (before if self.chance(0.5) else after).append(f"<div>{self.links()}</div>")
         if self.chance(0.08):
             before, after = [], []
         script = '<script>var t="</p>";x(1);</script>' * self.chance(0.5)
         head = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{self.words(2, 6)}</title><style>p{{margin:0}}</style></head>" if self.chance(0.9) else ""
         inner = "".join(before) + "<!-- note -->" + article + script + "".join(after)
+        if self.chance(0.06):
+            inner = f'<table><tr><td class="{self.pick(_ROLES["nav"][0].split())}">{self.links()}</td><td>{article}</td></tr></table>' + "".join(after)
         if self.chance(0.25):
             inner = f'<div {self.pick(["class", "id"])}="{self.pick(["wrapper", "container", "page", "site", "layout", "row"])}">{inner}</div>'
         return f"{head}<body>{inner}</body></html>" if head else inner, main
