@@ -13,8 +13,9 @@ but a few tokens, so
    left when its sizes, or the overlap so far with the most that can still follow, rule out t, or when all its sets are
    already in the walker's component. Overlaps at the ends are exact.
 
-Equal sets are one node from the start. Blocks of more than ``BLOCK`` sets are cut into shards, and every pair of shards
-is a task of its own, so no group has to fit into one task. Links found make up the components.
+Equal sets are one node from the start. Blocks of more than ``BLOCK`` sets are cut into shards that are joined inside and
+then with what is outside of the block's largest component, so no group has to fit into one task and a group of near
+copies is not met pair by pair. Links found make up the components.
 
 Bounds hold for every pair: no partner, candidate or bucket is capped, and no text is cut.
 """
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
@@ -39,6 +40,10 @@ T_NUM, T_DEN = 80, 100
 BLOCK = 1500
 #: a token's count of sets is known up to here; above, all are equally frequent
 FREQUENT = 1 << 20
+#: sets that stand for the largest component of a shard
+ENVOYS = 8
+#: shards whose envoys meet in one tree
+TOGETHER = 128
 _WORDS_KEPT = 1 << 20
 
 
@@ -184,12 +189,16 @@ class PrefixTree:
         i, j = self.find(i), self.find(j)
         self.parent[max(i, j)] = min(i, j)
 
-    def add(self, ranks: np.ndarray, size: int) -> int:
-        """Links the set with all that it is similar to, then stores it."""
+    def add(self, ranks: np.ndarray, size: int, fellow: int | None = None, walks: bool = True) -> int:
+        """Links the set with all that it is similar to, then stores it. ``fellow``: a set that is known to be in the same
+        component."""
         i = len(self.parent)
         self.parent.append(i)
         self.sizes.append(size)
-        self._walk(i, ranks, size)
+        if fellow is not None:
+            self.union(i, fellow)
+        if walks:
+            self._walk(i, ranks, size)
         self._store(i, ranks, size)
         return i
 
@@ -243,19 +252,22 @@ class PrefixTree:
             node = child
 
 
-def linked(sets: list[np.ndarray], num: int = T_NUM, den: int = T_DEN) -> list[int]:
-    """For each set the first set of its component, by one prefix tree."""
+def linked(sets: list[np.ndarray], num: int = T_NUM, den: int = T_DEN, known: list | None = None, walks: list[bool] | None = None) -> list[int]:
+    """For each set the first set of its component, by one prefix tree. ``known`` names components that are known; sets
+    that don't walk are stored first, and links between two of them are not looked for."""
     tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
     # tokens of one set alone can't overlap: they count in its size only
     keep = counts >= 2
     order = np.argsort(-counts, kind="stable")
     rank = np.empty(len(tokens), np.int64)
     rank[order] = np.arange(len(tokens))
-    tree = PrefixTree(len(tokens), num, den)
-    by_size = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    tree, first = PrefixTree(len(tokens), num, den), {}
+    known, walks = known or list(range(len(sets))), walks or [True] * len(sets)
+    by_size = sorted(range(len(sets)), key=lambda i: (walks[i], len(sets[i])))
     for i in by_size:
         at = np.searchsorted(tokens, sets[i])
-        tree.add(np.sort(rank[at[keep[at]]]), len(sets[i]))
+        j = tree.add(np.sort(rank[at[keep[at]]]), len(sets[i]), first.get(known[i]), walks[i])
+        first.setdefault(known[i], j)
     found = [0] * len(sets)
     for j, i in enumerate(by_size):
         found[i] = by_size[tree.find(j)]
@@ -263,21 +275,21 @@ def linked(sets: list[np.ndarray], num: int = T_NUM, den: int = T_DEN) -> list[i
 
 
 def _joined(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows (block, i, j, node, text) sorted by the first three -> links (a, b) between nodes."""
-    cache, key, nodes, sets = _WordHashes(), None, {}, []
+    """Rows (block, i, j, node, known, walks, text) sorted by the first three -> links (a, b) between nodes."""
+    cache, key, nodes, sets, known, walks = _WordHashes(), None, {}, [], [], []
 
     def flush():
         ids = list(nodes)
-        root = linked(sets, num, den) if len(sets) > 1 else []
+        root = linked(sets, num, den, known, walks)
         pairs = [(ids[i], ids[r]) for i, r in enumerate(root) if i != r]
         return pa.RecordBatch.from_arrays([pa.array([p[x] for p in pairs], pa.int64()) for x in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        for *now, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for *now, node, fellow, walk, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if now != key:
                 if len(sets) > 1:
                     yield flush()
-                key, nodes, sets = now, {}, []
+                key, nodes, sets, known, walks = now, {}, [], [], []
             if node in nodes:
                 continue
             s = shingle_set(text, cache, k)
@@ -285,10 +297,56 @@ def _joined(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> It
             if len(s) and int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8], "little", signed=True) == node:
                 nodes[node] = len(sets)
                 sets.append(s)
+                known.append(node if fellow is None else fellow)
+                walks.append(walk)
     if len(sets) > 1:
         yield flush()
 
 
+def _links(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """One tree for each (block, i, j)."""
+    keys = ["block", "i", "j"]
+    rows = rows.select(*keys, "node", "known", "walks", "text")
+    made = rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(lambda it: _joined(it, k, num, den), "a long, b long")
+    return stored(made, "links")
+
+
+def _across_shards(members: DataFrame, links: DataFrame, block: int, k: int, num: int, den: int) -> DataFrame:
+    """All links of blocks that were cut into shards, given those inside of the shards.
+
+    The largest components of a block's shards are linked through a few sets of each. Then only sets outside of the
+    block's largest component are still looked at: they go, in parts, to every shard. In a group of near copies these are
+    few, so the work grows with the group and not with its square; where they are many, all pairs of shards are met."""
+    def labelled(links: DataFrame) -> DataFrame:
+        found = connected_components(links)
+        return members.join(found, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
+
+    def largest(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        n = df.groupBy(*keys, "known").agg(F.count("*").alias("_n"))
+        return n.groupBy(*keys).agg(F.max_by("known", F.struct("_n", (-F.col("known")).alias("_o"))).alias(name))
+
+    one = labelled(links)
+    big = one.join(largest(one, ["block", "s"], "_big"), ["block", "s"]).where(F.col("known") == F.col("_big"))
+    # one shard holds about ``block`` sets
+    few = F.row_number().over(Window.partitionBy("block", "s").orderBy(F.xxhash64("node"), "node")) <= ENVOYS
+    # those of a block's first shard meet the others in bounded groups of shards
+    group = F.when(F.col("s") == 0, F.sequence(F.lit(0), F.expr(f"(g - 1) div {TOGETHER}").cast("int"))).otherwise(F.array(F.expr(f"s div {TOGETHER}").cast("int")))
+    envoys = big.withColumn("_few", few).where("_few").withColumns({"i": F.explode(group), "j": F.lit(0), "walks": F.lit(True)})
+    links = links.union(_links(envoys, k, num, den))
+    two = labelled(links)
+    main = largest(two, ["block"], "_main")
+    marked = two.join(main, "block").withColumn("walks", F.col("known") != F.col("_main"))
+    parts = marked.where("walks").groupBy("block").agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
+    marked = stored(marked.join(parts, "block"), "marked")
+    shard = marked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("i", F.col("s"))
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("_parts")).cast("int")
+    guests = marked.where("walks").withColumn("j", part).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    # a guest in its own shard is there twice and taken once; the other sets of a shard are only stored
+    same = F.col("walks") & (part == F.col("j"))
+    rows = shard.withColumn("walks", same).where(~F.col("walks")).select("block", "i", "j", "node", "known", "walks", "text").union(guests.select("block", "i", "j", "node", "known", "walks", "text"))
+    return links.union(_links(rows, k, num, den))
+
+
 def join(docs: DataFrame, k: int = SHINGLE, num: int = T_NUM, den: int = T_DEN, block: int = BLOCK, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id of every row of ``docs``; similarity is num / den or more.
 
@@ -312,12 +370,12 @@ def join(docs: DataFrame, k: int = SHINGLE, num: int = T_NUM, den: int = T_DEN,
     blocks = connected_components(chains).select("node", F.col("component").alias("block"))
     sizes = blocks.groupBy("block").agg(F.count("*").alias("m"))
     spread = blocks.join(sizes, "block").withColumn("g", F.ceil(F.col("m") / block).cast("int")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    # a shard meets every shard of its block once
-    tasks = spread.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("node", "block", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"))
-    texts = slim.join(blocks.join(nodes, "node").select("node", F.col("rep").alias("id")), "id").select("node", "text")
-    rows = tasks.join(texts, "node").select("block", "i", "j", "node", "text")
-    keys = ["block", "i", "j"]
-    links = rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(lambda it: _joined(it, k, num, den), "a long, b long")
+    texts = slim.join(spread.join(nodes, "node").select("node", "block", "g", "s", F.col("rep").alias("id")), "id")
+    members = stored(texts.select("block", "g", "s", "node", "text"), "members")
+    links = _links(members.withColumns({"i": F.col("s"), "j": F.lit(0), "known": F.lit(None).cast("long"), "walks": F.lit(True)}), k, num, den)
+    cut = members.where("g > 1")
+    if not cut.isEmpty():
+        links = _across_shards(cut, links, block, k, num, den)
     found = connected_components(links)
     named_by = found.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_node = nodes.join(found, "node", "left").join(named_by, "component", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))

@@ -62,9 +62,10 @@ def hard(spark):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("block", [nj.BLOCK, 7])
-def test_matches_brute_force(spark, hard, block):
+@pytest.mark.parametrize(("block", "together"), [(nj.BLOCK, nj.TOGETHER), (7, nj.TOGETHER), (5, 2)])
+def test_matches_brute_force(spark, hard, block, together, monkeypatch):
     """With a small ``block``, blocks are cut into shards; nothing changes."""
+    monkeypatch.setattr(nj, "TOGETHER", together)
     sets = {i: brute_set(t) for i, t in hard}
     want = brute_components(sets)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.join(spark.createDataFrame(hard, "doc_id long, text string"), block=block).collect()}
