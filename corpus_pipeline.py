@@ -10,20 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, langid, mixing, ngram_join, sharding
 from tessera.llm.common import stored, table
+from tessera.session import ship_package
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those without a letter, or without text, go."""
+    ship_package(spark)
     return langid.known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of documents linked by 5-word shingles at 0.8, the one with the smallest id."""
+    ship_package(spark)
     return ngram_join.one_of_each(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
+    ship_package(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
