@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -24,6 +25,6 @@ spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "fals
 import __spark_entry__ as entry
 print("ROWS", entry.queries()["kmeans_cos"](spark, "/root/testdata/sf0.001").count())
 """
-    env = {"PATH": "/usr/bin:/bin:/usr/local/bin", "HOME": str(tmp_path), **{k: v for k, v in __import__("os").environ.items() if k.startswith(("JAVA", "SPARK"))}}
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "ROWS 500" in out.stdout, out.stderr[-2000:]
