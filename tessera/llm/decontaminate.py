@@ -28,7 +28,7 @@ SKETCH = 112
 DIMENSIONS = 80
 PASSAGE = 24
 STRIDE = 12
-COSINE = 0.45
+COSINE = 0.36
 #: share of the IDF of the shorter side that a passage and an item must have in common to be compared word by word
 COMMON = 0.4
 STRONG, WEAK = 0.65, 0.45
