@@ -334,10 +334,12 @@ def _across_shards(members: DataFrame, links: DataFrame, block: int, k: int, num
     envoys = big.withColumn("_few", few).where("_few").withColumns({"i": F.explode(group), "j": F.lit(0), "walks": F.lit(True)})
     links = links.union(_links(envoys, k, num, den))
     two = labelled(links)
-    main = largest(two, ["block"], "_main")
-    marked = two.join(main, "block").withColumn("walks", F.col("known") != F.col("_main"))
-    parts = marked.where("walks").groupBy("block").agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
-    marked = stored(marked.join(parts, "block"), "marked")
+    # a block's rows are joined by shard, so that no task gets a whole block
+    shards = two.select("block", "s").distinct()
+    main = largest(two, ["block"], "_main").join(shards, "block")
+    marked = two.join(main, ["block", "s"]).withColumn("walks", F.col("known") != F.col("_main"))
+    parts = marked.where("walks").groupBy("block").agg(F.ceil(F.count("*") / block).cast("int").alias("_parts")).join(shards, "block")
+    marked = stored(marked.join(parts, ["block", "s"]), "marked")
     shard = marked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("i", F.col("s"))
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("_parts")).cast("int")
     guests = marked.where("walks").withColumn("j", part).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
