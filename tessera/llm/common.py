@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +51,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches; at their end, memory that is free goes back to the system. Spark keeps Python workers for later tasks,
+    and an executor may have several that are idle."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        library = ctypes.util.find_library("c")
+        if library and hasattr(libc := ctypes.CDLL(library), "malloc_trim"):
+            libc.malloc_trim(0)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import trimmed
+
 WORDS = 8192
 SKETCH = 112
 DIMENSIONS = 80
@@ -181,7 +183,7 @@ class Latent:
 
 def fit(docs: DataFrame, text: str = "text") -> Latent | None:
     """The latent space of all documents; None if there are no words."""
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(_count, "slice int, documents long, sums binary")
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(lambda it: trimmed(_count(it)), "slice int, documents long, sums binary")
     sums = parts.repartition(SLICES, "slice").mapInArrow(_added, "slice int, documents long, sums binary").collect()
     if not sums:
         return None
@@ -354,7 +356,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     item_type = pa.int64() if kinds[1] in ("bigint", "int", "smallint") else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             found = leaks(batch.column(1).to_pylist(), *model, cosine, strong, weak)
             rows = [(i, *f) for i, each in enumerate(found) for f in each]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], item_type), *[pa.array([r[j] for r in rows], t) for j, t in ((2, pa.int32()), (3, pa.float64()), (4, pa.float64()))]], names=["k", "item", "lcs_words", "lcs_share", "cosine"])
@@ -362,7 +364,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     schema = f"k {kinds[0]}, item {'long' if item_type == pa.int64() else 'string'}, lcs_words int, lcs_share double, cosine double"
     if model is None:
         return docs.sparkSession.createDataFrame([], schema).withColumnsRenamed({"k": key, "item": item})
-    return slim.mapInArrow(run, schema).withColumnsRenamed({"k": key, "item": item})
+    return slim.mapInArrow(lambda it: trimmed(run(it)), schema).withColumnsRenamed({"k": key, "item": item})
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, strong: float = STRONG, weak: float = WEAK, text: str = "text", item: str = "item_id", item_text: str = "text", answer: str | None = None) -> DataFrame:
@@ -373,8 +375,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, strong:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             found = leaks(batch.column(at).to_pylist(), *model, cosine, strong, weak)
             yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda it: trimmed(run(it)), docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc, uniform_hash
+from tessera.llm.common import crc, trimmed, uniform_hash
 
 BINS = 4096
 MOST_TRAINED = 1200
@@ -141,7 +141,7 @@ def train(docs: DataFrame, held_out: Column, most: int = MOST_TRAINED, key: str
     picked = likely.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= each)
     # at most ``most`` keys
     sample = known.join(F.broadcast(picked.select("_key", F.col("lang").alias("_lang"))), "_key").where("lang = _lang").select("lang", "text")
-    got = sample.mapInArrow(_rows, "lang string, x binary").limit(2 * most).toArrow()
+    got = sample.mapInArrow(lambda it: trimmed(_rows(it)), "lang string, x binary").limit(2 * most).toArrow()
     if not got.num_rows:
         return None
     # one buffer, not copied: the driver holds the sample once
@@ -153,7 +153,7 @@ def train(docs: DataFrame, held_out: Column, most: int = MOST_TRAINED, key: str
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
         keys, out, texts = batch.columns
         texts = texts.to_pylist()
         lang, score, unsure = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, held_out: Column | None = None, most: int = MOST_T
     model = train(docs, held_out, most, key, text, lang)
     slim = docs.select(F.col(key).alias("k"), held_out.alias("held_out"), F.col(text).alias("text"))
     kind = slim.schema["k"].dataType.simpleString()
-    out = slim.mapInArrow(lambda it: _predict(it, model), f"k {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    out = slim.mapInArrow(lambda it: trimmed(_predict(it, model)), f"k {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")
     return out.withColumnRenamed("k", key)
 
 
@@ -189,7 +189,7 @@ def known(docs: DataFrame, held_out: Column | None = None, most: int = MOST_TRAI
     model = train(docs, crc(F.col(key)) % 4 == 2 if held_out is None else held_out, most, key, text, lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             texts = batch.column(at)
             if model is None:
                 keep = [has_letter(t) for t in texts.to_pylist()]
@@ -199,4 +199,4 @@ def known(docs: DataFrame, held_out: Column | None = None, most: int = MOST_TRAI
                 keep = [x != UNKNOWN for x in judged.column("lang_pred").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda it: trimmed(run(it)), docs.schema)

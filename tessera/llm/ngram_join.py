@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import stored, trimmed
 from tessera.llm.graph import connected_components
 
 SHINGLE = 5
@@ -44,7 +44,9 @@ FREQUENT = 1 << 20
 ENVOYS = 8
 #: shards whose envoys meet in one tree
 TOGETHER = 128
-_WORDS_KEPT = 1 << 20
+#: words and rows that a Python worker holds at once
+_WORDS_KEPT = 1 << 17
+_ROWS = 512
 
 
 class _WordHashes(dict):
@@ -93,9 +95,16 @@ def needed_overlap(n: int, m: int, num: int = T_NUM, den: int = T_DEN) -> int:
     return -(-num * (n + m) // (num + den))
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, few at a time: texts become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     cache = _WordHashes()
-    for batch in batches:
+    for batch in _small(batches):
         prints, sizes, prefixes = [], [], []
         for text in batch.column(1).to_pylist():
             s = shingle_set(text, cache, k)
@@ -284,7 +293,7 @@ def _joined(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> It
         pairs = [(ids[i], ids[r]) for i, r in enumerate(root) if i != r]
         return pa.RecordBatch.from_arrays([pa.array([p[x] for p in pairs], pa.int64()) for x in (0, 1)], names=["a", "b"])
 
-    for batch in batches:
+    for batch in _small(batches):
         for *now, node, fellow, walk, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if now != key:
                 if len(sets) > 1:
@@ -307,7 +316,7 @@ def _links(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """One tree for each (block, i, j)."""
     keys = ["block", "i", "j"]
     rows = rows.select(*keys, "node", "known", "walks", "text")
-    made = rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(lambda it: _joined(it, k, num, den), "a long, b long")
+    made = rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(lambda it: trimmed(_joined(it, k, num, den)), "a long, b long")
     return stored(made, "links")
 
 
@@ -357,18 +366,18 @@ def join(docs: DataFrame, k: int = SHINGLE, num: int = T_NUM, den: int = T_DEN,
     as one document. Ties can't arise; an empty table gives no rows; other columns are not read.
     """
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    made = stored(slim.mapInArrow(lambda it: _sets(it, k, num, den), "id long, node long, print binary, n long, tokens array<long>"), "sets")
+    made = stored(slim.mapInArrow(lambda it: trimmed(_sets(it, k, num, den)), "id long, node long, print binary, n long, tokens array<long>"), "sets")
     named = made.where("n > 0")
     nodes = named.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.min("print").alias("p"), F.max("print").alias("q"))
     nodes = stored(nodes.withColumn("n", F.when(F.col("p") == F.col("q"), F.col("n")).otherwise(F.raise_error(F.lit("two sets share a 64-bit name")))).drop("p", "q"), "nodes")
     tokens = named.select(F.explode("tokens").alias("token"), "node")
-    shared = tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "node long, token long, df long")
+    shared = tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(lambda it: trimmed(_shared(it)), "node long, token long, df long")
     wanted = (F.floor(F.expr(f"(n * {num} + {den} - 1) div {den}") / 20) + 1).cast("int")
     lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
     lists = lists.join(nodes, "node").withColumn("_need", wanted).where(F.size("list") >= F.col("_need"))
     prefix = F.slice("list", F.lit(1), F.size("list") - F.col("_need") + 1)
     rare = lists.select(F.explode(F.transform(prefix, lambda x: x["token"])).alias("token"), "n", "node")
-    chains = rare.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(lambda it: _chains(it, num, den), "a long, b long")
+    chains = rare.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(lambda it: trimmed(_chains(it, num, den)), "a long, b long")
     blocks = connected_components(chains).select("node", F.col("component").alias("block"))
     sizes = blocks.groupBy("block").agg(F.count("*").alias("m"))
     spread = blocks.join(sizes, "block").withColumn("g", F.ceil(F.col("m") / block).cast("int")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
