@@ -53,13 +53,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Gives memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    library = ctypes.util.find_library("c")
+    if library and hasattr(libc := ctypes.CDLL(library), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def trimmed(batches: Iterator) -> Iterator:
-    """The batches; at their end, memory that is free goes back to the system. Spark keeps Python workers for later tasks,
-    and an executor may have several that are idle."""
+    """The batches; at their end, free memory goes back to the system. Spark keeps Python workers for later tasks, and an
+    executor may have several that are idle."""
     try:
         yield from batches
     finally:
-        pa.default_memory_pool().release_unused()
-        library = ctypes.util.find_library("c")
-        if library and hasattr(libc := ctypes.CDLL(library), "malloc_trim"):
-            libc.malloc_trim(0)
+        release_memory()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import trimmed
+from tessera.llm.common import release_memory, trimmed
 
 WORDS = 8192
 SKETCH = 112
@@ -341,6 +341,7 @@ def _model(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_tex
     if len(rows) > MOST_ITEMS:
         raise ValueError(f"a benchmark of more than {MOST_ITEMS} items: search it in parts")
     latent = fit(docs, text)
+    release_memory()
     return None if latent is None else (latent, prepare(sorted(map(tuple, rows), key=str), latent))
 
 

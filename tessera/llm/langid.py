@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc, trimmed, uniform_hash
+from tessera.llm.common import crc, release_memory, trimmed, uniform_hash
 
 BINS = 4096
 MOST_TRAINED = 1200
@@ -176,6 +176,7 @@ def identify(docs: DataFrame, held_out: Column | None = None, most: int = MOST_T
     """
     held_out = crc(F.col(key)) % 4 == 2 if held_out is None else held_out
     model = train(docs, held_out, most, key, text, lang)
+    release_memory()
     slim = docs.select(F.col(key).alias("k"), held_out.alias("held_out"), F.col(text).alias("text"))
     kind = slim.schema["k"].dataType.simpleString()
     out = slim.mapInArrow(lambda it: trimmed(_predict(it, model)), f"k {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")
@@ -187,6 +188,7 @@ def known(docs: DataFrame, held_out: Column | None = None, most: int = MOST_TRAI
     in two languages is ambiguous but stays. If nothing can be learned, texts with a letter stay."""
     at = docs.columns.index(text)
     model = train(docs, crc(F.col(key)) % 4 == 2 if held_out is None else held_out, most, key, text, lang)
+    release_memory()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
