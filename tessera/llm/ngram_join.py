@@ -334,7 +334,9 @@ def _across_shards(members: DataFrame, links: DataFrame, block: int, k: int, num
         n = df.groupBy(*keys, "known").agg(F.count("*").alias("_n"))
         return n.groupBy(*keys).agg(F.max_by("known", F.struct("_n", (-F.col("known")).alias("_o"))).alias(name))
 
-    one = labelled(links)
+    # inside of a shard a link leads to the first set of its component
+    inside = links.select(F.col("a").alias("node"), F.col("b").alias("known"))
+    one = members.join(inside, "node", "left").withColumn("known", F.coalesce("known", "node"))
     big = one.join(largest(one, ["block", "s"], "_big"), ["block", "s"]).where(F.col("known") == F.col("_big"))
     # one shard holds about ``block`` sets
     few = F.row_number().over(Window.partitionBy("block", "s").orderBy(F.xxhash64("node"), "node")) <= ENVOYS
