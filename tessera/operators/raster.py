@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import checkpointed
@@ -40,9 +40,17 @@ def inner_window(pixels: DataFrame, margin: Column, height: Column, width: Colum
 
 
 def coverage_heat(windows: DataFrame) -> DataFrame:
-    """How many windows (col_px, row_px, w_px, h_px) cover each pixel."""
-    spots = windows.where("w_px > 0 and h_px > 0").select(F.explode(F.sequence(F.col("row_px"), F.col("row_px") + F.col("h_px") - 1)).alias("row"), "col_px", "w_px")
-    return spots.select("row", F.explode(F.sequence(F.col("col_px"), F.col("col_px") + F.col("w_px") - 1)).alias("col")).groupBy("row", "col").agg(F.count("*").alias("n_boxes"))
+    """How many windows (col_px, row_px, w_px, h_px) cover each pixel.
+
+    Equal windows are one with a count. A window adds to its rows where it begins and takes away where it ends, so the
+    rows made grow with the heights of the windows that differ and the pixels covered, not with the areas of all."""
+    same = windows.where("w_px > 0 and h_px > 0").groupBy("col_px", "row_px", "w_px", "h_px").agg(F.count("*").alias("n"))
+    ends = F.array(F.struct(F.col("col_px").alias("col"), F.col("n")), F.struct((F.col("col_px") + F.col("w_px")).alias("col"), (-F.col("n")).alias("n")))
+    spots = same.select(F.explode(F.sequence(F.col("row_px"), F.col("row_px") + F.col("h_px") - 1)).alias("row"), ends.alias("e")).select("row", F.explode("e").alias("e"))
+    steps = spots.groupBy("row", F.col("e.col").alias("col")).agg(F.sum("e.n").alias("n"))
+    along = Window.partitionBy("row").orderBy("col")
+    spans = steps.select("row", "col", F.lead("col").over(along).alias("to"), F.sum("n").over(along).alias("n_boxes")).where("n_boxes > 0")
+    return spans.select("row", F.explode(F.sequence(F.col("col"), F.col("to") - 1)).alias("col"), "n_boxes")
 
 
 def offsets(xmin: Column, ymax: Column, site_xmin: Column, site_ymax: Column, gsd: Column) -> tuple[Column, Column]:

@@ -52,8 +52,12 @@ def snap_bbox(spark, sf_dir):
   SELECT s_suppkey, r.range * nx + c.range AS cell_id, CAST(r.range AS INTEGER) AS row, CAST(c.range AS INTEGER) AS col, CAST(c.range * 10 AS DOUBLE) AS xmin, CAST((ny - r.range - 1) * 10 AS DOUBLE) AS ymin
   FROM a, range(10) r, range(10) c WHERE r.range < ny AND c.range < nx""")
 def grid_gen(spark, sf_dir):
+    return _grid_gen(b.read(spark, sf_dir, "supplier").where("s_suppkey < 40"))
+
+
+def _grid_gen(suppliers):
     s = F.col("s_suppkey")
-    areas = b.read(spark, sf_dir, "supplier").where("s_suppkey < 40").select(s, F.lit(0.0).alias("xmin"), F.lit(0.0).alias("ymin"), ((s % 3 + 2) * 10).cast("double").alias("xmax"), ((s % 4 + 1) * 10).cast("double").alias("ymax"))
+    areas = suppliers.select(s, F.lit(0.0).alias("xmin"), F.lit(0.0).alias("ymin"), ((s % 3 + 2) * 10).cast("double").alias("xmax"), ((s % 4 + 1) * 10).cast("double").alias("ymax"))
     return geo.grid(areas, F.lit(10.0), ["s_suppkey"]).select("s_suppkey", "cell_id", "row", "col", "xmin", "ymin")
 
 
@@ -86,8 +90,9 @@ def chunk_rects(spark, sf_dir):
     return geo.chunk_rects(_blobs(spark, sf_dir, 200), 256)
 
 
-def _blobs(spark, sf_dir, n):
-    p = b.read(spark, sf_dir, "part").where(F.col("p_partkey") < n)
+def _blobs(spark, sf_dir, n=None):
+    p = b.read(spark, sf_dir, "part")
+    p = p if n is None else p.where(F.col("p_partkey") < n)
     return p.select(F.col("p_partkey").cast("string").alias("uuid"), (F.col("p_size") * 20).alias("width"), (F.col("p_size") * 13).alias("height"))
 
 

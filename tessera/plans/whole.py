@@ -1,0 +1,28 @@
+"""Queries over whole tables, named *_all, beside those of the same name whose SQL reads a part of the rows."""
+
+from __future__ import annotations
+
+from tessera.operators import geo, raster
+from tessera.plans import bindings as b
+from tessera.plans import spatial as s
+from tessera.plans.registry import query, without
+
+
+@query(without("grid_gen", " WHERE s_suppkey < 40"))
+def grid_gen_all(spark, sf_dir):
+    return s._grid_gen(b.read(spark, sf_dir, "supplier"))
+
+
+@query(without("chunk_rects", " WHERE p_partkey < 200"))
+def chunk_rects_all(spark, sf_dir):
+    return geo.chunk_rects(s._blobs(spark, sf_dir), 256)
+
+
+@query(without("overlapping_windows", " WHERE p_partkey < 60"))
+def overlapping_windows_all(spark, sf_dir):
+    return geo.overlapping_windows(s._blobs(spark, sf_dir), 256, 64, 8)
+
+
+@query()
+def coverage_heat_all(spark, sf_dir):
+    return raster.coverage_heat(geo.overlapping_windows(s._blobs(spark, sf_dir), 256, 64, 8))
