@@ -71,25 +71,35 @@ def paint(cells: DataFrame, patches: DataFrame, gsd: Column, key: str = "cell_id
     return spots.groupBy(*s, "row", "col").agg(*[F.max_by(v, key).alias(v) for v in values])
 
 
-def data_mask(pixels: DataFrame, frame: DataFrame) -> DataFrame:
-    """Whether any band is not zero; false outside of the pixels there are."""
+def keyed(frame: DataFrame, pixels: DataFrame, key: list[str] = ()) -> DataFrame:
+    """The frame once for every key that has pixels; the frame itself without a key."""
+    k = list(key)
+    return frame.crossJoin(pixels.select(*k).distinct()) if k else frame
+
+
+def data_mask(pixels: DataFrame, frame: DataFrame, key: list[str] = ()) -> DataFrame:
+    """Whether any band is not zero; false outside of the pixels there are. With a key, a mask of each."""
+    k = list(key)
     lit = (F.col("r") != 0) | (F.col("g") != 0) | (F.col("b") != 0)
-    return frame.join(pixels.select("row", "col", lit.alias("_lit")), ["row", "col"], "left").select("row", "col", F.coalesce("_lit", F.lit(False)).alias("has_data"))
+    return keyed(frame, pixels, k).join(pixels.select(*k, "row", "col", lit.alias("_lit")), [*k, "row", "col"], "left").select(*k, "row", "col", F.coalesce("_lit", F.lit(False)).alias("has_data"))
 
 
-def rgba(pixels: DataFrame, mask: DataFrame | None, frame: DataFrame) -> DataFrame:
-    """0..255 colours of values 0..1, and alpha: the data mask, or whether the pixel was painted."""
+def rgba(pixels: DataFrame, mask: DataFrame | None, frame: DataFrame, key: list[str] = ()) -> DataFrame:
+    """0..255 colours of values 0..1, and alpha: the data mask, or whether the pixel was painted. With a key, a canvas of
+    each."""
+    at = [*key, "row", "col"]
     byte = lambda c: F.coalesce(F.floor(F.col(c) * 255).cast("int"), F.lit(0)).alias(c)
-    out = frame.join(pixels.withColumn("_painted", F.lit(True)), ["row", "col"], "left")
+    out = keyed(frame, pixels, key).join(pixels.withColumn("_painted", F.lit(True)), at, "left")
     if mask is None:
-        return out.select("row", "col", byte("r"), byte("g"), byte("b"), F.when(F.col("_painted"), 255).otherwise(0).alias("a"))
-    return out.join(mask, ["row", "col"], "left").select("row", "col", byte("r"), byte("g"), byte("b"), F.when(F.col("has_data"), 255).otherwise(0).alias("a"))
+        return out.select(*at, byte("r"), byte("g"), byte("b"), F.when(F.col("_painted"), 255).otherwise(0).alias("a"))
+    return out.join(mask, at, "left").select(*at, byte("r"), byte("g"), byte("b"), F.when(F.col("has_data"), 255).otherwise(0).alias("a"))
 
 
-def class_codes(painted: DataFrame, classes: list[int], mask: DataFrame) -> DataFrame:
-    """Codes 1..n in the order of ``classes`` where there is data, else 0."""
+def class_codes(painted: DataFrame, classes: list[int], mask: DataFrame, key: list[str] = ()) -> DataFrame:
+    """Codes 1..n in the order of ``classes`` where there is data, else 0. The mask has the key's columns too."""
+    at = [*key, "row", "col"]
     code = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class")).cast("int"), F.lit(0))
-    return mask.join(painted, ["row", "col"], "left").select("row", "col", F.when(F.col("has_data"), F.coalesce(code, F.lit(0))).otherwise(0).alias("code"))
+    return mask.join(painted, at, "left").select(*at, F.when(F.col("has_data"), F.coalesce(code, F.lit(0))).otherwise(0).alias("code"))
 
 
 def footprint(pixels: DataFrame, step: int, least: int = 64) -> DataFrame:
@@ -136,12 +146,13 @@ def super_tiles(rows: Column, cols: Column) -> Column:
     return F.floor(rows / 2) * F.floor(cols / 2)
 
 
-def edge_padded(pixels: DataFrame, height: int, width: int, multiple: int) -> DataFrame:
-    """The raster grown to whole multiples by repeating its last row and column."""
+def edge_padded(pixels: DataFrame, height: int, width: int, multiple: int, key: list[str] = ()) -> DataFrame:
+    """The raster (with a key, each) grown to whole multiples by repeating its last row and column."""
+    k = list(key)
     h, w = height + (-height) % multiple, width + (-width) % multiple
-    frame = canvas(pixels.sparkSession, h, w).withColumn("_r", F.least("row", F.lit(height - 1))).withColumn("_c", F.least("col", F.lit(width - 1)))
-    values = [c for c in pixels.columns if c not in ("row", "col")]
-    return frame.join(pixels.withColumnsRenamed({"row": "_r", "col": "_c"}), ["_r", "_c"], "left").select("row", "col", *values)
+    frame = keyed(canvas(pixels.sparkSession, h, w), pixels, k).withColumn("_r", F.least("row", F.lit(height - 1))).withColumn("_c", F.least("col", F.lit(width - 1)))
+    values = [c for c in pixels.columns if c not in (*k, "row", "col")]
+    return frame.join(pixels.withColumnsRenamed({"row": "_r", "col": "_c"}), [*k, "_r", "_c"], "left").select(*k, "row", "col", *values)
 
 
 def black_windows(pixels: DataFrame, key: list[str], most: float = 0.98) -> DataFrame:
@@ -150,8 +161,9 @@ def black_windows(pixels: DataFrame, key: list[str], most: float = 0.98) -> Data
     return pixels.groupBy(*key).agg(F.avg(black).alias("black_frac")).where(F.col("black_frac") >= most)
 
 
-def window_read(pixels: DataFrame, row: int, col: int, height: int, width: int, values: list[str]) -> DataFrame:
-    """A window of a raster, zero where the raster ends: the range filter reaches the scan."""
+def window_read(pixels: DataFrame, row: int, col: int, height: int, width: int, values: list[str], key: list[str] = ()) -> DataFrame:
+    """A window of a raster (with a key, of each), zero where the raster ends: the range filter reaches the scan."""
+    k = list(key)
     part = pixels.where(F.col("row").between(row, row + height - 1) & F.col("col").between(col, col + width - 1))
-    part = part.select((F.col("row") - row).alias("row"), (F.col("col") - col).alias("col"), *values)
-    return canvas(pixels.sparkSession, height, width).join(part, ["row", "col"], "left").na.fill(0, values)
+    part = part.select(*k, (F.col("row") - row).alias("row"), (F.col("col") - col).alias("col"), *values)
+    return keyed(canvas(pixels.sparkSession, height, width), pixels, k).join(part, [*k, "row", "col"], "left").na.fill(0, values)

@@ -98,8 +98,19 @@ RGB = """rgb AS (
   FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2, 3)"""
 
 
+#: the same from all line items
+RGB_ALL = RGB.replace(" WHERE l_linenumber = 1", "")
+
+
 def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    return _rgb(read(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
+
+
+def rgb_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rgb(read(spark, sf_dir, "lineitem"))
+
+
+def _rgb(li: DataFrame) -> DataFrame:
     return li.groupBy((F.col("l_suppkey") % 20).alias("cell_id"), (F.col("l_partkey") % 16).cast("int").alias("row"), (F.col("l_orderkey") % 16).cast("int").alias("col")).agg(
         F.max(F.when(F.col("l_quantity") < 25, 0).otherwise(F.col("l_quantity").cast("int"))).alias("r"), F.max(F.when(F.col("l_returnflag") == "R", 9).otherwise(0)).alias("g"), F.lit(0).alias("b")
     )

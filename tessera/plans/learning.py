@@ -53,7 +53,10 @@ def class_weights(spark, sf_dir):
   q AS (SELECT *, CAST(floor((x - 100) / 0.5::DOUBLE) AS INTEGER) AS col, CAST(floor((y - 200) / -0.5::DOUBLE) AS INTEGER) AS row FROM p)
   SELECT coalesce(CASE WHEN q.col BETWEEN 0 AND 31 AND q.row BETWEEN 0 AND 31 THEN class END, 0) AS label, count(*) AS n FROM q LEFT JOIN masks m ON m.tile = q.tile AND m.row = q.row AND m.col = q.col GROUP BY 1""")
 def geo_labels(spark, sf_dir):
-    li = b.read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    return _geo_labels(spark, sf_dir, b.read(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
+
+
+def _geo_labels(spark, sf_dir, li):
     patches = li.select("l_orderkey", (F.col("l_suppkey") % 40).cast("int").alias("tile"), ((F.col("l_partkey") % 37).cast("double") / 2 + 100).alias("x"), (200 - (F.col("l_orderkey") % 35).cast("double") / 2).alias("y"))
     tiles = spark.range(40).select(F.col("id").cast("int").alias("tile"), F.lit(100.0).alias("ox"), F.lit(200.0).alias("oy"), F.lit(0.5).alias("px"), F.lit(-0.5).alias("py"), F.lit(32).alias("w"), F.lit(32).alias("h"))
     return learn.geo_labels(patches, b.masks(spark, sf_dir), tiles).groupBy("label").agg(F.count("*").alias("n"))

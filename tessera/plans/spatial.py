@@ -213,4 +213,4 @@ def study_hull(spark, sf_dir):
 
 @query()
 def footprint(spark, sf_dir):
-    return raster.footprint(b.rgb(spark, sf_dir).where("r > 40 and cell_id < 10").select((F.col("row") + F.expr("cell_id div 5").cast("int") * 16).alias("row"), (F.col("col") + (F.col("cell_id") % 5).cast("int") * 16).alias("col"), "r", "g", "b"), 2, 3)
+    return raster.footprint(b.rgb_all(spark, sf_dir).select((F.col("row") + F.expr("cell_id div 5").cast("int") * 16).alias("row"), (F.col("col") + (F.col("cell_id") % 5).cast("int") * 16).alias("col"), "r", "g", "b"), 2, 3)

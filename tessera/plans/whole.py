@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tessera.operators import geo, raster
 from tessera.plans import bindings as b
+from tessera.plans import learning
 from tessera.plans import spatial as s
 from tessera.plans.registry import query, without
 
@@ -26,3 +29,66 @@ def overlapping_windows_all(spark, sf_dir):
 @query()
 def coverage_heat_all(spark, sf_dir):
     return raster.coverage_heat(geo.overlapping_windows(s._blobs(spark, sf_dir), 256, 64, 8))
+
+
+# The rgb view from all line items, canvases of all its cells ----------------------------------------------------------
+
+_LINE = " WHERE l_linenumber = 1"
+_KEY = ["cell_id"]
+
+
+def _frame(height: int, width: int) -> str:
+    return f"f AS (SELECT cell_id, CAST(r.range AS INTEGER) AS row, CAST(c.range AS INTEGER) AS col FROM (SELECT DISTINCT cell_id FROM rgb), range({height}) r, range({width}) c)"
+
+
+@query(without("cell_coverage", _LINE))
+def cell_coverage_all(spark, sf_dir):
+    return geo.cell_coverage(b.rgb_all(spark, sf_dir), _KEY).withColumn("coverage", F.round("coverage", 6))
+
+
+@query(without("coverage_filter", _LINE))
+def coverage_filter_all(spark, sf_dir):
+    return geo.cell_coverage(b.rgb_all(spark, sf_dir), _KEY).where("coverage >= 0.25").select("cell_id")
+
+
+@query(without("black_windows", _LINE))
+def black_windows_all(spark, sf_dir):
+    p = b.rgb_all(spark, sf_dir).withColumn("wy", F.expr("row div 4").cast("int"))
+    return raster.black_windows(p, ["cell_id", "wy"], 0.02).withColumn("black_frac", F.round("black_frac", 6))
+
+
+@query(without("geo_labels", _LINE))
+def geo_labels_all(spark, sf_dir):
+    return learning._geo_labels(spark, sf_dir, b.read(spark, sf_dir, "lineitem"))
+
+
+@query(f"WITH {b.RGB_ALL}, {_frame(18, 18)} SELECT cell_id, row, col, coalesce(r <> 0 OR g <> 0 OR b <> 0, false) AS has_data FROM f LEFT JOIN rgb USING (cell_id, row, col)")
+def data_mask_all(spark, sf_dir):
+    return raster.data_mask(b.rgb_all(spark, sf_dir), raster.canvas(spark, 18, 18), _KEY)
+
+
+@query(f"""WITH {b.RGB_ALL}, {_frame(18, 18)}
+  SELECT cell_id, row, col, CASE WHEN coalesce(r <> 0 OR g <> 0 OR b <> 0, false) THEN CASE r % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END ELSE 0 END AS code FROM f LEFT JOIN rgb USING (cell_id, row, col)""")
+def class_canvas_all(spark, sf_dir):
+    p = b.rgb_all(spark, sf_dir)
+    k = F.col("r") % 4
+    painted = p.select(*_KEY, "row", "col", F.when(k == 0, 2).when(k == 1, 5).when(k == 2, 40).otherwise(99).alias("class"))
+    return raster.class_codes(painted, [2, 5, 40], raster.data_mask(p, raster.canvas(spark, 18, 18), _KEY), _KEY)
+
+
+@query(f"""WITH {b.RGB_ALL}, o AS (SELECT cell_id, row, col, r / 50.0::DOUBLE AS v FROM rgb), {_frame(18, 18)}
+  SELECT cell_id, row, col, coalesce(CAST(floor(v * 255) AS INTEGER), 0) AS r, coalesce(CAST(floor(v * 255) AS INTEGER), 0) AS g, 0 AS b, CASE WHEN v IS NULL THEN 0 ELSE 255 END AS a FROM f LEFT JOIN o USING (cell_id, row, col)""")
+def rgba_canvas_all(spark, sf_dir):
+    v = F.col("r") / F.lit(50.0)
+    p = b.rgb_all(spark, sf_dir).select(*_KEY, "row", "col", v.alias("r"), v.alias("g"), F.lit(0.0).alias("b"))
+    return raster.rgba(p, None, raster.canvas(spark, 18, 18), _KEY)
+
+
+@query(f"WITH {b.RGB_ALL}, {_frame(21, 21)} SELECT f.cell_id, f.row, f.col, coalesce(rgb.r, -1) AS r FROM f LEFT JOIN rgb ON rgb.cell_id = f.cell_id AND rgb.row = least(f.row, 15) AND rgb.col = least(f.col, 15)")
+def edge_pad_all(spark, sf_dir):
+    return raster.edge_padded(b.rgb_all(spark, sf_dir).select(*_KEY, "row", "col", "r"), 16, 16, 7, _KEY).na.fill(-1, ["r"])
+
+
+@query(f"WITH {b.RGB_ALL}, {_frame(10, 10)} SELECT f.cell_id, f.row, f.col, coalesce(rgb.r, 0) AS r FROM f LEFT JOIN rgb ON rgb.cell_id = f.cell_id AND rgb.row = f.row + 9 AND rgb.col = f.col + 4")
+def window_read_all(spark, sf_dir):
+    return raster.window_read(b.rgb_all(spark, sf_dir), 9, 4, 10, 10, ["r"], _KEY).select(*_KEY, "row", "col", "r")

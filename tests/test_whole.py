@@ -30,3 +30,21 @@ def test_heat_against_brute_force(spark):
     want = Counter((r, c) for x, y, w, h in made for r in range(y, y + h) for c in range(x, x + w))
     got = raster.coverage_heat(spark.createDataFrame(made, "col_px int, row_px int, w_px int, h_px int")).collect()
     assert len(got) == len(want) and {(r.row, r.col): r.n_boxes for r in got} == want
+
+
+def test_pixels_of_all_line_items(spark):
+    from tessera.plans import bindings as b
+
+    li = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").collect()
+    spots = {(r.l_suppkey % 20, r.l_partkey % 16, r.l_orderkey % 16) for r in li}
+    assert b.rgb_all(spark, SF_DIR).count() == len(spots) > b.rgb(spark, SF_DIR).count()
+    assert registry.QUERIES["geo_labels_all"](spark, SF_DIR).agg({"n": "sum"}).first()[0] == len(li)
+    for name in ("data_mask_all", "class_canvas_all", "rgba_canvas_all", "edge_pad_all", "window_read_all"):
+        assert registry.QUERIES[name](spark, SF_DIR).select("cell_id").distinct().count() == len({s[0] for s in spots})
+
+
+def test_footprint_takes_all_pixels(spark, monkeypatch):
+    from tessera.plans import bindings as b
+
+    monkeypatch.setattr(raster, "footprint", lambda pixels, *_: pixels)
+    assert registry.QUERIES["footprint"](spark, SF_DIR).count() == b.rgb_all(spark, SF_DIR).count()
