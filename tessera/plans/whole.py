@@ -92,3 +92,28 @@ def edge_pad_all(spark, sf_dir):
 @query(f"WITH {b.RGB_ALL}, {_frame(10, 10)} SELECT f.cell_id, f.row, f.col, coalesce(rgb.r, 0) AS r FROM f LEFT JOIN rgb ON rgb.cell_id = f.cell_id AND rgb.row = f.row + 9 AND rgb.col = f.col + 4")
 def window_read_all(spark, sf_dir):
     return raster.window_read(b.rgb_all(spark, sf_dir), 9, 4, 10, 10, ["r"], _KEY).select(*_KEY, "row", "col", "r")
+
+
+# All boxes ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {b.BOXES} SELECT a.vec_id AS a_id, c.vec_id AS b_id FROM boxes a JOIN boxes c ON a.vec_id < c.vec_id AND {s._TOUCH}")
+def box_join_all(spark, sf_dir):
+    x = b.boxes(spark, sf_dir)
+    return geo.box_join(x.withColumnRenamed("vec_id", "a_id"), x.withColumnRenamed("vec_id", "b_id"), s.CELL, "a_id", "b_id").where("a_id < b_id")
+
+
+@query(f"""WITH {b.BOXES}, sites AS (SELECT CAST(s_suppkey * 37 % 200 - 100 AS DOUBLE) AS xmin, CAST(s_suppkey * 91 % 200 - 100 AS DOUBLE) AS ymin, CAST(s_suppkey * 37 % 200 - 97 AS DOUBLE) AS xmax, CAST(s_suppkey * 91 % 200 - 97 AS DOUBLE) AS ymax FROM supplier)
+  SELECT vec_id FROM boxes a WHERE EXISTS (SELECT 1 FROM sites c WHERE {s._TOUCH})""")
+def box_semi_join_all(spark, sf_dir):
+    """All boxes against a second table, a square for every supplier."""
+    x, y = (F.col("s_suppkey") * n % 200 - 100 for n in (37, 91))
+    sites = b.read(spark, sf_dir, "supplier").select(*[v.cast("double").alias(n) for n, v in (("xmin", x), ("ymin", y), ("xmax", x + 3), ("ymax", y + 3))])
+    return geo.box_semi_join(b.boxes(spark, sf_dir), sites, s.CELL, "vec_id").select("vec_id")
+
+
+@query(without("tile_grid", _LINE, "c.vec_id % 5 = 0 AND "))
+def tile_grid_all(spark, sf_dir):
+    area = spark.createDataFrame([(-100.0, -100.0, 100.0, 100.0)], "xmin double, ymin double, xmax double, ymax double")
+    cover = geo.cell_coverage(b.rgb_all(spark, sf_dir), _KEY).withColumn("cell_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.col("cell_id") + 20 * i)))
+    return geo.tile_grid(area, F.lit(10.0), b.boxes(spark, sf_dir), cover, s.CELL, 0.2).select("cell_id")

@@ -48,3 +48,20 @@ def test_footprint_takes_all_pixels(spark, monkeypatch):
 
     monkeypatch.setattr(raster, "footprint", lambda pixels, *_: pixels)
     assert registry.QUERIES["footprint"](spark, SF_DIR).count() == b.rgb_all(spark, SF_DIR).count()
+
+
+def test_pairs_of_even_and_of_odd_boxes(spark):
+    pairs = registry.QUERIES["box_join_all"](spark, SF_DIR)
+    assert {(r.a, r.b) for r in pairs.selectExpr("a_id % 2 AS a", "b_id % 2 AS b").distinct().collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert {r.v for r in registry.QUERIES["box_semi_join_all"](spark, SF_DIR).selectExpr("vec_id % 2 AS v").distinct().collect()} == {0, 1}
+
+
+def test_boosted_probe_judges_all_labels(spark, monkeypatch):
+    from tessera.operators import learn, stats
+
+    seen = []
+    monkeypatch.setattr(learn, "boosted_probe", lambda train, **_: seen.append(train))
+    monkeypatch.setattr(learn, "predict", lambda test, _: test)
+    monkeypatch.setattr(stats, "accuracy", lambda test: test)
+    seen.append(registry.QUERIES["boosted_probe"](spark, SF_DIR))
+    assert [df.select("label").distinct().count() for df in seen] == [10, 10]
