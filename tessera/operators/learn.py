@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as fv
 
+#: queries of one piece, and the least number of pieces, in ``neighbour_vote``
+QUERIES, MEETINGS = 2048, 12
+
 
 def candidates(counts: DataFrame, tile: str, least: int = 500) -> DataFrame:
     """Tiles with more than ``least`` labelled pixels."""
@@ -110,37 +113,62 @@ def purity(pixels: DataFrame, key: list[str], label: str = "class") -> DataFrame
     return n.groupBy(*key).agg(best.alias("label"), (F.max("n") / F.sum("n")).alias("purity"))
 
 
-def neighbour_vote(queries: DataFrame, labelled: DataFrame, k: int, key: str, label: str = "label", column: str = "vec", most: int = 200_000, digits: int = 9) -> DataFrame:
+def neighbour_vote(queries: DataFrame, labelled: DataFrame, k: int, key: str, label: str = "label", column: str = "vec", block: int = 32_768, digits: int = 9) -> DataFrame:
     """Similarity-weighted vote of the k nearest labelled vectors: label, confidence (its share of the weight), margin and
     best similarity.
 
-    The labelled side must be a bounded reference set (checked against ``most`` rows); queries stream past it in blocks
-    with one matrix product a batch. Similarities are rounded before ranking and ties go to the smaller key."""
-    rows = labelled.select(key, label, column).limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} labelled vectors: use ``approximate_neighbours``")
-    rows = rows.sort_values(key).reset_index(drop=True)
-    unit = lambda x: x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
-    known = unit(np.stack(rows[column].to_numpy()).astype(float)) if len(rows) else np.zeros((0, 1))
-    keys, labels = rows[key].to_numpy(), rows[label].to_numpy()
-
-    def run(parts):
+    Both sides are cut into pieces (``block`` labelled rows, QUERIES queries) and every piece of one meets every piece of
+    the other in a task of its own; the k best of each meeting are merged for every query. So any number of labelled rows
+    gives the exact result, at a cost of queries times labelled rows. Similarities are rounded before ranking and ties go
+    to the smaller key."""
+    n, m = max(1, -(-labelled.count() // block)), max(MEETINGS, -(-queries.count() // QUERIES))
+    kind = lambda c, d: d.schema[c].dataType.simpleString()
+    piece = lambda count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    # numbered before they are repeated: queries of one key stay apart, pieces of one query together
+    asked = queries.select(F.monotonically_increasing_id().alias("_id"), F.col(key).alias("_q"), F.col(column).alias("_vec"))
+    asked = asked.withColumn("_i", F.pmod("_id", F.lit(m)).cast("int")).withColumn("_j", every(n))
+    known = labelled.select(F.col(key).alias("_l"), F.col(label).alias("label"), F.col(column).alias("_vec"), piece(n).alias("_j"), every(m).alias("_i"))
+
+    def matrix(column: pd.Series) -> np.ndarray:
+        x = np.stack(column.to_numpy()).astype(float)
+        return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        right = right.sort_values("_l").reset_index(drop=True)
+        keys, labels = right["_l"].to_numpy(), right["label"].to_numpy()
+        others = matrix(right["_vec"]) if len(right) else None
+        for at in range(0, len(left), 256):
+            part = left.iloc[at : at + 256]
+            sims = np.round(matrix(part["_vec"]) @ others.T, digits) if len(right) else np.zeros((len(part), 0))
+            for i, q, s in zip(part["_id"], part["_q"], sims, strict=True):
+                s = np.where(keys == q, -np.inf, s)
+                far = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+                near = np.flatnonzero((s >= far) & (s > -np.inf))
+                near = near[np.argsort(-s[near], kind="stable")][:k]
+                out += [(i, q, s[x], keys[x], labels[x]) for x in near] or [(i, q, None, None, None)]
+        return pd.DataFrame(out, columns=["_id", "_q", "_s", "_l", "label"])
+
+    met = asked.groupBy("_i", "_j").cogroup(known.groupBy("_i", "_j")).applyInPandas(meet, f"_id long, _q {kind(key, queries)}, _s double, _l {kind(key, labelled)}, label {kind(label, labelled)}")
+    place = F.row_number().over(Window.partitionBy("_id").orderBy(F.col("_s").desc_nulls_last(), "_l"))
+    best = met.withColumn("_p", place).where(f"_p <= {k}")
+    each = best.groupBy("_id").agg(F.first("_q").alias("_q"), F.array_sort(F.collect_list(F.when(F.col("_s").isNotNull(), F.struct("_p", "_s", "label")))).alias("_near"))
+
+    def vote(parts):
         for pdf in parts:
             out = []
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                sims = np.round(unit(np.stack(part[column].to_numpy()).astype(float)) @ known.T, digits)
-                for q, s in zip(part[key], sims, strict=True):
-                    near = np.lexsort((keys, -s))
-                    near = near[keys[near] != q][:k]
-                    votes = pd.Series(s[near]).groupby(labels[near]).sum().sort_index()
-                    votes = votes.sort_values(ascending=False, kind="stable")
-                    whole = votes.sum()
-                    out.append((q, votes.index[0], votes.iloc[0] / whole, (votes.iloc[0] - (votes.iloc[1] if len(votes) > 1 else 0.0)) / whole, s[near[0]]) if len(near) else (q, None, 0.0, 0.0, 0.0))
+            for q, near in zip(pdf["_q"], pdf["_near"], strict=True):
+                if not len(near):
+                    out.append((q, None, 0.0, 0.0, 0.0))
+                    continue
+                s = [x["_s"] for x in near]
+                votes = pd.Series(s).groupby([x["label"] for x in near]).sum().sort_index().sort_values(ascending=False, kind="stable")
+                whole = votes.sum()
+                out.append((q, votes.index[0], votes.iloc[0] / whole, (votes.iloc[0] - (votes.iloc[1] if len(votes) > 1 else 0.0)) / whole, s[0]))
             yield pd.DataFrame(out, columns=[key, "label", "confidence", "margin", "best_similarity"])
 
-    kind = lambda c, d: d.schema[c].dataType.simpleString()
-    return queries.select(key, column).mapInPandas(run, f"{key} {kind(key, queries)}, label {kind(label, labelled)}, confidence double, margin double, best_similarity double")
+    return each.select("_q", "_near").mapInPandas(vote, f"{key} {kind(key, queries)}, label {kind(label, labelled)}, confidence double, margin double, best_similarity double")
 
 
 def abstained(votes: DataFrame, least_margin: float, least_similarity: float) -> DataFrame:

@@ -94,6 +94,25 @@ def test_neighbours_match_brute_force(shifted):
         assert got[q].best_similarity == pytest.approx(s.max(), abs=1e-8)
 
 
+def test_votes_do_not_depend_on_pieces(spark, shifted):
+    """More labelled rows than one piece holds; a repeated vector has ties; nothing labelled gives no label."""
+    e = shifted.withColumn("vec", F.when(F.col("vec_id") % 9 == 0, F.transform("vec", lambda x: x * 0 + 1)).otherwise(F.col("vec")))
+    x = matrix(e)
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-8
+    labels = np.array([r.label for r in e.orderBy("vec_id").collect()])
+    rows = learn.neighbour_vote(e.where("vec_id < 20"), e, 5, "vec_id", block=60, digits=6).collect()
+    got = {r.vec_id: r for r in rows}
+    assert len(rows) == len(got) == 20
+    for q in range(20):
+        s = np.round(x @ x[q], 6)
+        near = [i for i in np.lexsort((np.arange(len(s)), -s)) if i != q][:5]
+        votes = {v: sum(s[i] for i in near if labels[i] == v) for v in labels[near]}
+        assert got[q].best_similarity == pytest.approx(s[near[0]]) and votes[got[q].label] == pytest.approx(max(votes.values()), abs=1e-6)
+        assert got[q].confidence == pytest.approx(max(votes.values()) / sum(votes.values()), abs=1e-6)
+    none = learn.neighbour_vote(e.where("vec_id < 3"), e.limit(0), 5, "vec_id").collect()
+    assert len(none) == 3 and all(r.label is None and r.confidence == 0 for r in none)
+
+
 def test_random_projections_find_close_pairs(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((200, 16))
