@@ -33,9 +33,14 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark object q s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE |= frozenset("math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 #: their content is no text of the page
-_RAW = frozenset("script style noscript template svg math iframe object canvas textarea title head".split())
+_RAW = frozenset("script style noscript template svg iframe canvas textarea title annotation annotation-xml".split())
+#: those that stand inside a line of text
+_NOTES = frozenset("annotation annotation-xml".split())
+#: without an end these run to the end of the page, as in a browser; of the others only the tag is skipped then
+_TO_THE_END = frozenset("script style textarea title".split())
 #: an opening tag ends an open one of these
 _ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _DEEP = 10
@@ -51,7 +56,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
     open_tags: dict[str, int] = {}
     text: list[str] = []
     linked = 0
-    end = 0
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -103,10 +108,19 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
                 pop(tag)
             continue
         if tag in _RAW and not found[3].rstrip().endswith("/"):
+            if tag not in _NOTES:
+                flush()
+            close = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if close:
+                at = close.end()
+            elif tag in _TO_THE_END:
+                at = n
+            else:
+                endless.add(tag)
+            continue
+        if tag == "head":
+            # no part of any path: its own content is raw or void, and what else follows belongs to the body
             flush()
-            close = re.compile(rf"</{re.escape(tag)}\s*>" + ("|(?=<body)" if tag == "head" else ""), re.I).search(page, at)
-            # an open head without an end holds no text; other raw text runs to the end of the page
-            at = close.end() if close else n
             continue
         if tag == "br":
             text.append(" ")

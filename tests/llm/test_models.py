@@ -245,6 +245,17 @@ def test_block_parsing():
         ex.blocks(broken)
 
 
+@pytest.mark.parametrize("start", ["<html><head><title>t</title>", "<head><meta charset=x><style>p{}</style>", "<svg><path d=x>", "<math>", "<object>", "<canvas>", "<iframe src=x>"])
+def test_text_after_what_has_no_end(start):
+    got = ex.blocks(start + "<h1>T</h1><p>Article")
+    assert [t for t, _, _ in got] == ["T", "Article"] and not any("head" in names for _, names, _ in got)
+
+
+def test_formulas_and_objects_are_text():
+    page = "<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p><object data=a><p>else this</p></object><svg><text>no</text></svg></article>"
+    assert [t for t, _, _ in ex.blocks(page)] == ["so x=1 holds", "else this"]
+
+
 def test_gradients(labeller):
     model = ex.Labeller(seed=1)
     rng = np.random.default_rng(0)
