@@ -43,7 +43,6 @@ _NOTES = frozenset("annotation annotation-xml".split())
 _TO_THE_END = frozenset("script style textarea title".split())
 #: an opening tag ends an open one of these
 _ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_DEEP = 10
 
 
 def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
@@ -63,9 +62,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         whole = " ".join(html.unescape("".join(text)).split())
         if whole:
             path = [x for x in stack if x[0] not in _INLINE]
-            near = path[-_DEEP:]
-            names = {n for _, own in near for n in own} | {n for _, own in path[:3] for n in own}
-            for depth, (_, own) in enumerate(reversed(near[-3:])):
+            names = {n for _, own in path for n in own}
+            for depth, (_, own) in enumerate(reversed(path[-3:])):
                 names |= {f"{depth}:{n}" for n in own}
             out.append((whole, tuple(sorted(names)), min(linked, len(whole))))
         text.clear()
@@ -143,7 +141,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             for name, a, b, c in _ATTRIBUTE.findall(found[3]):
                 value, name = (a or b or c).lower(), name.lower()
                 if name in ("class", "id", "role"):
-                    own += [x for x in _PART.findall(value)[:12]] + [f"{name}={value[:40]}"]
+                    own += [x for x in _PART.findall(value)] + [f"{name}={value[:40]}"]
                 elif name == "hidden" or "true" in value or "none" in value:
                     own.append("@hidden")
         stack.append((tag, tuple(own)))
@@ -169,7 +167,7 @@ def encode(found: list[tuple[str, tuple[str, ...], int]]) -> tuple[list[tuple[in
         paths.append(_path_rows(names))
         words.append(np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % ROWS for w in tokens], np.int64))
         marks = sum(text.count(c) for c in ".,;:!?")
-        figures.append((1.0, np.log1p(len(text)) / 6, np.log1p(len(tokens)) / 5, linked / len(text), marks / max(1, len(tokens)), text[-1] in ".!?:\"»”", i / len(found), (len(found) - i) / len(found), np.log1p(len(found)) / 5, sum(c.isdigit() for c in text[:200]) / min(200, len(text))))
+        figures.append((1.0, np.log1p(len(text)) / 6, np.log1p(len(tokens)) / 5, linked / len(text), marks / max(1, len(tokens)), text[-1] in ".!?:\"»”", i / len(found), (len(found) - i) / len(found), np.log1p(len(found)) / 5, sum(c.isdigit() for c in text) / len(text)))
     return paths, words, np.array(figures, np.float32).reshape(-1, FIGURES)
 
 

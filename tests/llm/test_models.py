@@ -256,6 +256,13 @@ def test_formulas_and_objects_are_text():
     assert [t for t, _, _ in ex.blocks(page)] == ["so x=1 holds", "else this"]
 
 
+def test_no_ancestor_class_or_digit_is_cut():
+    deep = "<div>" * 5 + "<div class=comments>" + "<div>" * 20 + "x"
+    assert "comments" in ex.blocks(deep)[0][1]
+    assert "last" in ex.blocks(f'<div class="{" ".join("abcdefghijklmnop")} last">x</div>')[0][1]
+    assert ex.encode(ex.blocks("<p>" + "a" * 300 + "1" * 100))[2][0, -1] == pytest.approx(0.25)
+
+
 def test_gradients(labeller):
     model = ex.Labeller(seed=1)
     rng = np.random.default_rng(0)
