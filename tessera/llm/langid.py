@@ -6,7 +6,7 @@ the classifiers least, each bit weighted by how well it was learned, is chosen,
 cost nearly the same is flagged as ambiguous.
 
 The classifiers are fitted on the driver on a bounded sample: at most MOST_TRAINED documents, equally many of each
-language, in the order of a hash of their ids. Scoring is one pass over whole texts; the model is
+language, in the order of a hash of their ids and texts. Scoring is one pass over whole texts; the model is
 BINS x bits numbers.
 """
 
@@ -30,13 +30,15 @@ SPARE = 3
 UNKNOWN = "und"
 #: the second-best language must cost this much more for a sure answer
 AMBIGUOUS_MARGIN = 0.05
+#: letters, and few other characters: numbers such as ½ or Ⅷ, which are looked at one by one
 _LETTER = re.compile(r"[^\W\d_]")
 #: letters and non-ASCII bytes stay, all else separates
 _KEPT = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a character of Unicode category L stands in the text (str.isalpha knows just these)."""
+    return bool(text) and any(found[0].isalpha() for found in _LETTER.finditer(text))
 
 
 def features(text: str) -> np.ndarray:
@@ -126,22 +128,25 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, held_out: Column, most: int = MOST_TRAINED, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """Fits on documents that are not held out and have a language and a letter; None if there are none."""
-    known = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"), F.col(lang).alias("lang"), held_out.alias("_out")).where("lang is not null and not _out")
+    known = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"), F.col(lang).alias("lang"), held_out.alias("_out")).where("lang is not null and text is not null and not _out")
     counts = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
     if not counts:
         return None
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     each = max(1, most // len(counts))
+    known = known.withColumn("_hash", F.xxhash64("text"))
     # of each language about SPARE times as many as are wanted, by a hash, go on to be ordered: few rows however hot it is
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (SPARE * each + 100) / r["count"]))])
-    chance = uniform_hash("language", F.col("_key"))
-    likely = known.where("text is not null").select("_key", "lang", chance.alias("_u")).where(F.col("_u") < share[F.col("lang")])
-    order = Window.partitionBy("lang").orderBy("_u", "_key")
+    chance = uniform_hash("language", F.col("_key"), F.col("_hash"))
+    likely = known.select("_key", "_hash", "lang", chance.alias("_u")).where(F.col("_u") < share[F.col("lang")]).distinct()
+    order = Window.partitionBy("lang").orderBy("_u", "_key", "_hash")
     picked = likely.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= each)
-    # at most ``most`` keys
-    sample = known.join(F.broadcast(picked.select("_key", F.col("lang").alias("_lang"))), "_key").where("lang = _lang").select("lang", "text")
-    got = sample.mapInArrow(lambda it: trimmed(_rows(it)), "lang string, x binary").limit(2 * most).toArrow()
+    # at most ``most`` rows; rows equal in key, text and language are learned from once
+    picked = F.broadcast(picked.select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), F.col("lang").alias("_lang")))
+    same = (F.col("_hash") == F.col("_h")) & (F.col("lang") == F.col("_lang")) & F.col("_key").eqNullSafe(F.col("_k"))
+    sample = known.join(picked, same, "left_semi").groupBy("_key", "_hash", "lang").agg(F.first("text").alias("text")).select("lang", "text")
+    got = sample.mapInArrow(lambda it: trimmed(_rows(it)), "lang string, x binary").toArrow()
     if not got.num_rows:
         return None
     # one buffer, not copied: the driver holds the sample once
@@ -183,22 +188,24 @@ def identify(docs: DataFrame, held_out: Column | None = None, most: int = MOST_T
     return out.withColumnRenamed("k", key)
 
 
-def known(docs: DataFrame, held_out: Column | None = None, most: int = MOST_TRAINED, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language can be told (not ``und``): a filter without a shuffle. A text
-    in two languages is ambiguous but stays. If nothing can be learned, texts with a letter stay."""
+def known(docs: DataFrame, held_out: Column | None = None, most: int = MOST_TRAINED, key: str = "doc_id", text: str = "text", lang: str = "lang", accepted: tuple[str, ...] | None = None, model: Model | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language the codewords tell: a filter without a shuffle.
+
+    A text goes if its language is ``und``, if it is flagged as ambiguous (the two nearest codewords cost nearly the
+    same) or if the language is none of ``accepted`` (by default all learned ones are accepted). Null texts and texts
+    without a letter are ``und``; if nothing can be learned, nothing can be told and every row goes. ``model`` takes the
+    place of a model trained on ``docs``.
+    """
     at = docs.columns.index(text)
-    model = train(docs, crc(F.col(key)) % 4 == 2 if held_out is None else held_out, most, key, text, lang)
+    model = model or train(docs, crc(F.col(key)) % 4 == 2 if held_out is None else held_out, most, key, text, lang)
     release_memory()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
-            texts = batch.column(at)
-            if model is None:
-                keep = [has_letter(t) for t in texts.to_pylist()]
-            else:
-                none = pa.array([None] * batch.num_rows, pa.bool_())
-                judged = next(_predict(iter([pa.RecordBatch.from_arrays([none, none, texts], names=["k", "o", "t"])]), model))
-                keep = [x != UNKNOWN for x in judged.column("lang_pred").to_pylist()]
+            none = pa.array([None] * batch.num_rows, pa.bool_())
+            judged = next(_predict(iter([pa.RecordBatch.from_arrays([none, none, batch.column(at)], names=["k", "o", "t"])]), model))
+            found = zip(judged.column("lang_pred").to_pylist(), judged.column("ambiguous").to_pylist(), strict=True)
+            keep = [x != UNKNOWN and not unsure and (accepted is None or x in accepted) for x, unsure in found]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(lambda it: trimmed(run(it)), docs.schema)
