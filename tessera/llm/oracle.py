@@ -56,7 +56,7 @@ o AS (SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.t = y.t AND x.d
 r AS (SELECT a, b FROM o UNION SELECT r.a, o.b FROM r JOIN o ON r.b = o.a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.low, s.doc_id)) AS component_id FROM s LEFT JOIN (SELECT a, min(b) AS low FROM r GROUP BY a) m ON m.a = s.doc_id"""
 
-_ALPHA, _DELTA, _RULES = 0.05, 0.1, quality_rules.RULES
+_ALPHA, _DELTA, _RULES, _STEPS = 0.05, 0.1, quality_rules.RULES, quality_rules.STEPS
 _CUTS = ", ".join(f"('{name}', {i}, {c!r}::DOUBLE)" for name, cuts in _RULES.items() for i, c in enumerate(cuts))
 
 RULES = rf"""
@@ -64,21 +64,24 @@ WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS.format("text
 l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1) GROUP BY 1),
-f AS (SELECT l.doc_id, coalesce(lang, '') AS stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+f AS (SELECT l.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
   len(lines) AS n_lines, length(text) - length(translate(text, '!?', '')) AS n_marks, length(regexp_replace(text, '\P{{Lu}}', '', 'g')) AS n_capitals, length(regexp_replace(text, '\P{{L}}', '', 'g')) AS n_letters
   FROM l LEFT JOIN c USING (doc_id)),
-x AS (SELECT doc_id, stratum, unnest([{{'rule': 'symbols', 'x': CASE WHEN word_chars > 0 THEN n_symbols::DOUBLE / word_chars ELSE 0 END}}, {{'rule': 'marks', 'x': CASE WHEN word_chars > 0 THEN n_marks::DOUBLE / word_chars ELSE 0 END}},
+b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM f),
+x AS (SELECT doc_id, lang, unnest([{{'rule': 'symbols', 'x': CASE WHEN word_chars > 0 THEN n_symbols::DOUBLE / word_chars ELSE 0 END}}, {{'rule': 'marks', 'x': CASE WHEN word_chars > 0 THEN n_marks::DOUBLE / word_chars ELSE 0 END}},
   {{'rule': 'capitals', 'x': CASE WHEN n_letters > 0 THEN n_capitals::DOUBLE / n_letters ELSE 0 END}}, {{'rule': 'same_lines', 'x': CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END}},
-  {{'rule': 'repeats', 'x': CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END}}], recursive := true) FROM f),
-y AS (SELECT x.*, quality FROM x JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
-s AS (SELECT stratum, count(DISTINCT doc_id) FILTER (quality = 1) AS good, count(DISTINCT doc_id) FILTER (quality = 0) AS bad, count(*) OVER () AS strata FROM y GROUP BY 1),
-b AS (SELECT stratum, k, sum(exp(lgamma(good + 1) - lgamma(k + 1) - lgamma(good - k + 1) + k * ln({_ALPHA / len(_RULES)!r}) + (good - k) * ln(1 - {_ALPHA / len(_RULES)!r}::DOUBLE))) OVER (PARTITION BY stratum ORDER BY k) AS tail, {_DELTA!r} / (strata * {len(_RULES)}) AS error FROM (SELECT *, unnest(range(0, good + 1)) AS k FROM s)),
-a AS (SELECT stratum, coalesce(max(k) FILTER (tail <= error), -1) AS allowed FROM b GROUP BY 1),
+  {{'rule': 'repeats', 'x': CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END}}], recursive := true) FROM b WHERE NOT base_failed),
 cuts(rule, place, cutoff) AS (VALUES {_CUTS}),
-n AS (SELECT y.stratum, cuts.rule, place, cutoff, count(*) FILTER (x > cutoff AND quality = 1) AS lost, count(*) FILTER (x > cutoff AND quality = 0) AS caught FROM y JOIN cuts USING (rule) GROUP BY 1, 2, 3, 4),
-z AS (SELECT n.*, caught::DOUBLE / nullif(bad, 0) AS c, lost::DOUBLE / nullif(good, 0) AS d, bool_and(lost <= allowed) OVER (PARTITION BY n.stratum, rule ORDER BY place) AS ok FROM n JOIN a USING (stratum) JOIN s USING (stratum)),
-held AS (SELECT stratum, rule, arg_min(cutoff, (-(coalesce(c, 0) - coalesce(d, 0)), place)) AS cutoff FROM z WHERE ok AND coalesce(c, 0) - coalesce(d, 0) > 0 GROUP BY 1, 2),
-v AS (SELECT x.doc_id, bool_or(x > cutoff) AS rejected FROM x LEFT JOIN held USING (stratum, rule) GROUP BY 1)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(rejected, false) AS kept FROM f JOIN v USING (doc_id)"""
+y AS (SELECT doc_id, lang, quality, (CAST('0x' || substr(md5('select:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 < {quality_rules.SELECTING!r} AS selecting FROM b JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND NOT base_failed),
+n AS (SELECT y.lang, rule, place, count(*) FILTER (x > cutoff AND quality = 1) / nullif(count(*) FILTER (quality = 1), 0)::DOUBLE AS lost, count(*) FILTER (x > cutoff AND quality = 0) / nullif(count(*) FILTER (quality = 0), 0)::DOUBLE AS caught FROM y JOIN x USING (doc_id) JOIN cuts USING (rule) WHERE selecting GROUP BY y.lang, rule, place),
+aim AS (SELECT lang, rule, arg_min(place, (-(coalesce(caught, 0) - coalesce(lost, 0)), place)) AS aim FROM n WHERE coalesce(caught, 0) - coalesce(lost, 0) > 0 GROUP BY 1, 2),
+path AS (SELECT lang, step, aim.rule, cutoff FROM aim, (SELECT unnest(range(1, {_STEPS + 1})) AS step) JOIN cuts ON cuts.rule = aim.rule AND cuts.place = aim.aim * step // {_STEPS}),
+hit AS (SELECT x.doc_id, min(step) AS first FROM x JOIN path ON x.lang IS NOT DISTINCT FROM path.lang AND x.rule = path.rule AND x.x > path.cutoff GROUP BY 1),
+s AS (SELECT lang, count(*) FILTER (quality = 1) AS good, count(*) OVER () AS strata FROM y WHERE NOT selecting GROUP BY 1),
+e AS (SELECT lang, k, sum(exp(lgamma(good + 1) - lgamma(k + 1) - lgamma(good - k + 1) + k * ln({_ALPHA!r}) + (good - k) * ln(1 - {_ALPHA!r}::DOUBLE))) OVER (PARTITION BY lang ORDER BY k) AS tail, {_DELTA!r} / strata AS error FROM (SELECT *, unnest(range(0, good + 1)) AS k FROM s)),
+a AS (SELECT lang, coalesce(max(k) FILTER (tail <= error), -1) AS allowed FROM e GROUP BY 1),
+t AS (SELECT a.lang, step, allowed, count(*) FILTER (quality = 1 AND first <= step) AS lost FROM a, (SELECT unnest(range(1, {_STEPS + 1})) AS step), y LEFT JOIN hit USING (doc_id) WHERE y.lang IS NOT DISTINCT FROM a.lang AND NOT selecting GROUP BY 1, 2, 3),
+held AS (SELECT lang, coalesce(min(step) FILTER (lost > allowed), {_STEPS + 1}) - 1 AS step FROM t GROUP BY 1)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(first <= step, false) AS kept
+FROM b LEFT JOIN hit USING (doc_id) LEFT JOIN held ON b.lang IS NOT DISTINCT FROM held.lang"""

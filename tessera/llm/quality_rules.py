@@ -1,24 +1,31 @@
 """Quality rules with risk-controlled thresholds.
 
-Every rule rejects a document whose figure is above a cutoff. Cutoffs are chosen per stratum (language) from all
-labelled documents: a cutoff is certified when an exact binomial test shows that it rejects at most ``alpha`` / rules
-of the good documents, at error rate ``delta`` / (strata * rules) (Bonferroni). Cutoffs of one rule are tested from
-lenient to strict and the first failure ends the sequence, which needs no further correction. Of the certified
-cutoffs, the one that best separates bad from good labelled documents holds; a rule that separates nothing, or has no
-certified cutoff in a stratum, rejects nothing there. So with probability 1 - ``delta`` no stratum loses more than
-``alpha`` of its good documents to the rules.
-
-Scale: figures are computed in one pass inside the JVM; nothing but counts per (stratum, rule, cutoff) is gathered.
+Every rule rejects a document whose figure is above a cutoff. Cutoffs are set per stratum (language) from the labelled
+documents that pass the base rule, in two parts dealt by a hash of the key:
+
+1. One third selects. For each rule the cutoff that best separates bad from good documents there is its aim; a rule that
+   separates nothing has none. The aims make a path of STEPS vectors of cutoffs: at each step all rules go on together
+   along their lists, from their most lenient cutoff to their aim.
+2. Two thirds certify. A step is tested with an exact binomial bound: the documents that any of its cutoffs rejects must
+   be so few among the good ones that a false rejection rate over ``alpha`` is refuted at error ``delta`` / strata
+   (Bonferroni over the strata). Steps are tested from lenient to strict, each at the full error, and the first that
+   fails ends the sequence (fixed-sequence testing needs no further correction).
+
+The last certified step holds; without one the stratum has no rule. So with probability 1 - ``delta`` the rules reject
+no more than ``alpha`` of the good documents of any stratum (of those that pass the base rule).
+
+Scale: figures are computed in one pass inside the JVM; nothing but counts per (stratum, rule, cutoff) and per (stratum,
+step) is gathered.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, words
+from tessera.llm.common import stored, uniform_hash, words
 
 SYMBOLS = "#*$%&|<>"
 #: figure -> cutoffs, lenient first
@@ -29,6 +36,9 @@ RULES = {
     "same_lines": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1),
     "repeats": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2),
 }
+STEPS = 16
+#: share of the labelled documents that selects cutoffs; the others certify
+SELECTING = 1 / 3
 #: positions take this many bits of a packed key; longer texts are compared word by word
 POSITION_BITS = 22
 
@@ -119,43 +129,67 @@ def most_allowed(good: Column, alpha: float, error: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), start, add, lambda acc: acc["k"])
 
 
-def thresholds(labelled: DataFrame, alpha: float, delta: float, rules: dict[str, tuple[float, ...]] = RULES) -> DataFrame:
-    """stratum, rule, cutoff, tested on ``labelled`` (stratum, good, one column per rule): one row for each rule that
-    holds in a stratum."""
+def aims(selecting: DataFrame, rules: dict[str, tuple[float, ...]] = RULES) -> DataFrame:
+    """stratum, aims (rule -> place in its list of cutoffs): of each rule the cutoff with the largest share of bad
+    documents above it less that of good ones, the most lenient of equals; rules without a gain are left out."""
     above = [F.sum(((F.col(name) > c) & (F.col("good") == which)).cast("long")).alias(f"{name}_{i}_{which}") for name, cuts in rules.items() for i, c in enumerate(cuts) for which in (0, 1)]
-    counts = labelled.groupBy("stratum").agg(F.sum((F.col("good") == 1).cast("long")).alias("n_good"), F.sum((F.col("good") == 0).cast("long")).alias("n_bad"), *above)
-    counts = counts.withColumn("_tests", F.count("*").over(Window.partitionBy()) * F.lit(len(rules)))
-    counts = counts.withColumn("_allowed", most_allowed(F.col("n_good"), alpha / len(rules), F.lit(delta) / F.col("_tests")))
-    each = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(i).alias("at"), F.lit(float(c)).alias("cutoff"), F.col(f"{name}_{i}_1").alias("lost"), F.col(f"{name}_{i}_0").alias("caught")) for name, cuts in rules.items() for i, c in enumerate(cuts)])
-    long = counts.select("stratum", "n_good", "n_bad", "_allowed", F.inline(each))
-    upto = Window.partitionBy("stratum", "rule").orderBy("at")
-    certified = F.max((F.col("lost") > F.col("_allowed")).cast("int")).over(upto) == 0
-    gain = F.when(F.col("n_bad") > 0, F.col("caught") / F.col("n_bad")).otherwise(0.0) - F.when(F.col("n_good") > 0, F.col("lost") / F.col("n_good")).otherwise(0.0)
-    long = long.withColumn("_ok", certified).withColumn("_gain", gain).where(F.col("_ok") & (F.col("_gain") > 0))
-    best = F.row_number().over(Window.partitionBy("stratum", "rule").orderBy(F.col("_gain").desc(), F.col("at")))
-    return long.withColumn("_best", best).where(F.col("_best") == 1).select("stratum", "rule", "cutoff", "lost", "n_good")
+    counts = selecting.groupBy("stratum").agg(F.sum((F.col("good") == 1).cast("long")).alias("n_good"), F.sum((F.col("good") == 0).cast("long")).alias("n_bad"), *above)
+    each = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(i).alias("at"), F.col(f"{name}_{i}_1").alias("lost"), F.col(f"{name}_{i}_0").alias("caught")) for name, cuts in rules.items() for i in range(len(cuts))])
+    long = counts.select("stratum", "n_good", "n_bad", F.inline(each))
+    share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
+    long = long.withColumn("gain", share("caught", "n_bad") - share("lost", "n_good"))
+    best = long.where("gain > 0").groupBy("stratum", "rule").agg(F.max_by("at", F.struct("gain", -F.col("at"))).alias("at"))
+    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "at"))).alias("aims"))
+
+
+def first_step(rules: dict[str, tuple[float, ...]] = RULES) -> Column:
+    """The first step of the path that rejects a document, STEPS + 1 if none: of each rule with an aim the first place at
+    which its figure is above the cutoff, and the step at which the path gets there."""
+    steps = []
+    for name, cuts in rules.items():
+        aim = F.col("aims")[name]
+        # the first cutoff below the figure; the path is at place floor(aim * step / STEPS)
+        place = F.coalesce(*[F.when(F.col(name) > c, F.lit(i)) for i, c in enumerate(cuts)])
+        reached = F.when(place == 0, F.lit(1)).otherwise(F.ceil(place * STEPS / F.when(aim > 0, aim)).cast("int"))
+        steps.append(F.when(aim.isNotNull() & place.isNotNull() & (place <= aim), reached))
+    return F.coalesce(F.least(*steps, F.lit(STEPS + 1)), F.lit(STEPS + 1))
+
+
+def thresholds(labelled: DataFrame, alpha: float, delta: float, rules: dict[str, tuple[float, ...]] = RULES) -> DataFrame:
+    """stratum, aims, step, n_good, lost, n_bad, caught from ``labelled`` (stratum, good, selecting, one column per rule):
+    the strictest certified step of each stratum that has labelled documents to certify with, 0 if none is certified. A
+    null stratum is one of its own."""
+    aimed = aims(labelled.where("selecting"), rules).withColumnRenamed("stratum", "_s")
+    rows = labelled.where("not selecting").join(F.broadcast(aimed), F.col("stratum").eqNullSafe(F.col("_s")), "left").withColumn("_at", first_step(rules))
+    rejects = [F.sum(((F.col("_at") <= step) & (F.col("good") == which)).cast("long")).alias(f"_{step}_{which}") for step in range(1, STEPS + 1) for which in (0, 1)]
+    # one row per stratum: aims are equal within it
+    counts = rows.groupBy("stratum").agg(F.max(F.map_entries("aims")).alias("aims"), F.sum((F.col("good") == 1).cast("long")).alias("n_good"), F.sum((F.col("good") == 0).cast("long")).alias("n_bad"), *rejects)
+    strata = counts.agg(F.count("*").alias("_strata"))
+    counts = counts.crossJoin(F.broadcast(strata)).withColumn("_allowed", most_allowed(F.col("n_good"), alpha, F.lit(delta) / F.col("_strata")))
+    # the first step that loses too many ends the sequence
+    failed = F.coalesce(*[F.when(F.col(f"_{step}_1") > F.col("_allowed"), F.lit(step)) for step in range(1, STEPS + 1)], F.lit(STEPS + 1))
+    counts = counts.withColumn("step", F.when(F.col("aims").isNull(), 0).otherwise(failed - 1).cast("int"))
+    held = lambda which: F.coalesce(*[F.when(F.col("step") == step, F.col(f"_{step}_{which}")) for step in range(1, STEPS + 1)], F.lit(0))
+    return counts.select("stratum", F.map_from_entries("aims").alias("aims"), "step", "n_good", held(1).alias("lost"), "n_bad", held(0).alias("caught"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.1, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """Every document with its figures, base_failed and kept.
 
     ``labels``: key and quality (1 good, 0 bad; null is skipped). Null and empty text have no words and fail the base
-    rule; a null stratum is one of its own; repeated rows are judged alike; an empty table gives no rows; other columns
-    are not read. Without labels nothing is certified and only the base rule rejects.
+    rule; a null stratum is one of its own; repeated rows are judged alike, repeated labels all count; an empty table
+    gives no rows; other columns are not read. Without labels nothing is certified and only the base rule rejects.
     """
-    base = docs.select(F.col(key), F.col(stratum).alias("_stratum"), F.col(text).alias("_text"))
-    made = figures(base.select(key, F.col("_text").alias("text"), "_stratum").withColumnRenamed(key, "_key").select(F.struct("_key", "_stratum").alias("_id"), "text"), "_id", "text")
-    made = stored(made.select("_id.*", *[c for c in made.columns if c != "_id"]), "figures")
-    shares = ratios()
-    known = labels.select(F.col(key).alias("_key"), F.col("quality").alias("good")).where("good is not null and _key is not null")
-    labelled = made.join(known, "_key").select(F.coalesce("_stratum", F.lit("")).alias("stratum"), "good", *[c.alias(n) for n, c in shares.items()])
-    cuts = thresholds(labelled, alpha, delta)
-    # one row per stratum; what holds is a map from rule to cutoff
-    held = cuts.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cuts"))
-    rejected = F.lit(False)
-    for name, share in shares.items():
-        rejected = rejected | F.coalesce(share > F.col("_cuts")[name], F.lit(False))
+    base = docs.select(F.struct(F.col(key).alias("_key"), F.col(stratum).alias("_stratum")).alias("_id"), F.col(text).alias("text"))
+    made = figures(base, "_id", "text")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = made.withColumn("_s", F.coalesce("_stratum", F.lit(""))).join(held.withColumnRenamed("stratum", "_s"), "_s", "left")
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~rejected)
+    made = stored(made.select("_id.*", *[c for c in made.columns if c != "_id"]).withColumn("base_failed", failed), "figures")
+    shares = [c.alias(n) for n, c in ratios().items()]
+    known = labels.select(F.col(key).alias("_key"), F.col("quality").alias("good")).where("good is not null and _key is not null")
+    labelled = made.where("not base_failed").join(known, "_key").select(F.col("_stratum").alias("stratum"), "good", (uniform_hash("select", F.col("_key")) < SELECTING).alias("selecting"), *shares)
+    # one row per stratum
+    held = thresholds(labelled, alpha, delta).select(F.col("stratum").alias("_s"), "aims", "step")
+    out = made.select("*", *shares).join(held, F.col("_stratum").eqNullSafe(F.col("_s")), "left")
+    rejected = F.coalesce(first_step() <= F.col("step"), F.lit(False))
+    out = out.withColumn("kept", ~F.col("base_failed") & ~rejected)
     return out.select(F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

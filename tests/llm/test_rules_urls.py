@@ -57,12 +57,52 @@ def test_exact_binomial(spark, n):
     assert got == best
 
 
+def test_steps_of_the_path(spark):
+    """A document falls at the first step whose cutoff, floor(aim * step / STEPS) places along, is below its figure."""
+    cuts = {"x": (0.5, 0.3, 0.1, 0.05, 0.01), "y": (0.9, 0.2)}
+    rows = [(x, y, aim) for x in (0.0, 0.02, 0.07, 0.2, 0.4, 0.8) for y in (0.1, 0.3, 0.95) for aim in (None, {"x": 4}, {"x": 0}, {"x": 3, "y": 1}, {"y": 0})]
+    df = spark.createDataFrame(rows, "x double, y double, aims map<string,int>")
+    for r in df.withColumn("at", rules.first_step(cuts)).collect():
+        want = [s for s in range(1, rules.STEPS + 1) if any((r.x if k == "x" else r.y) > cuts[k][a * s // rules.STEPS] for k, a in (r.aims or {}).items())]
+        assert r["at"] == (want[0] if want else rules.STEPS + 1)
+
+
+def labelled_rows(rng, stratum, good, bad, noise=0.0):
+    """Good figures near zero but for a share of ``noise``; bad ones high."""
+    figure = lambda: rng.uniform(0.1, 0.6) if rng.random() < noise else max(0.0, rng.gauss(0.01, 0.005))
+    rows = [(stratum, 1, figure()) for _ in range(good)] + [(stratum, 0, rng.uniform(0.2, 0.6)) for _ in range(bad)]
+    return [(*r, rng.random() < rules.SELECTING) for r in rows]
+
+
 def test_thresholds_are_certified_and_useful(spark):
     rng = random.Random(1)
-    rows = [("en", 1, max(0.0, rng.gauss(0.01, 0.005))) for _ in range(4000)] + [("en", 0, rng.uniform(0.2, 0.6)) for _ in range(300)] + [("xx", 1, 0.0)] * 5 + [("xx", 0, 0.9)] * 5
-    df = spark.createDataFrame(rows, "stratum string, good int, x double")
-    [cut] = rules.thresholds(df, 0.05, 0.1, {"x": (0.5, 0.3, 0.1, 0.05, 0.01)}).collect()
-    assert cut.stratum == "en" and 0.05 <= cut.cutoff <= 0.1 and cut.lost <= 0.05 * cut.n_good
+    rows = labelled_rows(rng, "en", 4000, 300) + labelled_rows(rng, "xx", 5, 5) + labelled_rows(rng, None, 200, 40) + labelled_rows(rng, "", 200, 40, noise=0.5)
+    df = spark.createDataFrame(rows, "stratum string, good int, x double, selecting boolean")
+    got = {r.stratum: r for r in rules.thresholds(df, 0.05, 0.1, {"x": (0.5, 0.3, 0.1, 0.05, 0.01)}).collect()}
+    assert got["en"].step == rules.STEPS and got["en"].lost <= 0.05 * got["en"].n_good and got["en"].caught == got["en"].n_bad
+    assert got["xx"].step == 0, "five documents certify nothing"
+    assert got[None].step == rules.STEPS and got[""].step < rules.STEPS, "a null stratum is none of the empty name"
+
+
+def test_rate_of_false_rejections_over_many_draws(spark):
+    """Where every cutoff truly rejects more than alpha, nearly no draw certifies one: at most delta of them, all
+    strata together, beyond chance."""
+    rng, draws = random.Random(7), 120
+    rows = [r for d in range(draws) for r in labelled_rows(rng, f"{d}", 300, 60, noise=0.055)]
+    df = spark.createDataFrame(rows, "stratum string, good int, x double, selecting boolean")
+    # one draw is one stratum: its share of delta is delta / draws, so delta = 0.1 * draws tests each at 0.1
+    got = rules.thresholds(df, 0.05, 0.1 * draws, {"x": (0.1, 0.09)}).collect()
+    assert len(got) == draws and 1 <= sum(r.step > 0 for r in got) <= 0.1 * draws + 3 * (0.09 * draws) ** 0.5
+
+
+def test_every_language_has_a_rule_that_decides(spark):
+    for sf, least in (("sf0.01", 1), ("sf0.1", 4)):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        out = rules.judge(docs, labels).join(docs.select("doc_id", "lang"), "doc_id")
+        by = {r.lang: r.n for r in out.where("not base_failed and not kept").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        assert len(by) >= least
+        both = out.join(labels, "doc_id").where("not base_failed").collect()
+        assert sum(r.kept for r in both if r.quality == 1) >= 0.95 * sum(r.quality for r in both)
 
 
 def test_rules_keep_good_and_drop_bad(spark):
