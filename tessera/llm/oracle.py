@@ -20,13 +20,18 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0::DOUBLE, 2.0
 o AS (SELECT *, source_size * 2.0::DOUBLE AS cap, (sum(source_size) OVER ()) * 1.5::DOUBLE AS whole FROM s),
 r AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM o),
 l AS (SELECT arg_min((whole - capped) / open, (cap / w, source)) AS level FROM r WHERE (whole - capped) / open * w <= cap),
-t AS (SELECT source, source_size, least(cap, level * w) AS target, CASE WHEN source_size > 0 THEN least(cap, level * w) / source_size ELSE 0 END AS copies FROM r, l),
-x AS (SELECT d.*, source_size, target, CAST(floor(copies) AS BIGINT) AS certain, copies - floor(copies) AS p,
-  (CAST('0x' || substr(md5(concat_ws(':', '1', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(d.source, ''), CAST(size AS VARCHAR))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-q0 AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank, false AS taken FROM x)
+t AS (SELECT source, source_size, coalesce(least(cap, level * w), cap) AS target FROM r LEFT JOIN l ON true),
+k AS (SELECT *, CAST((length(bin(greatest(size, 1))) - 1) // 2 AS INTEGER) AS k FROM d),
+c AS (SELECT source, k, CAST(sum(size) AS DOUBLE) AS words, pow(2.0::DOUBLE, k) AS f FROM k GROUP BY 1, 2),
+v AS (SELECT c.*, source_size, target, (target - 2.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / nullif(sum(words * f) OVER (PARTITION BY c.source ORDER BY k DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, least(2.0::DOUBLE, greatest(0, coalesce(f * arg_max(level, k) FILTER (level * f <= 2) OVER (PARTITION BY source), 2))) AS copies FROM v),
+g AS (SELECT source, k, source_size, target, CAST(floor(copies) AS BIGINT) AS certain, copies - floor(copies) AS p, target - sum(floor(copies) * words) OVER (PARTITION BY source) AS todo FROM e),
+x AS (SELECT k.doc_id, k.source, size, source_size, target, certain, p, todo,
+  (CAST('0x' || substr(md5(concat_ws(':', '1', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(k.source, ''), CAST(size AS VARCHAR))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS u
+  FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source AND k.k = g.k),
+q0 AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank, false AS taken FROM x)
 {"".join(f''',
-m{k} AS (SELECT *, target - certain * source_size - sum(CASE WHEN taken THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest FROM q{k - 1}),
+m{k} AS (SELECT *, todo - sum(CASE WHEN taken THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest FROM q{k - 1}),
 n{k} AS (SELECT *, (NOT taken AND rank IS NOT NULL AND size <= {"2 * rest" if k == mixing.TURNS else "rest"}) AS open FROM m{k}),
 q{k} AS (SELECT * EXCLUDE (rest, open, taken), taken OR (open AND sum(CASE WHEN open THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) - {"size / 2.0::DOUBLE" if k == mixing.TURNS else "0"} <= rest) AS taken FROM n{k})'''
 for k in range(1, mixing.TURNS + 1))}

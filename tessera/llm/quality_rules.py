@@ -164,8 +164,8 @@ def thresholds(labelled: DataFrame, alpha: float, delta: float, rules: dict[str,
     rejects = [F.sum(((F.col("_at") <= step) & (F.col("good") == which)).cast("long")).alias(f"_{step}_{which}") for step in range(1, STEPS + 1) for which in (0, 1)]
     # one row per stratum: aims are equal within it
     counts = rows.groupBy("stratum").agg(F.max(F.map_entries("aims")).alias("aims"), F.sum((F.col("good") == 1).cast("long")).alias("n_good"), F.sum((F.col("good") == 0).cast("long")).alias("n_bad"), *rejects)
-    strata = counts.agg(F.count("*").alias("_strata"))
-    counts = counts.crossJoin(F.broadcast(strata)).withColumn("_allowed", most_allowed(F.col("n_good"), alpha, F.lit(delta) / F.col("_strata")))
+    counts = stored(counts, "strata")
+    counts = counts.withColumn("_allowed", most_allowed(F.col("n_good"), alpha, F.lit(delta / max(1, counts.count()))))
     # the first step that loses too many ends the sequence
     failed = F.coalesce(*[F.when(F.col(f"_{step}_1") > F.col("_allowed"), F.lit(step)) for step in range(1, STEPS + 1)], F.lit(STEPS + 1))
     counts = counts.withColumn("step", F.when(F.col("aims").isNull(), 0).otherwise(failed - 1).cast("int"))

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import mixing, sharding
 from tests.conftest import SF_DIR
@@ -99,18 +100,65 @@ def test_mix_meets_its_targets_and_repeats(spark):
     assert sorted(mixing.mix(docs, seed=2).collect()) != sorted(got)
 
 
-def test_mix_inclusion_follows_the_probabilities(spark):
-    """Over many seeds every document of a source is taken about as often as its expected copies."""
-    docs = spark.createDataFrame([(i, "w " * (1 + i % 5), "abc"[i // 40]) for i in range(120)], "doc_id long, text string, source string")
-    n, total, want = 10, {}, {}
-    for seed in range(n):
-        for r in mixing.mix(docs, seed=seed).collect():
-            total[r.doc_id] = total.get(r.doc_id, 0) + r.taken / r.size / n
-            want[r.doc_id] = r.target / r.source_size
-    assert {round(v, 4) for v in want.values()} == {2.0, 1.6667, 0.8333}
-    for k in range(3):
-        got = [total[i] for i in range(40 * k, 40 * k + 40)]
-        assert sum(got) / 40 == pytest.approx(want[40 * k], abs=0.06) and all(abs(g - want[40 * k]) < 0.5 for g in got)
+def brute_copies(sizes, target, cap=2.0):
+    """size -> expected copies, by halving: min(cap, level * weight), the weight being the power of two about the root."""
+    weight = lambda n: 2 ** ((n.bit_length() - 1) // 2)
+    low, high = 0.0, 4.0 * cap
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(n * min(cap, level * weight(n)) for n in sizes) < target else (low, level)
+    return {n: min(cap, low * weight(n)) for n in sizes}
+
+
+def test_mix_inclusion_follows_unequal_probabilities(spark):
+    """Over several seeds documents of a size class are taken as often as their own expected copies, which differ within
+    a source; whole copies are certain."""
+    docs = spark.createDataFrame([(i, "w " * (1, 3, 5, 12, 20, 70)[i % 6], "abc"[i // 1200]) for i in range(3600)], "doc_id long, text string, source string").cache()
+    source = {r.doc_id: r.source for r in docs.collect()}
+    seeds, total, taken = 4, {}, {}
+    for seed in range(seeds):
+        got = mixing.mix(docs, seed=seed).collect()
+        for r in got:
+            total.setdefault((source[r.doc_id], r.size), []).append(r.taken / r.size)
+        taken |= {source[r.doc_id]: r for r in got}
+    kinds = set()
+    for s in "abc":
+        want = brute_copies([r.size for r in got if source[r.doc_id] == s], taken[s].target)
+        kinds |= {round(c, 3) for c in want.values()}
+        for size, c in want.items():
+            each = total[s, size]
+            assert sum(each) / len(each) == pytest.approx(c, abs=0.07), (s, size)
+            assert {int(x) for x in each} <= {int(c + 1e-9), int(c + 1e-9) + 1}
+    assert len(kinds) >= 5, "unequal probabilities"
+
+
+def test_given_weights_decide(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "a", (1.0, 4.0, None, -3.0)[i % 4]) for i in range(2000)], "doc_id long, text string, source string, quality double")
+    got = mixing.mix(docs, share=0.5, weight="quality").collect()
+    mean = [sum(r.taken / r.size for r in got if r.doc_id % 4 == k) / 500 for k in range(4)]
+    assert mean[1] == pytest.approx(4 * 2 / 7, abs=0.08) and all(mean[k] == pytest.approx(2 / 7, abs=0.08) for k in (0, 2, 3))
+
+
+def test_running_sums_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGES", 5)
+    rng = random.Random(4)
+    rows = [(f"s{i}" if i else None, rng.choice([0, 1, 7, 300])) for i in range(60)]
+    df = spark.createDataFrame(rows, "source string, source_size long")
+    few, many = (sorted(mixing.source_targets(df, (5, 2, 1), 1.5, 2.0, m).collect(), key=str) for m in (False, True))
+    assert few == many
+    monkeypatch.setattr(mixing, "SMALL_SOURCES", 2)
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    whole = sorted(mixing.mix(docs).collect())
+    monkeypatch.undo()
+    assert whole == sorted(mixing.mix(docs).collect())
+
+
+def test_resampled_with_the_operators_own_names(spark):
+    docs = edge.docs(spark)
+    for name in ("_k", "_s", "_n", "_copies", "_copy", "_row", "_key", "_left", "class", "_in"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    out = mixing.resampled(docs)
+    assert out.columns == docs.columns and out.where("_k = 'clash' and _copies = 'clash'").count() == out.count() > 0
 
 
 def test_mix_of_odd_rows(spark):
