@@ -55,7 +55,7 @@ def repeated_words(tokens: Column) -> Column:
     at = lambda array, i: F.get(array, i)
     places = F.when((n >= 4) & (n < (1 << POSITION_BITS)), F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
     packed = F.transform(places, lambda i: F.xxhash64(at(tokens, i), at(tokens, i + 1), at(tokens, i + 2)).bitwiseAND(F.lit(keep)).bitwiseOR(i.cast("long")))
-    return _covered(tokens, _suspects(F.array_sort(packed)), n)
+    return _covered(tokens, _suspects(F.sort_array(packed)), n)
 
 
 def _suspects(ordered: Column) -> Column:
@@ -76,9 +76,9 @@ def _covered(tokens: Column, suspects: Column, n: Column) -> Column:
     def repeated(s: Column) -> Column:
         same = lambda v, w: (v["w"] == w["w"])
         kept = F.filter(s, lambda v, i: F.coalesce(same(v, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(v, F.get(s, i + 1)), F.lit(False)))
-        return F.array_sort(F.transform(kept, lambda v: v["i"]))
+        return F.sort_array(F.transform(kept, lambda v: v["i"]))
 
-    windows = F.array_sort(F.transform(everywhere, lambda i: F.struct(window(i).alias("w"), i.alias("i"))))
+    windows = F.sort_array(F.transform(everywhere, lambda i: F.struct(window(i).alias("w"), i.alias("i"))))
     starts = F.transform(F.array(windows), repeated)
     total = F.transform(starts, lambda p: F.aggregate(p, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-3).alias("last")), lambda acc, x: F.struct((acc["sum"] + F.least(F.lit(3), x - acc["last"])).alias("sum"), x.alias("last")), lambda acc: acc["sum"]))
     return F.coalesce(F.get(total, 0), F.lit(0)).cast("long")
