@@ -33,22 +33,37 @@ def build_session(name: str = "tessera", master: str | None = None, **conf) -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one stands in only where that is
-    unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one stands in if
+    driver and executors are one process, as in tests; on a cluster it has to be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, name: str = "cut") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cut off from its lineage and from what the optimiser
-    knows of it, which would grow from round to round."""
+    knows of it, which would grow from round to round; it survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_folder = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the folders of checkpointed tables that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_tessera_folder", None)
+        if path:
+            spark = df.sparkSession
+            root = spark._jvm.org.apache.hadoop.fs.Path(path)
+            root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def ship_package(spark: SparkSession) -> None:
