@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
+from tessera.session import discard
 
 JUMPS = 3
 
@@ -19,19 +20,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     nodes, repeated edges count once, no edge gives no row.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
-    edges = stored(edges.distinct(), "edges")
+    every = edges = stored(edges.distinct(), "edges")
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node"))
     rest = edges.where("a <> b")
     while not rest.isEmpty():
         both = rest.union(rest.select("b", "a"))
-        hooks = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("h")).select("n", F.least("n", "h").alias("h"))
-        hooks = stored(hooks, "hooks")
+        near = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("h")).select("n", F.least("n", "h").alias("h"))
+        near = hooks = stored(near, "hooks")
         for _ in range(JUMPS):
             onward = hooks.select(F.col("n").alias("m"), F.col("h").alias("o"))
             hooks = hooks.join(onward, F.col("h") == F.col("m")).select("n", F.col("o").alias("h"))
         hooks = stored(hooks, "hooks")
-        labels = labels.join(hooks, F.col("component") == F.col("n"), "left").select("node", F.coalesce("h", "component").alias("component"))
+        before, labels = labels, labels.join(hooks, F.col("component") == F.col("n"), "left").select("node", F.coalesce("h", "component").alias("component"))
         labels = stored(labels, "labels")
         moved = rest.join(hooks.select(F.col("n").alias("a"), F.col("h").alias("x")), "a").join(hooks.select(F.col("n").alias("b"), F.col("h").alias("y")), "b")
-        rest = stored(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        last, rest = every, stored(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        every = rest
+        # what a round is made from goes when the round is written
+        discard(before, near, hooks, last)
     return labels

@@ -13,7 +13,9 @@ but a few tokens, so
    left when its sizes, or the overlap so far with the most that can still follow, rule out t, or when all its sets are
    already in the walker's component. Overlaps at the ends are exact.
 
-Equal sets are one node from the start. Blocks of more than ``BLOCK`` sets are cut into shards that are joined inside and
+Equal sets are one node from the start, whatever their number: only one row of each goes on. A token that very many sets
+have (found in a sample of the sets, which decides nothing but the way) is not shuffled by itself: it counts as frequent
+wherever it stands, and its sets are chained through one set for each class of sizes. Blocks of more than ``BLOCK`` sets are cut into shards that are joined inside and
 then with what is outside of the block's largest component, so no group has to fit into one task and a group of near
 copies is not met pair by pair. Links found make up the components.
 
@@ -23,15 +25,18 @@ Bounds hold for every pair: no partner, candidate or bucket is capped, and no te
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from tessera.llm.common import stored, trimmed
 from tessera.llm.graph import connected_components
+from tessera.session import discard
 
 SHINGLE = 5
 #: similarity as a fraction of whole numbers
@@ -40,6 +45,8 @@ T_NUM, T_DEN = 80, 100
 BLOCK = 1500
 #: a token's count of sets is known up to here; above, all are equally frequent
 FREQUENT = 1 << 20
+#: a token that stands in one of so many sampled sets, and in this share of all sampled rows, is not shuffled by itself
+SAMPLED, HOT_LEAST, MOST_HOT = 64, 64, 10_000
 #: sets that stand for the largest component of a shard
 ENVOYS = 8
 #: shards whose envoys meet in one tree
@@ -103,6 +110,7 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, row) -> (id, print, n, tokens, text, row)."""
     cache = _WordHashes()
     for batch in _small(batches):
         prints, sizes, prefixes = [], [], []
@@ -111,53 +119,44 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iter
             prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             sizes.append(len(s))
             prefixes.append(s[: reach(len(s), num, den)])
-        nodes = [int.from_bytes(p[:8], "little", signed=True) if p else None for p in prints]
         ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
         tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), tokens], names=["id", "node", "print", "n", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), tokens, batch.column(1), batch.column(2)], names=["id", "print", "n", "tokens", "text", "row"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Batches of rows sorted by their first ``keys`` columns -> (columns, starts of the runs), no run cut apart but
-    those of more than FREQUENT rows."""
-    held: list[np.ndarray] | None = None
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, node) sorted by both -> (node, token, number of nodes) of tokens that two nodes or more have. Repeated
+    rows count once. The rows of a token that FREQUENT nodes have go on as they come and all count FREQUENT."""
+    last, over = None, None
+    token = node = np.empty(0, np.int64)
+
+    def counted(stop: int) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.r_[True, token[1:stop] != token[: stop - 1]])
+        count = np.diff(np.r_[starts, stop])
+        each = np.repeat(np.minimum(count, FREQUENT), count)
+        found = each >= 2
+        return pa.RecordBatch.from_arrays([pa.array(node[:stop][found]), pa.array(token[:stop][found]), pa.array(each[found])], names=["node", "token", "df"])
+
     for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if held is not None:
-            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-        if not len(columns[0]):
+        t, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(t):
             continue
-        change = np.zeros(len(columns[0]), bool)
-        change[0] = True
-        for c in columns[:keys]:
-            change[1:] |= c[1:] != c[:-1]
-        starts = np.flatnonzero(change)
-        last = starts[-1]
-        if last == 0 and len(columns[0]) < FREQUENT:
-            held = columns
+        fresh = np.r_[last != (t[0], n[0]), (t[1:] != t[:-1]) | (n[1:] != n[:-1])]
+        last, t, n = (t[-1], n[-1]), t[fresh], n[fresh]
+        more = int(np.searchsorted(t, over, "right")) if over is not None else 0
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.array(n[:more]), pa.array(t[:more]), pa.array([FREQUENT] * more, pa.int64())], names=["node", "token", "df"])
+        if more == len(t):
             continue
-        cut = last if last else len(columns[0])
-        yield [c[:cut] for c in columns], starts[:-1] if last else starts
-        held = [c[cut:] for c in columns] if cut < len(columns[0]) else None
-    if held is not None and len(held[0]):
-        yield held, np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in held[:keys]], axis=0)]) if len(held[0]) > 1 else np.zeros(1, int)
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, node) sorted by both -> (node, token, number of nodes) of tokens that two nodes or more have."""
-    previous = None
-    for (token, node), _ in _runs(batches, 1):
-        keep = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
-        token, node = token[keep], node[keep]
-        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        count = np.diff(np.r_[starts, len(token)])
-        # a run cut apart because it is that frequent
-        count[(count >= FREQUENT // 2) | (token[starts] == previous)] = FREQUENT
-        previous = token[-1] if count[-1] == FREQUENT else None
-        each = np.repeat(count, count if count.max() < FREQUENT else np.diff(np.r_[starts, len(token)]))
-        found = each >= 2
-        if found.any():
-            yield pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(token[found]), pa.array(each[found])], names=["node", "token", "df"])
+        token, node = np.concatenate([token, t[more:]]), np.concatenate([node, n[more:]])
+        stop = int(np.searchsorted(token, token[-1]))
+        if len(token) - stop >= FREQUENT:
+            stop, over = len(token), token[-1]
+        if stop:
+            yield counted(stop)
+            token, node = token[stop:], node[stop:]
+    if len(token):
+        yield counted(len(token))
 
 
 def _chains(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -301,13 +300,10 @@ def _joined(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> It
                 key, nodes, sets, known, walks = now, {}, [], [], []
             if node in nodes:
                 continue
-            s = shingle_set(text, cache, k)
-            # of rows that share an id, only the one whose set this node stands for
-            if len(s) and int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8], "little", signed=True) == node:
-                nodes[node] = len(sets)
-                sets.append(s)
-                known.append(node if fellow is None else fellow)
-                walks.append(walk)
+            nodes[node] = len(sets)
+            sets.append(shingle_set(text, cache, k))
+            known.append(node if fellow is None else fellow)
+            walks.append(walk)
     if len(sets) > 1:
         yield flush()
 
@@ -357,48 +353,96 @@ def _across_shards(members: DataFrame, links: DataFrame, block: int, k: int, num
     # a guest in its own shard is there twice and taken once; the other sets of a shard are only stored
     same = F.col("walks") & (part == F.col("j"))
     rows = shard.withColumn("walks", same).where(~F.col("walks")).select("block", "i", "j", "node", "known", "walks", "text").union(guests.select("block", "i", "j", "node", "known", "walks", "text"))
-    return links.union(_links(rows, k, num, den))
-
-
-def join(docs: DataFrame, k: int = SHINGLE, num: int = T_NUM, den: int = T_DEN, block: int = BLOCK, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id of every row of ``docs``; similarity is num / den or more.
-
-    Null, empty and blank texts have an empty set and are linked with nothing; a null key is no name for a component:
-    such a row gets its n_shingles and the smallest key of those it is linked with, else null. Rows with one key count
-    as one document. Ties can't arise; an empty table gives no rows; other columns are not read.
-    """
-    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    made = stored(slim.mapInArrow(lambda it: trimmed(_sets(it, k, num, den)), "id long, node long, print binary, n long, tokens array<long>"), "sets")
-    named = made.where("n > 0")
-    nodes = named.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.min("print").alias("p"), F.max("print").alias("q"))
-    nodes = stored(nodes.withColumn("n", F.when(F.col("p") == F.col("q"), F.col("n")).otherwise(F.raise_error(F.lit("two sets share a 64-bit name")))).drop("p", "q"), "nodes")
-    tokens = named.select(F.explode("tokens").alias("token"), "node")
-    shared = tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(lambda it: trimmed(_shared(it)), "node long, token long, df long")
+    links = links.union(_links(rows, k, num, den))
+    discard(marked)
+    return links
+
+
+def _hot(tokens: DataFrame) -> DataFrame | None:
+    """Tokens that very many nodes have, judged by the nodes whose hash is a multiple of SAMPLED: at most MOST_HOT, as each
+    takes a MOST_HOT-th of the sampled rows. Whether a token is among them changes the way and not the result."""
+    sample = tokens.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SAMPLED)) == 0)
+    least = max(HOT_LEAST, -(-sample.count() // MOST_HOT))
+    hot = stored(sample.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("token"), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def _through_hubs(rare: DataFrame, num: int, den: int) -> DataFrame:
+    """Chains (a, b) of rows (token, n, node) of hot tokens: all nodes of a token whose sizes are in one class are chained
+    through one of them, and these with those of the next classes. A class is as wide as sizes may differ."""
+    size = F.floor(F.log("n") / F.lit(math.log(den / num))) if num < den else F.col("n")
+    rare = rare.withColumn("cls", size.cast("long"))
+    # at most MOST_HOT tokens times the classes, about a hundred
+    hubs = stored(rare.groupBy("token", "cls").agg(F.min("node").alias("hub")), "hubs")
+    inside = rare.join(F.broadcast(hubs), ["token", "cls"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    # sizes at the very limit may round to the class after the next
+    onward = hubs.select("token", F.explode(F.array(F.col("cls") + 1, F.col("cls") + 2)).alias("cls"), F.col("hub").alias("a"))
+    return inside.union(onward.join(F.broadcast(hubs), ["token", "cls"]).select("a", F.col("hub").alias("b")))
+
+
+def _grouped(docs: DataFrame, k: int, num: int, den: int, block: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (uid, id, print, n, text, row) of ``docs``, and (print, component_id, keeper) of every distinct set: the
+    smallest key of its component and the row that stands for it.
+
+    Rows are named by a number of their own, sets by 128 bits until they are named by one of their rows."""
+    rest = [c for c in docs.columns if c != text]
+    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+    schema = StructType([StructField("id", LongType()), StructField("print", BinaryType()), StructField("n", LongType()), StructField("tokens", ArrayType(LongType())), StructField("text", StringType()), StructField("row", slim.schema["row"].dataType)])
+    made = stored(slim.mapInArrow(lambda it: trimmed(_sets(it, k, num, den)), schema).withColumn("uid", F.monotonically_increasing_id()), "sets")
+    # the row with the smallest key, rows without a key last, stands for a set; copies are combined before they are shuffled
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first")
+    nodes = made.where("n > 0").groupBy("print").agg(first, F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    nodes = stored(nodes.select(F.col("first.uid").alias("node"), F.col("first.id").alias("rep"), "print", "n", "tokens"), "nodes")
+    tokens = nodes.select(F.explode("tokens").alias("token"), "node")
+    hot = _hot(tokens)
+    cold = tokens if hot is None else tokens.join(F.broadcast(hot), "token", "left_anti")
+    shared = cold.repartition("token").sortWithinPartitions("token", "node").mapInArrow(lambda it: trimmed(_shared(it)), "node long, token long, df long")
+    if hot is not None:
+        shared = shared.union(tokens.join(F.broadcast(hot), "token", "left_semi").select("node", "token", F.lit(FREQUENT).cast("long")))
     wanted = (F.floor(F.expr(f"(n * {num} + {den} - 1) div {den}") / 20) + 1).cast("int")
     lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
-    lists = lists.join(nodes, "node").withColumn("_need", wanted).where(F.size("list") >= F.col("_need"))
+    lists = lists.join(nodes.select("node", "n"), "node").withColumn("_need", wanted).where(F.size("list") >= F.col("_need"))
     prefix = F.slice("list", F.lit(1), F.size("list") - F.col("_need") + 1)
     rare = lists.select(F.explode(F.transform(prefix, lambda x: x["token"])).alias("token"), "n", "node")
-    chains = rare.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(lambda it: trimmed(_chains(it, num, den)), "a long, b long")
+    if hot is not None:
+        rare = stored(rare, "rare")
+    alone = rare if hot is None else rare.join(F.broadcast(hot), "token", "left_anti")
+    chains = alone.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(lambda it: trimmed(_chains(it, num, den)), "a long, b long")
+    if hot is not None:
+        chains = chains.union(_through_hubs(rare.join(F.broadcast(hot), "token", "left_semi"), num, den))
     blocks = connected_components(chains).select("node", F.col("component").alias("block"))
     sizes = blocks.groupBy("block").agg(F.count("*").alias("m"))
-    spread = blocks.join(sizes, "block").withColumn("g", F.ceil(F.col("m") / block).cast("int")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    texts = slim.join(spread.join(nodes, "node").select("node", "block", "g", "s", F.col("rep").alias("id")), "id")
-    members = stored(texts.select("block", "g", "s", "node", "text"), "members")
+    # a block may hold a large part of all sets: joined so that its rows can be split
+    spread = blocks.join(sizes.hint("merge"), "block").withColumn("g", F.ceil(F.col("m") / block).cast("int")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    members = made.select(F.col("uid").alias("node"), "text").join(spread, "node")
+    members = stored(members.select("block", "g", "s", "node", "text"), "members")
     links = _links(members.withColumns({"i": F.col("s"), "j": F.lit(0), "known": F.lit(None).cast("long"), "walks": F.lit(True)}), k, num, den)
     cut = members.where("g > 1")
     if not cut.isEmpty():
         links = _across_shards(cut, links, block, k, num, den)
-    found = connected_components(links)
-    named_by = found.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_node = nodes.join(found, "node", "left").join(named_by, "component", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    out = made.select("id", "n", "node").join(of_node, "node", "left")
+    linked = stored(connected_components(links).join(nodes.select("node", "rep"), "node"), "linked")
+    discard(members)
+    least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("least")
+    named = linked.select("node", "component").join(linked.groupBy("component").agg(least).hint("merge"), "component")
+    named = nodes.select("node", "rep", "print").join(named, "node", "left")
+    return made, named.select("print", F.coalesce("least.rep", "rep").alias("component_id"), F.coalesce("least.node", "node").alias("keeper"))
+
+
+def join(docs: DataFrame, k: int = SHINGLE, num: int = T_NUM, den: int = T_DEN, block: int = BLOCK, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles, component_id of every row of ``docs``; similarity is num / den or more.
+
+    Null, empty and blank texts have an empty set and are linked with nothing. A null key is no name for a component, but
+    its row is linked as any: it gets the smallest key of those it can reach, else null. Rows with one key and several
+    texts are compared each for itself; ties can't arise; an empty table gives no rows; other columns are not read.
+    """
+    made, named = _grouped(docs.select(key, text), k, num, den, block, key, text)
+    out = made.select("id", "n", "print").join(named.drop("keeper"), "print", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, num: int = T_NUM, den: int = T_DEN, block: int = BLOCK, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose key names their component: one document of each. Rows without a key
-    stay unless they are linked with a document that has one; rows that share a key stay or go together."""
-    found = join(docs, k, num, den, block, key, text)
-    first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first")).distinct()
-    return docs.join(first, docs[key].eqNullSafe(F.col("_first")), "left_semi")
+    """One row, all columns, of each component of ``docs``: the one with the smallest key (a row without a key only where
+    none has one; of rows equal in key and text, any one). Texts without words are copies of nothing and all stay."""
+    made, named = _grouped(docs, k, num, den, block, key, text)
+    kept = made.where("n > 0").join(named.select(F.col("keeper").alias("uid")), "uid", "left_semi").unionByName(made.where("n = 0"))
+    return kept.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])

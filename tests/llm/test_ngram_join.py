@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import graph
 from tessera.llm import ngram_join as nj
@@ -120,7 +121,42 @@ def test_odd_rows(spark):
     assert got[-1][0] is None and got[-1][1] > 0
     assert nj.join(edge.empty(spark)).count() == 0
     kept = nj.one_of_each(edge.docs(spark))
-    assert kept.columns == edge.docs(spark).columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 1, 2, 3, 4, 5, 6, 7]
+    assert kept.columns == edge.docs(spark).columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
+
+
+def test_rows_without_a_key_link_as_any(spark):
+    """As a near copy, as the bridge between two others, and alone."""
+    words = [f"w{i}" for i in range(100)]
+    changed = lambda low, high: " ".join(w if not low <= i < high else f"x{i}" for i, w in enumerate(words))
+    assert len(brute_set(changed(0, 10)) & brute_set(changed(90, 100))) * 100 < 80 * len(brute_set(changed(0, 10)) | brute_set(changed(90, 100)))
+    rows = [(5, changed(0, 10)), (None, changed(0, 0)), (9, changed(90, 100)), (None, "alone in this table with no key at all"), (None, "alone in this table with no key at all"), (None, None), (3, "a b c"), (3, "d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_first": F.lit("clash"), "keeper": F.lit("clash"), "uid": F.lit("clash")})
+    got = sorted((r.component_id or -1, r.n_shingles) for r in nj.join(docs).collect())
+    assert got == sorted([(5, 96)] * 3 + [(-1, 5)] * 2 + [(-1, 0), (3, 1), (3, 1)])
+    kept = nj.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted([(5, rows[0][1]), (-1, rows[3][1]), (-1, ""), (3, "a b c"), (3, "d e f")])
+
+
+@pytest.mark.parametrize("sampled", [1, 3])
+def test_tokens_that_all_sets_share(spark, hard, sampled, monkeypatch):
+    """With nearly every token hot, chained through hubs and counted as frequent, the result is the same."""
+    monkeypatch.setattr(nj, "SAMPLED", sampled)
+    monkeypatch.setattr(nj, "HOT_LEAST", 2)
+    monkeypatch.setattr(nj, "FREQUENT", 8)
+    sets = {i: brute_set(t) for i, t in hard}
+    want = brute_components(sets)
+    got = {r.doc_id: r.component_id for r in nj.join(spark.createDataFrame(hard, "doc_id long, text string"), block=40).collect()}
+    assert got == want
+
+
+def test_hot_tokens_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(nj, "SAMPLED", 1)
+    monkeypatch.setattr(nj, "HOT_LEAST", 2)
+    monkeypatch.setattr(nj, "MOST_HOT", 10)
+    rows = [(t, n) for t in range(100) for n in range(1 if t > 40 else 50 - t)]
+    hot = nj._hot(spark.createDataFrame(rows, "token long, node long"))
+    assert hot is None or hot.count() <= 10
 
 
 def test_components_of_paths_hubs_and_loops(spark):
@@ -140,6 +176,19 @@ def test_runs_across_batches():
     assert {(r["node"], r["token"], r["df"]) for r in got} == {(i, 2, 7) for i in range(1, 8)} | {(9, 4, 2), (10, 4, 2)}
 
 
+@pytest.mark.parametrize("size", [1, 3, 5, 100])
+def test_counts_across_cut_runs(size, monkeypatch):
+    """Repeated nodes count once, before and after a run is cut; every row of a token has one count."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(nj, "FREQUENT", 8)
+    rows = [(7, 1)] * 8 + [(7, 2)] + [(8, 0)] + [(8, 1)] * 10 + [(8, 2), (8, 3)] + [(9, i) for i in range(20) for _ in range(3)] + [(10, 1)] * 40 + [(11, i) for i in range(8)]
+    parts = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + size]]), pa.array([r[1] for r in rows[i : i + size]])], names=["token", "node"]) for i in range(0, len(rows), size)]
+    got = sorted((r["token"], r["node"], r["df"]) for b in nj._shared(iter(parts)) for r in b.to_pylist())
+    nodes = {t: sorted({n for u, n in rows if u == t}) for t, _ in rows}
+    assert got == [(t, n, min(8, len(nodes[t]))) for t in sorted(nodes) if len(nodes[t]) > 1 for n in nodes[t]]
+
+
 def test_very_frequent_tokens_have_one_count(monkeypatch):
     import pyarrow as pa
 
