@@ -1,9 +1,12 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by id: the id range is cut into equal cells, cells are dealt to shards by their bytes, and each
-shard is written in order by one task as gzip members, rolled to a new file when its compressed size reaches a limit.
+Records are range-sorted by id, then by payload digest: the id range is cut into equal cells, a cell that holds more than
+a shard is cut again (a single id, or rows without one, by digest), so cells are even however the ids are spread. Cells
+are dealt to shards by their bytes, and each shard is written in order by one task as gzip members, rolled to a new file
+when its compressed size reaches a limit.
 Headers and digests are made anew from the payload. A file is written under a temporary name and renamed when it is
-complete; readers take only the files that the manifest lists, and the manifest is renamed last. Bytes depend on the
+complete; readers take only the files that the manifest lists, and the manifest is renamed last, whereupon what failed
+attempts have left is removed. Bytes depend on the
 records and parameters alone, so a task that runs again writes the same files.
 
 Of records with equal payloads the one with the largest id is a response, the others revisit it. Payloads move in one
@@ -16,16 +19,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import stored
+
+#: cells of a level, all cells that are cut again taken together
 CELLS = 65_536
+#: digests are ranges of their first 60 bits
+_DIGESTS = 1 << 60
 #: a shard holds a 4096th of all bytes, but not less or more than this
 SHARD_BYTES = (32 << 20, 1 << 30)
 FILE_BYTES = 1 << 30
@@ -33,6 +43,7 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 MANIFEST = "manifest.json"
+_LEFT = re.compile(r"\.(part-.*|manifest\.json\..*)\.tmp|part-\d+-\d+\.warc\.gz")
 
 
 def digest(payload: bytes) -> str:
@@ -127,25 +138,97 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, limit: int, date: str
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
 
-def _cells(pages: DataFrame, shard_bytes: int | None) -> tuple[str, DataFrame]:
-    """SQL of an id's cell, and (cell, shard): cells in order, dealt to shards of about shard_bytes."""
-    spark = pages.sparkSession
-    low, high = pages.agg(F.min("id"), F.max("id")).first()
-    low, high = low or 0, high or 0
-    width = -(-(high - low + 1) // CELLS)
-    cell = f"coalesce(cast(floor((cast(id as decimal(20,0)) - {low}) / {width}) as int), -1)"
-    weight = pages.groupBy(F.expr(cell).alias("cell")).agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 600).alias("bytes"))
-    dealt, shard, filled = [], 0, 0
-    # at most CELLS + 1 rows at any input size
-    cells = sorted(weight.collect())
+_STEP = "node int, cell int, shard int, child int, by_id boolean, low decimal(20,0), width decimal(20,0)"
+
+
+def _step(node: int, cell: int, shard: int | None, child: int | None, specs: dict) -> tuple:
+    by_id, low, width = specs[child] if child is not None else (None, None, None)
+    return node, cell, shard, child, by_id, None if low is None else Decimal(low), None if width is None else Decimal(width)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Adds the cell of rows (id, sha, node, by_id, low, width); an id that is null has cell -1 among ids."""
+    value = "if(by_id, cast(id as decimal(20,0)), cast(conv(substring(sha, 1, 15), 16, 10) as decimal(20,0)))"
+    return rows.withColumn("cell", F.expr(f"coalesce(cast(({value} - low) div width as int), -1)"))
+
+
+def _root(rows: DataFrame, low: int, width: int) -> DataFrame:
+    number = lambda v: F.lit(v).cast("decimal(20,0)")
+    return rows.withColumns({"node": F.lit(0), "by_id": F.lit(True), "low": number(low), "width": number(width)})
+
+
+def _cells(thin: DataFrame, shard_bytes: int | None) -> tuple[list[DataFrame], int, int, int]:
+    """Tables of steps that lead from the root to every row's shard, one a level, the root's low and width, and the number
+    of shards. ``thin``: id, sha, bytes.
+
+    What comes to the driver is bounded: CELLS sums a level, or two for each cell that holds more than a shard."""
+    spark = thin.sparkSession
+    least, most, whole = thin.agg(F.min("id"), F.max("id"), F.sum("bytes")).first()
+    low, high = least or 0, most or 0
     if shard_bytes is None:
-        shard_bytes = min(SHARD_BYTES[1], max(SHARD_BYTES[0], sum(r.bytes for r in cells) // 4096))
-    for c, b in cells:
-        if filled and filled + b > shard_bytes:
+        shard_bytes = min(SHARD_BYTES[1], max(SHARD_BYTES[0], (whole or 0) // 4096))
+    width = -(-(high - low + 1) // CELLS)
+    levels, specs, rows = [], {0: (True, low, width)}, _root(thin, low, width)
+    while True:
+        placed = _placed(rows)
+        sums = placed.groupBy("node", "cell").agg(F.sum("bytes").alias("bytes")).collect()
+        steps, heavy = {}, []
+        for r in sums:
+            by_id, at, wide = specs[r.node]
+            if r.bytes > shard_bytes and (by_id or wide > 1):
+                heavy.append((r.node, r.cell))
+            steps[r.node, r.cell] = [r.bytes, None]
+        each = max(2, CELLS // max(1, len(heavy)))
+        following = {}
+        for node, cell in sorted(heavy):
+            by_id, at, wide = specs[node]
+            # a cell of one id, or of none, is cut by digest
+            spec = (False, 0, -(-_DIGESTS // each)) if by_id and (cell < 0 or wide == 1) else (by_id, at + cell * wide, -(-wide // each))
+            child = len(specs) + len(following)
+            following[child] = spec
+            steps[node, cell][1] = child
+        levels.append(steps)
+        if not heavy:
+            break
+        specs |= following
+        # rows of cells that are cut again
+        onward = spark.createDataFrame([_step(n, c, None, steps[n, c][1], following) for n, c in heavy], _STEP).drop("shard")
+        rows = placed.select("id", "sha", "bytes", "node", "cell").join(F.broadcast(onward), ["node", "cell"]).drop("node", "cell").withColumnRenamed("child", "node")
+    below: dict[int, list] = {}
+    for steps in levels:
+        for (node, cell), step in steps.items():
+            below.setdefault(node, []).append((cell, step))
+    shard, filled, dealt, stack = 0, 0, {}, [(0, c, s) for c, s in sorted(below.get(0, []), reverse=True)]
+    while stack:
+        node, cell, (size, child) = stack.pop()
+        if child is not None:
+            stack += [(child, c, s) for c, s in sorted(below[child], reverse=True)]
+            continue
+        if filled and filled + size > shard_bytes:
             shard, filled = shard + 1, 0
-        dealt.append((c, shard))
-        filled += b
-    return cell, spark.createDataFrame(dealt, "cell int, shard int")
+        dealt[node, cell] = shard
+        filled += size
+    tables = [spark.createDataFrame([_step(n, c, dealt.get((n, c)), child, specs) for (n, c), (_, child) in steps.items()], _STEP) for steps in levels]
+    return tables, low, width, shard + 1
+
+
+def _dealt(rows: DataFrame, tables: list[DataFrame], low: int, width: int) -> DataFrame:
+    """Adds the shard of rows that have id and sha."""
+    columns = rows.columns
+    rows = _root(rows, low, width).withColumn("shard", F.lit(None).cast("int"))
+    for table in tables:
+        step = table.select(F.col("node").alias("_n"), F.col("cell").alias("_c"), *[F.col(c).alias(f"_{c}") for c in ("shard", "child", "by_id", "low", "width")])
+        placed = _placed(rows)
+        placed = placed.join(F.broadcast(step), (F.col("node") == F.col("_n")) & (F.col("cell") == F.col("_c")), "left")
+        rows = placed.select(*columns, F.coalesce("shard", "_shard").alias("shard"), F.col("_child").alias("node"), *[F.col(f"_{c}").alias(c) for c in ("by_id", "low", "width")])
+    return rows.select(*columns, "shard")
+
+
+def _tidy(files: fs.FileSystem, root: str, listed: set[str]) -> None:
+    """Removes archives that the manifest doesn't list and temporary files."""
+    for found in files.get_file_info(fs.FileSelector(root)):
+        if found.is_file and found.base_name not in listed and _LEFT.fullmatch(found.base_name):
+            files.delete_file(found.path)
 
 
 def write(pages: DataFrame, folder: str, shard_bytes: int | None = None, file_bytes: int = FILE_BYTES, min_payload: int = 0, date: str = DATE, key: str = "page_id", url: str = "url", html: str = "html") -> dict:
@@ -158,23 +241,25 @@ def write(pages: DataFrame, folder: str, shard_bytes: int | None = None, file_by
     p = pages.select(F.col(key).cast("long").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
     body = F.coalesce("html", F.lit("")).cast("binary")
     named = p.withColumn("sha", F.sha1(body))
-    thin = named.select("id", "sha", F.octet_length(body).alias("size")).where(F.col("size") >= min_payload)
-    last = thin.groupBy("sha").agg(F.max("id").alias("refers"), F.count("*").alias("n")).where("n > 1 and refers is not null").drop("n")
-    revisits = thin.join(last, "sha").where(~F.col("id").eqNullSafe(F.col("refers"))).select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha", "refers", F.lit(0).alias("kind")).distinct()
+    thin = stored(named.select("id", "sha", F.octet_length(body).cast("long").alias("size")), "thin")
+    known = thin.where(F.col("size") >= min_payload)
+    last = known.groupBy("sha").agg(F.max("id").alias("refers"), F.count("*").alias("n")).where("n > 1 and refers is not null").drop("n")
+    revisits = known.select("id", "sha").join(last, "sha").where(~F.col("id").eqNullSafe(F.col("refers")))
+    revisits = revisits.select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha", "refers", F.lit(0).alias("kind")).distinct()
     rows = named.withColumn("refers", F.lit(None).cast("long")).withColumn("kind", F.lit(1)).unionByName(revisits)
-    cell, shards = _cells(p, shard_bytes)
+    tables, low, width, shards = _cells(thin.select("id", "sha", (F.col("size") + 600).alias("bytes")), shard_bytes)
     files, root = fs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
-    rows = rows.withColumn("cell", F.expr(cell)).join(F.broadcast(shards), "cell").select("shard", "id", "url", "html", "sha", "refers", "kind")
-    tasks = max(1, shards.agg(F.max("shard")).first()[0] or 0) + 1 if not shards.isEmpty() else 1
-    # rows of one shard in one task; its order is total but for rows equal in all that is written
-    rows = rows.repartition(tasks, "shard").sortWithinPartitions("shard", "id", "sha", "kind", "url")
+    rows = _dealt(rows, tables, low, width).select("shard", "id", "url", "html", "sha", "refers", "kind")
+    # one shard, one task; its order is total but for rows equal in all that is written
+    rows = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "id", "sha", "kind", "url")
     done = rows.mapInArrow(lambda it: _write(it, folder, file_bytes, date), "file string, records long, bytes long, sha256 string").collect()
     manifest = {"format": "WARC/1.1", "files": [r.asDict() for r in sorted(done)]}
     temporary = f"{root}/.{MANIFEST}.{uuid.uuid4().hex}.tmp"
     with files.open_output_stream(temporary) as out:
         out.write(json.dumps(manifest, indent=1).encode())
     files.move(temporary, f"{root}/{MANIFEST}")
+    _tidy(files, root, {f["file"] for f in manifest["files"]})
     return manifest
 
 

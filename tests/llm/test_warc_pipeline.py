@@ -7,6 +7,7 @@ import json
 import uuid
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,35 @@ def test_round_trip_with_copies(spark):
     assert all(p.decode() == (dict((x[0], x[2]) for x in rows)[i] or "") for i, p in payload.items())
 
 
+def test_shards_are_even_however_ids_are_spread(spark, monkeypatch):
+    """An id far out, rows without an id and one id over and over: no shard gets more than the limit and one record,
+    and the order of ids holds from shard to shard."""
+    monkeypatch.setattr(warc, "CELLS", 16)
+    rows = [(i, "u", "x" * 100 + str(i)) for i in range(400)] + [(1 << 62, "u", "far"), (-(1 << 62), "u", "far too")]
+    rows += [(None, "u", "y" * 100 + str(i)) for i in range(300)] + [(7, "u", "z" * 100 + str(i)) for i in range(300)]
+    clash = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("node", "cell", "low", "width", "by_id", "_n", "size", "kind", "refers")})
+    at = folder(spark)
+    manifest = warc.write(clash, at, shard_bytes=30_000)
+    assert read_back(spark, at) == brute(rows)
+    assert sum(f["records"] for f in manifest["files"]) == len(rows)
+    assert max(f["records"] for f in manifest["files"]) <= 30_000 // 700 + 1 and len(manifest["files"]) > 20
+    got = [i for b in warc._read(iter([pa.RecordBatch.from_pylist(manifest["files"])]), at) for i in b.column("page_id").to_pylist()]
+    assert [i if i is not None else -(1 << 63) for i in got] == sorted(i if i is not None else -(1 << 63) for i in got)
+
+
+def test_what_failed_attempts_left_is_removed(spark):
+    from pyarrow import fs
+
+    at = folder(spark)
+    files, root = fs.FileSystem.from_uri(at)
+    files.create_dir(root)
+    for name in (".part-00000-0000.warc.gz.abc.tmp", "part-00099-0000.warc.gz", "notes.txt"):
+        with files.open_output_stream(f"{root}/{name}", compression=None) as out:
+            out.write(b"left")
+    manifest = warc.write(spark.createDataFrame([(1, "a", "x")], SCHEMA), at)
+    assert {i.base_name for i in files.get_file_info(fs.FileSelector(root))} == {manifest["files"][0]["file"], warc.MANIFEST, "notes.txt"}
+
+
 def test_records_are_in_order_and_files_are_whole(spark):
     from pyarrow import fs
 
