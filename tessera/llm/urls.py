@@ -1,8 +1,8 @@
 """URL filter: rules on host and path, then logistic regression on hashed character n-grams.
 
-The classifier is trained on a small labelled URL table (by default one made by rule from common words of unwanted and
-ordinary sites), with the JVM's own feature hashing and optimiser; scoring is one pass without a shuffle. The model is
-``2 ** bits`` numbers at any input size.
+The classifier is trained on a small labelled URL table (by default BLOCKED and ALLOWED below, under reserved domains; the
+tests hold others back), with the JVM's own feature hashing and optimiser; scoring is one pass without a shuffle. The
+model is ``2 ** bits`` numbers at any input size.
 """
 
 from __future__ import annotations
@@ -13,18 +13,187 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (action, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: more rules than this are joined by host
 MOST_RULES = 1000
 SIZES = (3, 4, 5)
 BITS = 14
 #: rows that training reads at most
 MOST_LABELLED = 20_000
 
-UNWANTED = "casino poker jackpot lottery betting bets slots gamble pills pharma viagra meds diet adult porn xxx sex escort dating spam farm ads adserver adclick track tracker popup clicks banner free cheap win winner prize bonus loans payday credit crypto coins replica warez crack torrent keygen hack phish malware".split()
-WANTED = "news blog library school garden museum weather recipes travel science history music sports city forum wiki archive journal docs research health market kitchen books radio gallery theatre nature church sailing cycling physics poetry".split()
-SYLLABLES = "the an er in on re ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ly tion ing ble men con ra lo ma ne sa po".split()
+#: labelled URLs to learn from, fixed
+BLOCKED = """
+https://www.lucky-spin-casino.example.com/slots/free-spins?ref=91
+http://casino-royal-online.example.net/bonus/welcome.html
+https://play.bigwin-slots.example/jackpot/daily
+https://m.pokerstake.example.org/tables/holdem/join
+http://best-poker-bonus.example.com/en/review-12.html
+https://sportbet24.example.net/live/odds/football
+https://www.betting-tips-vip.example.com/free-bets
+https://lottery-results-winner.example.org/claim/prize
+http://online-gambling-guide.example.com/roulette/how-to-win
+https://roulette-and-blackjack.example.net/casino/no-deposit
+https://www.cheap-pills-store.example.com/buy/without-prescription
+http://pharma-discount.example.net/viagra/order.php?id=3
+https://meds4less.example.org/catalog/weight-loss-pills
+https://slim-fast-diet.example.com/miracle-pills
+http://generic-cialis-shop.example.com/cheap/20mg
+https://www.onlinepharmacy-no-rx.example/tabs/order-now
+https://xxx-videos-free.example.com/watch/1182
+http://adult-webcams.example.net/live/models
+https://www.hot-dating-tonight.example.org/singles/near-you
+https://sexy-escorts.example.com/city/listing
+http://porn-tube-hd.example.net/category/12?page=4
+https://adult-dating-club.example.com/signup/free
+https://freexxxpics.example/gallery/33.html
+https://spam-mailer.example.com/bulk/email-list
+http://seo-backlinks-cheap.example.net/buy-links/1000
+https://linkfarm-directory.example.org/add/url.php
+https://www.article-spinner.example.com/spun/content-77
+http://spamblog.example.net/tag/buy-cheap/page/9
+https://ads.clicktracker.example.com/banner.gif?cid=8812
+http://adserver.popunder.example.net/serve/click?zone=4
+https://track.affiliate-network.example.com/redirect?offer=27&aff=5
+https://pixel.adtracking.example.org/imp?x=1
+http://banners.ad-exchange.example.com/adclick/99
+https://pop.promo-ads.example.net/landing/popup.html
+https://doubleclicks.example.com/ads/serve?slot=top
+https://free-iphone-winner.example.com/survey/claim-now
+http://you-won-a-prize.example.net/congratulations.html
+https://www.gift-card-generator.example.org/free/codes
+https://win-cash-today.example.com/spin-and-win
+http://freegiveaway.example.net/claim/reward?id=1
+https://payday-loans-fast.example.com/apply/no-credit-check
+http://quick-cash-advance.example.net/loan/instant-approval
+https://bad-credit-loans.example.org/approved
+https://www.debt-relief-now.example.com/cheap-loans
+https://crypto-doubler.example.com/send-1-get-2
+http://bitcoin-invest-profit.example.net/guaranteed/returns
+https://forex-robot-millionaire.example.com/earn/daily
+https://airdrop-claim-wallet.example/connect
+https://make-money-home.example.org/earn-5000-a-week
+http://get-rich-quick.example.com/secret/system.html
+https://replica-watches-outlet.example.com/rolex/cheap
+http://fake-designer-bags.example.net/replica/sale
+https://www.cheap-nike-outlet.example.org/discount/90-off
+https://warez-downloads.example.com/full/crack/photo-editor
+http://keygen-serials.example.net/serial/office.html
+https://torrent-movies-hd.example.org/download/cam-rip
+https://cracked-apps.example.com/apk/mod-unlimited
+https://free-movie-streams.example.net/watch-online/full-hd
+http://nulled-scripts.example.com/download/theme-nulled.zip
+https://login-verify-account.example.com/secure/update/password
+http://paypa1-security.example.net/signin/confirm.php
+https://bank-alert-verify.example.org/customer/login.html?session=8
+https://apple-id-locked.example.com/unlock/verify
+http://webmail-quota-full.example.net/owa/validate
+https://malware-cleaner-pro.example.com/scan/your-pc-is-infected
+http://antivirus-alert.example.net/download/setup.exe
+https://driver-update-free.example.org/install/toolbar
+https://flash-player-update.example.com/get/player.exe
+http://hack-tool-online.example.net/coins/generator
+https://cheats-unlimited-coins.example.com/hack/no-survey
+https://www.psychic-love-spells.example.org/order/spell
+http://essay-writing-cheap.example.com/buy-essay/24h
+https://fake-diploma.example.net/buy/degree-online
+https://buy-followers-likes.example.com/instant/1000
+http://proxy-unblock.example.net/browse.php?u=aHR0
+https://weight-loss-miracle.example.org/belly-fat-trick
+https://hairgrowth-miracle.example.com/order-trial/free
+http://clickbait-viral.example.net/you-wont-believe/17
+https://bet365-mirror.example.com/casino/register
+http://win-lotto-numbers.example.net/system/jackpot
+https://escort-agency-vip.example.org/girls
+https://pills-online-24.example.net/cart/add?sku=7
+""".split()
+ALLOWED = """
+https://www.citylibrary.example.org/events/2023/reading-hour
+http://news.northvalley.example.com/politics/council-votes-on-budget
+https://www.weather-service.example.net/forecast/week
+https://recipes.kitchenbook.example.com/soup/lentil-with-cumin.html
+http://gardening.example.org/articles/pruning-roses
+https://university.example.com/physics/courses/quantum-mechanics
+https://museum.example.org/collections/bronze-age/object-118
+http://www.townschool.example.net/calendar/term-dates.html
+https://blog.hikingtrails.example.com/2021/06/lake-loop
+https://docs.example.org/manual/install/linux
+http://wiki.example.net/index.php?title=Photosynthesis
+https://forum.woodworkers.example.com/thread/8812/dovetail-joints
+https://journal.example.org/volume-12/issue-3/article-4
+http://archive.example.com/1999/letters/editor.html
+https://www.healthservice.example.org/conditions/asthma
+https://radio.example.net/programmes/morning-concert
+http://orchestra.example.com/season/tickets/brahms
+https://www.mountain-rescue.example.org/reports/2020
+https://chess-club.example.com/games/annotated/27
+http://poetry.example.net/poets/anthology/winter
+https://astronomy.example.org/observing/moon-phases
+https://www.cyclingmap.example.com/routes/river-path
+http://sailing.example.net/knots/bowline.html
+https://birdwatch.example.org/species/kingfisher
+https://theatre.example.com/plays/autumn/review
+http://cityhall.example.net/planning/applications/552
+https://www.parliament.example.org/bills/2022/17/second-reading
+https://statistics.example.com/tables/population-by-age
+http://maps.example.net/walks/coast/3
+https://opensource.example.org/projects/editor/readme
+https://developers.example.com/api/reference/strings
+http://mathnotes.example.net/algebra/groups/lemma-4.html
+https://language-learning.example.org/grammar/verbs
+https://www.bookreview.example.com/novels/the-long-river
+http://historysociety.example.net/papers/market-town
+https://genealogy.example.org/parish/records/1841
+https://www.farmersmarket.example.com/stalls/vegetables
+http://bakery.example.net/bread/sourdough-basics
+https://knitting.example.org/patterns/scarf
+https://photography.example.com/guides/exposure
+http://www.village-news.example.net/notices/footbridge-repair
+https://railway.example.org/timetable/north-line
+https://aquarium.example.com/visit/opening-hours
+http://botanic-garden.example.net/plants/fern-house
+https://www.charity.example.org/report/annual/2019
+https://science.example.com/biology/cells/mitosis
+http://geology.example.net/rocks/basalt
+https://climate.example.org/data/rainfall/monthly
+https://www.hospital.example.com/departments/cardiology
+http://philosophy.example.net/essays/on-memory
+https://sports.example.org/hockey/results/round-5
+https://athletics.example.com/club/training/tuesday
+http://www.football-club.example.net/fixtures/under-12
+https://travel.example.org/guides/old-town-walk
+https://hostel.example.com/rooms/booking-info
+http://ferry.example.net/timetable/summer
+https://courts.example.org/decisions/2018/442
+https://lawnotes.example.com/contract/offer-and-acceptance
+http://economics.example.net/lectures/trade
+https://www.music-school.example.org/lessons/violin
+https://film-archive.example.com/silent/restoration
+http://painting.example.net/technique/watercolour
+https://architecture.example.org/buildings/town-hall
+https://engineering.example.com/bridges/suspension
+http://electronics.example.net/kits/radio-receiver
+https://software.example.org/release-notes/4.2
+https://mailinglist.example.com/archive/2004-march/0192.html
+http://community.example.net/questions/4411/how-to-sort-a-list
+https://dictionary.example.org/word/serendipity
+https://encyclopedia.example.com/rivers/danube
+http://www.elementary-school.example.net/class-3/reading-list
+https://kindergarten.example.org/menu/week-14
+https://observatory.example.com/lectures/public
+http://zoo.example.net/animals/otter
+https://national-park.example.org/trails/waterfall
+https://fishing.example.com/rivers/seasons
+http://beekeeping.example.net/hives/spring-check
+https://www.pottery.example.org/glazes/celadon
+https://newsletter.example.com/issue/88/interview
+http://minutes.example.net/parish-council/2017-05
+https://tea-house.example.org/menu/green-teas
+https://storytelling.example.com/tales/fox-and-crane
+""".split()
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -34,19 +203,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): 1 unwanted, 0 wanted. Made by rule: every word alone, pairs of words, made-up words."""
-    prefixes, tops, paths = ("", "www.", "m.", "blog."), ("com", "net", "org", "example.com", "example.net", "example.org"), ("/en/1", "/de/27.html", "/fr/380", "/es/9/", "/", "")
-    made = ["".join(SYLLABLES[(i * 7 + j * (i % 11 + 3)) % len(SYLLABLES)] for j in range(2 + i % 3)) for i in range(700)]
-    shapes = ("{0}", "{0}-{1}", "{1}-{0}", "{0}s-{1}", "{0}{1}", "{1}{0}")
-
-    def built(words: list[str], others: list[str]) -> list[str]:
-        """Every word in every shape, with other words in turn."""
-        return [shape.format(w, others[(i * len(shapes) + k) % len(others)]) for i, w in enumerate(words) for k, shape in enumerate(shapes)]
-
-    bad = built(UNWANTED, made) + built(UNWANTED, UNWANTED[7:] + UNWANTED[:7])
-    good = built(WANTED, made) + built(WANTED, WANTED[5:] + WANTED[:5]) + built(made[:60], made[60:]) + made
-    rows = [(f"https://{prefixes[i % 4]}{name}.{tops[i % 6]}{paths[(i // 6) % 6]}", label) for label, names in ((1, bad), (0, good)) for i, name in enumerate(names)]
-    return spark.createDataFrame([*rows, *[("", 0)] * 5], "url string, label int")
+    """(url, label): 1 for BLOCKED, 0 for ALLOWED and for the empty URL."""
+    return spark.createDataFrame([*((u, 1) for u in BLOCKED), *((u, 0) for u in ALLOWED), ("", 0)], "url string, label int")
 
 
 def ngrams(text: Column, sizes: tuple[int, ...] = SIZES) -> Column:
@@ -73,13 +231,15 @@ def train(labelled: DataFrame, bits: int = BITS) -> LogisticRegressionModel:
     rows = labelled.where("label is not null").orderBy("url", "label").limit(MOST_LABELLED).coalesce(1)
     host, path = host_and_path(F.col("url"))
     data = _features(rows, F.concat(host, path), bits).select(F.col("_features").alias("features"), F.col("label").cast("double").alias("label"))
-    return LogisticRegression(maxIter=40, regParam=1e-3, standardization=False).fit(data.cache())
+    data = data.cache()
+    try:
+        return LogisticRegression(maxIter=60, regParam=1e-3, standardization=False).fit(data)
+    finally:
+        data.unpersist()
 
 
 def matched_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> Column:
     """The longest rule that fits (action and text); of equally long ones a block, then the first by code point."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules are written into the plan")
     best = F.lit(None).cast("struct<action:string,rule:string>")
     for action, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[0] == "block", [-ord(c) for c in r[1] + r[2]])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -87,6 +247,24 @@ def matched_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
     return best
 
 
+def with_rule(df: DataFrame, rules: tuple[tuple[str, str, str], ...]) -> DataFrame:
+    """Adds ``_rule`` (action, rule) to rows with host and path. Up to MOST_RULES rules are written into the plan; of more,
+    every suffix of the host that begins a label is looked up in a table of the rules by host, whatever their number."""
+    if len(rules) <= MOST_RULES:
+        return df.withColumn("_rule", matched_rule(F.col("host"), F.col("path"), rules))
+    table = df.sparkSession.createDataFrame([(a, h, p) for a, h, p in rules], "_action string, _h string, _p string")
+    by_host = F.broadcast(table.groupBy("_h").agg(F.collect_set(F.struct("_action", "_p")).alias("_rules")))  # the caller's list
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    df = stored(df.withColumn("_row", F.monotonically_increasing_id()), "urls")
+    pairs = df.select("_row", "path", F.explode(F.array_distinct(suffixes)).alias("_h")).join(by_host, "_h").select("_row", "path", "_h", F.explode("_rules").alias("_r"))
+    text = F.concat("_h", F.col("_r._p"))
+    # the longest; of equal ones a block; then the first by code point
+    order = F.struct(F.length(text), F.col("_r._action") == "block", F.transform(F.split(text, ""), lambda c: -F.ascii(c)))
+    best = pairs.where(F.col("path").startswith(F.col("_r._p"))).groupBy("_row").agg(F.max_by(F.struct(F.col("_r._action").alias("action"), text.alias("rule")), order).alias("_rule"))
+    return df.join(best, "_row", "left").drop("_row")
+
+
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple[tuple[str, str, str], ...] = RULES, bits: int = BITS, key: str = "page_id", url: str = "url") -> DataFrame:
     """key, host, path, rule, verdict, score of every row: the rule's verdict, else block where the score is over 0.5.
 
@@ -98,6 +276,6 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple[tupl
     out = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url")).select("_key", host.alias("host"), path.alias("path"))
     model.setFeaturesCol("_features").setProbabilityCol("_probability").setPredictionCol("").setRawPredictionCol("")
     out = model.transform(_features(out, F.concat("host", "path"), bits)).withColumn("score", vector_to_array("_probability")[1])
-    out = out.withColumn("_rule", matched_rule(F.col("host"), F.col("path"), rules))
+    out = with_rule(out, rules)
     verdict = F.coalesce(F.col("_rule.action"), F.when(F.col("score") > 0.5, "block").otherwise("allow"))
     return out.select(F.col("_key").alias(key), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "score")
