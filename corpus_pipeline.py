@@ -14,7 +14,7 @@ from tessera.session import ship_package
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without a letter, or without text, go."""
+    """Documents whose language the output codes tell: those that are ambiguous, have no letter or no text go."""
     ship_package(spark)
     return langid.known(docs)
 

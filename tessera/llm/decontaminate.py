@@ -6,15 +6,22 @@
    without another pass (randomised SVD in its single-view, Nystroem form).
 2. Benchmark items become vectors of their passages in that latent space, scaled so that every direction counts alike.
    In a second pass, overlapping passages of every document are compared with all of them by cosine, in blocks.
+   Where the cosine reaches ``cosine``, passage and item must have ``common`` of the IDF of the lighter of the two in
+   common; both gates are lower where items have answers.
 3. Candidates are checked on words: the longest common subsequence of item and surrounding text must cover
    ``strong`` of the item's words, or ``weak`` if all words of the item's answer stand there too (paraphrases).
 
+The search by cosine is approximate: the tests measure its recall, at these gates, against the longest common subsequence
+of every text with every item.
+
 Scale: no document is shuffled. Partial sums (WORDS x SKETCH numbers a task) are added by slices; the model is of the same
-size at any input. The benchmark is broadcast up to MOST_ITEMS items, more are refused.
+size at any input. A benchmark of more than MOST_ITEMS items or MOST_BYTES is searched in parts, one pass over the documents
+for each.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,10 +38,13 @@ DIMENSIONS = 80
 PASSAGE = 24
 STRIDE = 12
 COSINE = 0.36
-#: share of the IDF of the shorter side that a passage and an item must have in common to be compared word by word
+#: share of the IDF of the lighter side that a passage and an item must have in common to be compared word by word
 COMMON = 0.4
+#: both gates where items have answers
+COSINE_WEAK, COMMON_WEAK = 0.3, 0.25
 STRONG, WEAK = 0.65, 0.45
-MOST_ITEMS = 50_000
+#: what is broadcast of a benchmark at once
+MOST_ITEMS, MOST_BYTES = 10_000, 16 << 20
 SLICES = 32
 #: passages that are multiplied at once
 GROUP = 64
@@ -42,6 +52,8 @@ GROUP = 64
 _LETTER = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 _STEP = 0x9E3779B97F4A7C15
 _PIECE = 1 << 16
+#: bytes of texts whose words are found together, and candidates that are looked at together
+_TOGETHER, _CANDIDATES = 1 << 17, 1 << 16
 
 
 def _powers(base: int, n: int = _PIECE + 1) -> np.ndarray:
@@ -58,8 +70,36 @@ class Words:
     """The words of a text in lower case: their places in its bytes and their hashed features."""
 
     def __init__(self, text: str | None):
-        self.data = text.lower().encode("utf-8", "surrogatepass") if text else b""
-        data = np.frombuffer(self.data, np.uint8)
+        self._read(text.lower().encode("utf-8", "surrogatepass") if text else b"")
+
+    @classmethod
+    def many(cls, texts: list[str | None]) -> Iterator[Words]:
+        """The words of each text; those of short texts are found together."""
+        held: list[bytes] = []
+        size = 0
+        for text in texts:
+            held.append(text.lower().encode("utf-8", "surrogatepass") if text else b"")
+            size += len(held[-1])
+            if size >= _TOGETHER:
+                yield from cls._apart(held)
+                held, size = [], 0
+        if held:
+            yield from cls._apart(held)
+
+    @classmethod
+    def _apart(cls, parts: list[bytes]) -> Iterator[Words]:
+        whole = cls.__new__(cls)
+        whole._read(b"\n".join(parts))
+        ends = np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)
+        at = np.searchsorted(whole.starts, np.r_[0, ends]).tolist()
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            one = cls.__new__(cls)
+            one.data, one.starts, one.ends, one.ids = whole.data, whole.starts[a:b], whole.ends[a:b], whole.ids[a:b]
+            yield one
+
+    def _read(self, encoded: bytes) -> None:
+        self.data = encoded
+        data = np.frombuffer(encoded, np.uint8)
         inside = np.zeros(len(data) + 2, bool)
         inside[1:-1] = _LETTER[data]
         edges = np.flatnonzero(inside[1:] != inside[:-1])
@@ -67,8 +107,7 @@ class Words:
         self.ids = np.concatenate([self._hashed(data, a) for a in range(0, max(1, len(data)), _PIECE)]) if len(data) > _PIECE else self._hashed(data, 0)
 
     def _hashed(self, data: np.ndarray, at: int) -> np.ndarray:
-        """Polynomial hashes of the words that start in a piece, from running sums; of a word that is longer than a piece
-        the first bytes count."""
+        """Polynomial hashes of the words that start in a piece, from running sums over their bytes."""
         a, b = np.searchsorted(self.starts, (at, at + _PIECE))
         if a == b:
             return np.empty(0, np.int64)
@@ -76,9 +115,11 @@ class Words:
         piece = data[at : int(self.ends[b - 1])]
         with np.errstate(over="ignore"):
             if len(piece) > _PIECE:
-                # the last word crosses the border: on its own
-                last = piece[s[-1] : s[-1] + _PIECE].astype(np.uint64)
-                tail = (last * _UP[: len(last)]).sum(dtype=np.uint64)
+                # the last word crosses the border: on its own, a piece at a time
+                last, tail = piece[s[-1] :], np.uint64(0)
+                for k in range(0, len(last), _PIECE):
+                    part = last[k : k + _PIECE]
+                    tail += (part * _UP[: len(part)]).sum(dtype=np.uint64) * np.uint64(pow(_STEP, k, 1 << 64))
                 piece, s, e = piece[: s[-1]], s[:-1], self.ends[a : b - 1] - at
             else:
                 tail, e = None, self.ends[a:b] - at
@@ -124,8 +165,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         product[ordered[new]] += times.astype(np.float32) @ sketch
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            words = Words(text).ids
+        for found in Words.many(batch.column(0).to_pylist()):
+            words = found.ids
             documents += 1
             if not len(words):
                 continue
@@ -268,7 +309,7 @@ def prepare(items: list[tuple], latent: Latent) -> Benchmark:
     return Benchmark(kept, out, masks, answers, np.array(owner, np.int64), table, np.array(has), np.array(mass))
 
 
-def leaks(texts: list[str | None], latent: Latent, bench: Benchmark, cosine: float, strong: float, weak: float) -> list[list[tuple]]:
+def leaks(texts: list[str | None], latent: Latent, bench: Benchmark, cosine: float, common: float, strong: float, weak: float) -> list[list[tuple]]:
     """For every text the items found in it: (item, words of the common subsequence, its share, cosine)."""
     found: list[list[tuple]] = [[] for _ in texts]
     if not len(bench.owner):
@@ -286,14 +327,16 @@ def leaks(texts: list[str | None], latent: Latent, bench: Benchmark, cosine: flo
         block = max(1, (1 << 22) // len(bench.owner))
         for at in range(0, len(z), block):
             near = z[at : at + block] @ bench.vectors.T
-            rows, cols = np.divmod(np.flatnonzero(near >= cosine), near.shape[1])
-            value, rows, item = near[rows, cols], rows + at, bench.owner[cols]
-            shared = ((bench.has[item[:, None], words[rows] >> 3] >> (7 - (words[rows] & 7))) & 1) * weight[rows]
-            fine = np.flatnonzero(shared.sum(1) >= COMMON * np.minimum(total[rows], bench.mass[item]))
-            which = np.searchsorted(edges, rows, "right") - 1
-            for k in fine.tolist():
-                g = int(which[k])
-                best.setdefault((g, int(item[k])), []).append((int(group[g][3][rows[k] - edges[g]]) + group[g][5], float(value[k])))
+            over = np.flatnonzero(near >= cosine)
+            for some in (over[i : i + _CANDIDATES] for i in range(0, len(over), _CANDIDATES)):
+                rows, cols = np.divmod(some, near.shape[1])
+                value, rows, item = near[rows, cols], rows + at, bench.owner[cols]
+                shared = ((bench.has[item[:, None], words[rows] >> 3] >> (7 - (words[rows] & 7))) & 1) * weight[rows]
+                fine = np.flatnonzero(shared.sum(1) >= common * np.minimum(total[rows], bench.mass[item]))
+                which = np.searchsorted(edges, rows, "right") - 1
+                for k in fine.tolist():
+                    g = int(which[k])
+                    best.setdefault((g, int(item[k])), []).append((int(group[g][3][rows[k] - edges[g]]) + group[g][5], float(value[k])))
         for (g, item), places in best.items():
             i, tokens, *_ = group[g]
             words, n = bench.words[item], len(bench.words[item])
@@ -310,15 +353,14 @@ def leaks(texts: list[str | None], latent: Latent, bench: Benchmark, cosine: flo
                     continue
                 for a in range(0, max(1, len(around) - n), max(1, n // 4)):
                     span = around[a : a + n + max(4, n // 2)]
-                    common = lcs(bench.masks[item], n, span)
-                    enough = common >= strong * n or (bench.answers[item] is not None and common >= weak * n and bench.answers[item] <= set(span))
-                    if enough and common > best_here[0]:
-                        best_here = (common, common / n, max(v for _, v in places))
+                    length = lcs(bench.masks[item], n, span)
+                    enough = length >= strong * n or (bench.answers[item] is not None and length >= weak * n and bench.answers[item] <= set(span))
+                    if enough and length > best_here[0]:
+                        best_here = (length, length / n, max(v for _, v in places))
             if best_here[0]:
                 found[i].append((bench.ids[item], *best_here))
 
-    for i, text in enumerate(texts):
-        tokens = Words(text)
+    for i, tokens in enumerate(Words.many(texts)):
         # long texts pass by in pieces that overlap by two passages
         for at in range(0, len(tokens), 1 << 15):
             first = max(0, at - 2 * PASSAGE)
@@ -335,49 +377,75 @@ def leaks(texts: list[str | None], latent: Latent, bench: Benchmark, cosine: flo
     return [sorted({k: max((x for x in f if x[0] == k), key=lambda x: x[1:]) for k in {x[0] for x in f}}.values()) for f in found]
 
 
-def _model(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, answer: str | None) -> tuple[Latent, Benchmark] | None:
-    chosen = benchmark.select(F.col(item), F.col(item_text), F.col(answer) if answer else F.lit(None).cast("string")).where(F.col(item_text).isNotNull() & F.col(item).isNotNull())
-    rows = chosen.limit(MOST_ITEMS + 1).collect()
-    if len(rows) > MOST_ITEMS:
-        raise ValueError(f"a benchmark of more than {MOST_ITEMS} items: search it in parts")
-    latent = fit(docs, text)
-    release_memory()
-    return None if latent is None else (latent, prepare(sorted(map(tuple, rows), key=str), latent))
+def _parts(benchmark: DataFrame, item: str, item_text: str, answer: str | None) -> list[DataFrame]:
+    """The items (id, text, answer) with id and text, in parts of at most about MOST_ITEMS items and MOST_BYTES."""
+    chosen = benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("a")).where("i is not null and t is not null")
+    rows, size = chosen.agg(F.count("*"), F.sum(F.octet_length("t") + F.coalesce(F.octet_length("a"), F.lit(0)))).first()
+    parts = max(1, -(-rows // MOST_ITEMS), -(-(size or 0) // MOST_BYTES))
+    if parts == 1:
+        return [chosen]
+    # a hash deals evenly but for chance
+    parts += parts // 4 + 1
+    return [chosen.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p) for p in range(parts)]
+
+
+def _prepared(part: DataFrame, latent: Latent) -> Benchmark:
+    return prepare(sorted(map(tuple, part.collect()), key=str), latent)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, strong: float = STRONG, weak: float = WEAK, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", answer: str | None = None) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float | None = None, strong: float = STRONG, weak: float = WEAK, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", answer: str | None = None, common: float | None = None) -> DataFrame:
     """One row (key, item, lcs_words, lcs_share, cosine) for each document and benchmark item found in it.
 
-    Null and empty texts and items match nothing; repeated rows are reported each; items with equal texts are all
-    reported; an empty table on either side gives no rows; other columns are not read.
+    ``cosine`` and ``common`` are the gates of the candidate search, by default lower with an ``answer`` column. Null and
+    empty texts and items match nothing; repeated rows are reported each; items with equal texts are all reported; an
+    empty table on either side gives no rows; other columns are not read.
     """
-    model = _model(docs, benchmark, text, item, item_text, answer)
+    cosine, common = _gates(cosine, common, answer)
     slim = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
     kinds = slim.schema["k"].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     item_type = pa.int64() if kinds[1] in ("bigint", "int", "smallint") else pa.string()
+    schema = f"k {kinds[0]}, item {'long' if item_type == pa.int64() else 'string'}, lcs_words int, lcs_share double, cosine double"
+    latent = fit(docs, text)
+    release_memory()
+    names = {"k": key, "item": item}
+    if latent is None:
+        return docs.sparkSession.createDataFrame([], schema).withColumnsRenamed(names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
-            found = leaks(batch.column(1).to_pylist(), *model, cosine, strong, weak)
-            rows = [(i, *f) for i, each in enumerate(found) for f in each]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], item_type), *[pa.array([r[j] for r in rows], t) for j, t in ((2, pa.int32()), (3, pa.float64()), (4, pa.float64()))]], names=["k", "item", "lcs_words", "lcs_share", "cosine"])
+    def over(bench: Benchmark) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+                found = leaks(batch.column(1).to_pylist(), latent, bench, cosine, common, strong, weak)
+                rows = [(i, *f) for i, each in enumerate(found) for f in each]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], item_type), *[pa.array([r[j] for r in rows], t) for j, t in ((2, pa.int32()), (3, pa.float64()), (4, pa.float64()))]], names=["k", "item", "lcs_words", "lcs_share", "cosine"])
 
-    schema = f"k {kinds[0]}, item {'long' if item_type == pa.int64() else 'string'}, lcs_words int, lcs_share double, cosine double"
-    if model is None:
-        return docs.sparkSession.createDataFrame([], schema).withColumnsRenamed({"k": key, "item": item})
-    return slim.mapInArrow(lambda it: trimmed(run(it)), schema).withColumnsRenamed({"k": key, "item": item})
+        return slim.mapInArrow(lambda it: trimmed(run(it)), schema)
 
+    each = [over(_prepared(part, latent)) for part in _parts(benchmark, item, item_text, answer)]
+    return functools.reduce(DataFrame.union, each).withColumnsRenamed(names)
 
-def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, strong: float = STRONG, weak: float = WEAK, text: str = "text", item: str = "item_id", item_text: str = "text", answer: str | None = None) -> DataFrame:
+
+def _gates(cosine: float | None, common: float | None, answer: str | None) -> tuple[float, float]:
+    usual = (COSINE_WEAK, COMMON_WEAK) if answer else (COSINE, COMMON)
+    return usual[0] if cosine is None else cosine, usual[1] if common is None else common
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, cosine: float | None = None, strong: float = STRONG, weak: float = WEAK, text: str = "text", item: str = "item_id", item_text: str = "text", answer: str | None = None, common: float | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item is found: a filter without a shuffle."""
-    model = _model(docs, benchmark, text, item, item_text, answer)
-    if model is None:
-        return docs
+    cosine, common = _gates(cosine, common, answer)
     at = docs.columns.index(text)
+    latent = fit(docs, text)
+    release_memory()
+    if latent is None:
+        return docs
+
+    def without(docs: DataFrame, bench: Benchmark) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+                found = leaks(batch.column(at).to_pylist(), latent, bench, cosine, common, strong, weak)
+                yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
-            found = leaks(batch.column(at).to_pylist(), *model, cosine, strong, weak)
-            yield batch.filter(pa.array([not f for f in found], pa.bool_()))
+        return docs.mapInArrow(lambda it: trimmed(run(it)), docs.schema)
 
-    return docs.mapInArrow(lambda it: trimmed(run(it)), docs.schema)
+    for part in _parts(benchmark, item, item_text, answer):
+        docs = without(docs, _prepared(part, latent))
+    return docs

@@ -27,9 +27,15 @@ ROWS = 2048
 PATH, WORD, FIGURES, HIDDEN = 24, 12, 10, 24
 PAGES = 1300
 EPOCHS = 9
+#: steps whose inputs are multiplied at once
+SPAN = 4096
 #: words on fewer than this share of the training pages have no vector
 COMMON = 0.03
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: where a tag may end, or a quoted value begins
+_STOP = re.compile(r">|=\s*([\"'])")
+#: a number that Python would not read, or read slowly
+_DIGITS = re.compile(r"&#([0-9]{8,})")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
@@ -45,130 +51,260 @@ _TO_THE_END = frozenset("script style textarea title".split())
 _ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+class _Scanner:
+    """The tags of a page, in one pass whose time is proportional to its length.
+
+    A tag ends at the first ``>`` outside of the quoted values of its attributes. Where quotes are not paired (a tag would
+    never end) quotes mean nothing from there on, and where no ``>`` follows the rest of the page is text."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends at ``at``, -1 if there is none."""
+        j = at
+        while self.quotes:
+            found = _STOP.search(self.page, j)
+            if found is None:
+                self.quotes = False
+            elif found[1] is None:
+                return found.start()
+            else:
+                j = self.page.find(found[1], found.end()) + 1
+                if not j:
+                    self.quotes = False
+        return self.page.find(">", at)
+
+    def pieces(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, closing, attributes) of everything that is markup; comments and the like have no name. The
+        end may be moved on by sending a place."""
+        page, at = self.page, 0
+        while True:
+            start = page.find("<", at)
+            if start < 0:
+                return
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                end = len(page) if end < 0 else end + 3
+                name, closing, rest = "", False, ""
+            elif page[start + 1 : start + 2] in ("!", "?"):
+                end = page.find(">", start) + 1
+                if not end:
+                    return
+                name, closing, rest = "", False, ""
+            else:
+                found = _NAME.match(page, start)
+                if not found:
+                    at = start + 1
+                    continue
+                close = self.end(found.end())
+                if close < 0:
+                    return
+                end, name, closing, rest = close + 1, found[1].lower(), page[start + 1] == "/", page[found.end() : close]
+            moved = yield start, end, name, closing, rest
+            at = end if moved is None else moved
+
+
+class _Path:
+    """The open block tags of a page and the names on them. Of names that share a row of the labeller one is kept, so a
+    path has at most ROWS names however deep it is."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.rows: dict[int, list] = {}
+        self.made: tuple[str, ...] | None = None
+
+    def push(self, tag: str, own: tuple[str, ...]) -> None:
+        self.stack.append((tag, own))
+        for name in set(own):
+            held = self.rows.setdefault(_row(name), [name, 0])
+            held[1] += 1
+        self.made = None
+
+    def pop(self) -> str:
+        tag, own = self.stack.pop()
+        for name in set(own):
+            held = self.rows[_row(name)]
+            held[1] -= 1
+            if not held[1]:
+                del self.rows[_row(name)]
+        self.made = None
+        return tag
+
+    def names(self) -> tuple[str, ...]:
+        if self.made is None:
+            last = {f"{depth}:{n}" for depth, (_, own) in enumerate(reversed(self.stack[-3:])) for n in own}
+            self.made = tuple(sorted({held[0] for held in self.rows.values()} | last))
+        return self.made
+
+
+def _decoded(text: str) -> str:
+    """Character references resolved; white space becomes one space."""
+    if "&" in text:
+        text = html.unescape(_DIGITS.sub(lambda m: f"&#{m[1].lstrip('0')[:8] or '0'}", text))
+    return " ".join(text.split())
+
+
 def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, names of the tag path, characters inside links) of every leaf block in page order. References are decoded,
-    white space becomes one space; blocks without text are left out."""
+    """(text, names of the tag path, characters inside links) of every leaf block in page order."""
+    return list(scan(page))
+
+
+def scan(page: str | None) -> Iterator[tuple[str, tuple[str, ...], int]]:
+    """What ``blocks`` returns, one by one. References are decoded, white space becomes one space; blocks without text are
+    left out. Time is proportional to the page's length."""
     if not page:
-        return []
-    out: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    open_tags: dict[str, int] = {}
+        return
+    path, inline = _Path(), []
+    open_tags: Counter = Counter()
     text: list[str] = []
     linked = 0
     endless: set[str] = set()
 
-    def flush() -> None:
+    def flush() -> list[tuple[str, tuple[str, ...], int]]:
+        """The block that ends here, if it has text."""
         nonlocal linked
-        whole = " ".join(html.unescape("".join(text)).split())
-        if whole:
-            path = [x for x in stack if x[0] not in _INLINE]
-            names = {n for _, own in path for n in own}
-            for depth, (_, own) in enumerate(reversed(path[-3:])):
-                names |= {f"{depth}:{n}" for n in own}
-            out.append((whole, tuple(sorted(names)), min(linked, len(whole))))
+        whole = _decoded("".join(text))
+        found = [(whole, path.names(), min(linked, len(whole)))] if whole else []
         text.clear()
         linked = 0
+        return found
 
     def pop(tag: str) -> None:
-        while stack:
-            name, _ = stack.pop()
+        """Ends an open block, and what is open inside of it."""
+        leave()
+        while path.stack:
+            name = path.pop()
             open_tags[name] -= 1
             if name == tag:
                 return
 
-    at, n = 0, len(page)
-    while at < n:
-        found = _TOKEN.search(page, at)
-        piece = page[at : found.start()] if found else page[at:]
-        if piece:
-            text.append(piece)
-            if open_tags.get("a"):
-                linked += len(piece.strip())
-        if not found:
+    def leave() -> None:
+        """Ends the open inline tags: none goes beyond its block."""
+        while inline:
+            open_tags[inline.pop()] -= 1
+
+    def add(start: int, stop: int) -> None:
+        nonlocal linked
+        if start < stop:
+            text.append(page[start:stop])
+            if open_tags["a"]:
+                linked += len(page[start:stop].strip())
+
+    at, moved = 0, None
+    pieces = _Scanner(page).pieces()
+    while True:
+        try:
+            start, end, tag, closing, attributes = pieces.send(moved)
+        except StopIteration:
             break
-        at = found.end()
-        tag = (found[2] or "").lower()
+        add(at, start)
+        at, moved = end, None
         if not tag:
             continue
-        if found[1]:
+        if closing:
             if tag in _INLINE:
-                if open_tags.get(tag):
-                    # an inline tag ends within its block
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] not in _INLINE:
-                            break
-                        if stack[i][0] == tag:
-                            pop(tag)
-                            break
+                if open_tags[tag]:
+                    while (name := inline.pop()) != tag:
+                        open_tags[name] -= 1
+                    open_tags[tag] -= 1
                 continue
-            flush()
-            if open_tags.get(tag):
+            yield from flush()
+            if open_tags[tag]:
                 pop(tag)
             continue
-        if tag in _RAW and not found[3].rstrip().endswith("/"):
+        if tag in _RAW and not attributes.rstrip().endswith("/"):
             if tag not in _NOTES:
-                flush()
-            close = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if close:
-                at = close.end()
+                yield from flush()
+            close = None if tag in endless else re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            stop = page.find(">", close.end()) if close else -1
+            if stop >= 0:
+                at = moved = stop + 1
             elif tag in _TO_THE_END:
-                at = n
+                at = len(page)
+                break
             else:
                 endless.add(tag)
             continue
         if tag == "head":
             # no part of any path: its own content is raw or void, and what else follows belongs to the body
-            flush()
+            yield from flush()
             continue
         if tag == "br":
             text.append(" ")
         if tag in _VOID:
             if tag == "hr":
-                flush()
+                yield from flush()
+            continue
+        if tag in _INLINE:
+            inline.append(tag)
+            open_tags[tag] += 1
             continue
-        if tag not in _INLINE:
-            flush()
-            if open_tags.get("p") and tag not in ("body", "html"):
-                pop("p")
-            for other in _ENDS.get(tag, ()):
-                if open_tags.get(other) and any(x[0] == other for x in stack[-4:]):
-                    pop(other)
-            # what an inline tag left open ends here
-            while stack and stack[-1][0] in _INLINE:
-                open_tags[stack.pop()[0]] -= 1
+        yield from flush()
+        if open_tags["p"] and tag not in ("body", "html"):
+            pop("p")
+        for other in _ENDS.get(tag, ()):
+            if open_tags[other] and any(x[0] == other for x in path.stack[-4:]):
+                pop(other)
+        # what an inline tag left open ends here
+        leave()
         own = [tag]
-        if found[3]:
-            for name, a, b, c in _ATTRIBUTE.findall(found[3]):
-                value, name = (a or b or c).lower(), name.lower()
-                if name in ("class", "id", "role"):
-                    own += [x for x in _PART.findall(value)] + [f"{name}={value[:40]}"]
-                elif name == "hidden" or "true" in value or "none" in value:
-                    own.append("@hidden")
-        stack.append((tag, tuple(own)))
-        open_tags[tag] = open_tags.get(tag, 0) + 1
-    flush()
-    return out
+        for name, a, b, c in _ATTRIBUTE.findall(attributes):
+            value, name = (a or b or c).lower(), name.lower()
+            if name in ("class", "id", "role"):
+                own += [x for x in _PART.findall(value)] + [f"{name}={value}"]
+            elif name == "hidden" or "true" in value or "none" in value:
+                own.append("@hidden")
+        path.push(tag, tuple(own))
+        open_tags[tag] += 1
+    add(at, len(page))
+    yield from flush()
 
 
 def _row(name: str) -> int:
-    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % ROWS
+    return _short_row(name) if len(name) <= 40 else zlib.crc32(name.encode("utf-8", "surrogatepass")) % ROWS
 
 
-@functools.lru_cache(1 << 16)
 def _path_rows(names: tuple[str, ...]) -> tuple[int, ...]:
+    return _short_path_rows(names) if len(names) <= 64 else tuple(_row(n) for n in names)
+
+
+@functools.lru_cache(1 << 14)
+def _short_path_rows(names: tuple[str, ...]) -> tuple[int, ...]:
     return tuple(_row(n) for n in names)
 
 
+@functools.lru_cache(1 << 15)
+def _short_row(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % ROWS
+
+
+def _own_figures(text: str, tokens: list[str], linked: int) -> tuple:
+    marks = sum(text.count(c) for c in ".,;:!?")
+    return (1.0, np.log1p(len(text)) / 6, np.log1p(len(tokens)) / 5, linked / len(text), marks / max(1, len(tokens)), text[-1] in ".!?:\"»”")
+
+
+def _placed(own: list[tuple], digits: list[float]) -> np.ndarray:
+    """The figures of a page's blocks, with those that tell their place."""
+    n = len(own)
+    at = np.arange(n)
+    rest = np.stack([at / max(1, n), (n - at) / max(1, n), np.full(n, np.log1p(n) / 5), digits], 1)
+    return np.concatenate([np.array(own, np.float32).reshape(-1, FIGURES - 4), rest], 1).astype(np.float32)
+
+
+def _digit_share(text: str) -> float:
+    return sum(map(text.count, "0123456789")) / len(text) if text.isascii() else sum(c.isdigit() for c in text) / len(text)
+
+
 def encode(found: list[tuple[str, tuple[str, ...], int]]) -> tuple[list[tuple[int, ...]], list[np.ndarray], np.ndarray]:
     """Rows of the path names, rows of the words and the figures of a page's blocks."""
-    paths, words, figures = [], [], []
-    for i, (text, names, linked) in enumerate(found):
+    paths, words, own = [], [], []
+    for text, names, linked in found:
         tokens = text.lower().split()
         paths.append(_path_rows(names))
-        words.append(np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % ROWS for w in tokens], np.int64))
-        marks = sum(text.count(c) for c in ".,;:!?")
-        figures.append((1.0, np.log1p(len(text)) / 6, np.log1p(len(tokens)) / 5, linked / len(text), marks / max(1, len(tokens)), text[-1] in ".!?:\"»”", i / len(found), (len(found) - i) / len(found), np.log1p(len(found)) / 5, sum(c.isdigit() for c in text) / len(text)))
-    return paths, words, np.array(figures, np.float32).reshape(-1, FIGURES)
+        words.append(np.array([_row(w) for w in tokens], np.int64))
+        own.append(_own_figures(text, tokens, linked))
+    return paths, words, _placed(own, [_digit_share(text) for text, _, _ in found])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -188,20 +324,44 @@ class Labeller:
         self.known = np.ones(ROWS, bool)
         self.p |= {"out": draw(2 * HIDDEN + size, 1), "bias": np.zeros(1, np.float32)}
 
+    def _path(self, rows: tuple[int, ...]) -> np.ndarray:
+        return self.p["path"][list(rows)].mean(0) if rows else np.zeros(PATH, np.float32)
+
+    def _words(self, rows: np.ndarray) -> np.ndarray:
+        return self.p["word"][rows[self.known[rows]]].sum(0) / max(1, len(rows))
+
     def inputs(self, page) -> np.ndarray:
         paths, words, figures = page
-        a = np.stack([self.p["path"][list(r)].mean(0) if r else np.zeros(PATH, np.float32) for r in paths])
-        b = np.stack([self.p["word"][w[self.known[w]]].sum(0) / max(1, len(w)) for w in words])
-        return np.concatenate([a, b, figures], 1)
+        return np.concatenate([np.stack([self._path(r) for r in paths]), np.stack([self._words(w) for w in words]), figures], 1)
+
+    def read(self, page: str | None) -> tuple[list[str], np.ndarray]:
+        """The texts of a page's blocks and their inputs, without keeping names and words of more than one block."""
+        texts, vectors, own = [], [], []
+        path, held = (), np.zeros(PATH, np.float32)
+        for text, names, linked in scan(page):
+            if names is not path:
+                path, held = names, self._path(_path_rows(names))
+            tokens = text.lower().split()
+            vectors.append(np.concatenate([held, self._words(np.array([_row(w) for w in tokens], np.int64))]))
+            own.append(_own_figures(text, tokens, linked))
+            texts.append(text)
+        if not texts:
+            return [], np.zeros((0, PATH + WORD + FIGURES), np.float32)
+        return texts, np.concatenate([np.stack(vectors), _placed(own, [_digit_share(t) for t in texts])], 1)
 
     def _scan(self, d: str, x: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
         """x: time x pages x inputs. Hidden states of one direction; padding leaves the state as it is."""
         steps = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
         h = np.zeros((x.shape[1], HIDDEN), np.float32)
         c, out = h.copy(), np.zeros((*x.shape[:2], HIDDEN), np.float32)
-        driven = x @ self.p[f"{d}x"] + self.p[f"{d}c"]
+        low = high = 0
         for t in steps:
-            z = driven[t] + h @ self.p[f"{d}h"]
+            if not low <= t < high:
+                # what the inputs drive, some steps at a time
+                low = t if d == "f" else max(0, t - SPAN + 1)
+                high = min(len(x), low + SPAN)
+                driven = x[low:high] @ self.p[f"{d}x"] + self.p[f"{d}c"]
+            z = driven[t - low] + h @ self.p[f"{d}h"]
             f, i, o = (_sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
             g = np.tanh(z[:, 3 * HIDDEN :])
             m = mask[t][:, None]
@@ -214,10 +374,15 @@ class Labeller:
         return out
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        kept = {d: [] if keep is not None else None for d in "fb"}
+        if keep is None:
+            w = self.p["out"]
+            total = x @ w[2 * HIDDEN :] + self.p["bias"]
+            for n, d in enumerate("fb"):
+                total += self._scan(d, x, mask, None) @ w[n * HIDDEN : (n + 1) * HIDDEN]
+            return _sigmoid(total)[..., 0]
+        kept = {d: [] for d in "fb"}
         both = np.concatenate([self._scan("f", x, mask, kept["f"]), self._scan("b", x, mask, kept["b"]), x], 2)
-        if keep is not None:
-            keep |= kept | {"both": both}
+        keep |= kept | {"both": both}
         return _sigmoid(both @ self.p["out"] + self.p["bias"])[..., 0]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray]:
@@ -246,21 +411,21 @@ class Labeller:
             grads |= {f"{d}x": gx, f"{d}h": gh, f"{d}c": gc}
         return grads, dx
 
-    def label(self, pages: list) -> list[np.ndarray]:
-        """Probability of main text for every block of every encoded page."""
+    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+        """Probability of main text for every block of every page, given the inputs of its blocks."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if len(pages[i][0])), key=lambda i: len(pages[i][0]))
+        order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
         at = 0
         while at < len(order):
             # pages of like length together, a bounded number of blocks at a time
             some = order[at : at + 128]
-            while len(some) > 1 and len(pages[some[-1]][0]) > 2 * len(pages[some[0]][0]) + 8:
+            while len(some) > 1 and len(pages[some[-1]]) > 2 * len(pages[some[0]]) + 8:
                 some = some[: len(some) // 2]
             at += len(some)
-            x, mask, _ = _padded([(self.inputs(pages[i]), None) for i in some])
+            x, mask, _ = _padded([(pages[i], None) for i in some])
             p = self.forward(x, mask)
             for k, i in enumerate(some):
-                out[i] = p[: len(pages[i][0]), k]
+                out[i] = p[: len(pages[i]), k]
         return out
 
 
@@ -463,9 +628,9 @@ def default_labeller(pages: int = PAGES, epochs: int = EPOCHS) -> Labeller:
 
 
 def main_text(pages: list[str | None], model: Labeller, least: float = 0.5) -> list[str]:
-    found = [blocks(p) for p in pages]
-    marked = model.label([encode(b) for b in found])
-    return ["\n\n".join(text for (text, _, _), p in zip(b, m, strict=True) if p >= least) for b, m in zip(found, marked, strict=True)]
+    found = [model.read(p) for p in pages]
+    marked = model.label([x for _, x in found])
+    return ["\n\n".join(text for text, p in zip(texts, m, strict=True) if p >= least) for (texts, _), m in zip(found, marked, strict=True)]
 
 
 def extract(pages: DataFrame, model: Labeller | None = None, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -199,6 +199,77 @@ def test_answers_confirm_weak_paraphrases(spark, documents):
     assert got and all(d % 2 == 1 for d in got), "only where the answer stands"
 
 
+def brute_lcs_leaks(documents, items, strong, weak=None):
+    """All texts with all items: the longest common subsequence with every window of the text, no search before it."""
+    found = set()
+    for item, text, *answer in items:
+        words = dc.Words(text)
+        words, masks = words.text(0, len(words)), {}
+        for i, w in enumerate(words):
+            masks[w] = masks.get(w, 0) | 1 << i
+        wanted = {w for a in answer if a for w in dc.Words(a).text(0, len(dc.Words(a)))}
+        n = len(words)
+        for key, body in documents:
+            tokens = dc.Words(body)
+            tokens = tokens.text(0, len(tokens))
+            if not n or len(set(words) & set(tokens)) < min(strong, weak or strong) * len(set(words)) / 2:
+                continue
+            for a in range(0, max(1, len(tokens) - n + 1), max(1, n // 4)):
+                span = tokens[a : a + n + max(4, n // 2)]
+                length = dc.lcs(masks, n, span)
+                if length >= strong * n or (weak and wanted and length >= weak * n and wanted <= set(span)):
+                    found.add((key, item))
+                    break
+    return found
+
+
+def changed(rng, text, kept):
+    """The text with a share ``kept`` of its words, the others replaced, dropped or preceded by a new one."""
+    out = []
+    for w in text.split():
+        if rng.random() < kept:
+            out.append(w)
+        else:
+            out += [[], [f"n{rng.integers(1 << 30)}"], [f"n{rng.integers(1 << 30)}"]][rng.integers(3)]
+    return " ".join(out)
+
+
+def recall(spark, documents, kept, answer):
+    """Share of what all-pairs comparison finds that the search finds, among paraphrases in hosts and all documents."""
+    rng = np.random.default_rng(3)
+    items = [(r.item_id, r.text, "zanzibar kumquat" if answer else None) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    host = [r.text.split() for r in documents.where("n_chars between 500 and 3000").orderBy("doc_id").limit(80).collect()]
+    rows = []
+    for i, (_, text, _) in enumerate(items * 2):
+        k = int(rng.integers(10, 60))
+        rows.append((50_000 + i, " ".join([*host[i][:k], changed(rng, text, rng.uniform(*kept)), *(["Kumquat, Zanzibar!"] * answer), *host[i][k : k + 40]])))
+    slim = documents.select("doc_id", "text").where("doc_id % 5 = 0").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    bench = spark.createDataFrame(items, "item_id long, text string, answer string")
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(slim, bench, answer="answer" if answer else None).collect()}
+    want = brute_lcs_leaks([tuple(r) for r in slim.collect()], items, dc.STRONG, dc.WEAK if answer else None)
+    assert len(want) >= 40
+    return len(got & want) / len(want), len(got - want)
+
+
+def test_recall_of_paraphrases(spark, documents):
+    """The default gates against every text with every item: 65 % to all of the words kept; with answers, 45 to 60 %."""
+    found, beyond = recall(spark, documents, (0.66, 0.9), False)
+    assert found >= 0.9 and beyond <= 3
+    found, beyond = recall(spark, documents, (0.47, 0.62), True)
+    assert found >= 0.9 and beyond <= 3
+
+
+def test_large_benchmarks_are_searched_in_parts(spark, documents, monkeypatch):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    some = documents.where("doc_id < 400")
+    whole = {(r.doc_id, r.item_id) for r in dc.contaminated(some, bench).collect()}
+    kept = {r.doc_id for r in dc.clean(some, bench).collect()}
+    monkeypatch.setattr(dc, "MOST_ITEMS", 15)
+    assert len(dc._parts(bench, "item_id", "text", None)) > 2
+    assert {(r.doc_id, r.item_id) for r in dc.contaminated(some, bench).collect()} == whole
+    assert {r.doc_id for r in dc.clean(some, bench).collect()} == kept
+
+
 def test_lcs_against_the_table():
     rng = np.random.default_rng(0)
     for _ in range(60):
@@ -221,6 +292,13 @@ def test_words_and_their_hashes(monkeypatch):
     whole = dc.Words(" ".join(f"w{i}" for i in range(2000))).ids
     monkeypatch.setattr(dc, "_PIECE", 64)
     assert (dc.Words(" ".join(f"w{i}" for i in range(2000))).ids == whole).all(), "pieces change nothing"
+    long = ["z" * 500 + end for end in ("", "a", "b", "ab")]
+    assert len({dc.Words(w).ids[0] for w in long}) == 4 and dc.Words("x " + long[1]).ids[1] == dc.Words(long[1]).ids[0], "every byte of a long word counts"
+    monkeypatch.setattr(dc, "_TOGETHER", 40)
+    texts = ["One two", None, "", "three " * 30, "z" * 90, "x", " ", "été"]
+    for one, t in zip(dc.Words.many(texts), texts, strict=True):
+        alone = dc.Words(t)
+        assert (one.ids == alone.ids).all() and one.text(0, len(one)) == alone.text(0, len(alone))
     assert len(dc.Words("z" * 500 + " a").ids) == 2 and len(dc.Words(None)) == 0 and len(dc.Words(" ")) == 0
 
 
@@ -277,6 +355,93 @@ def test_text_after_what_has_no_end(start):
     assert [t for t, _, _ in got] == ["T", "Article"] and not any("head" in names for _, names, _ in got)
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<" + "a" * 30, "<a<", "<p title='", '<p title="x>', "<div>x", "<b>", "<div><b>x", "</p>", "<p>x", "<!-", "<script>", "</script ", "&#1", "<svg>x", "<li id=q>x", "= ", "<a =  "])
+def test_time_is_proportional_to_length(unit):
+    """Ten times the length takes about ten times the time, also of a page that is broken all over."""
+    import time
+
+    def took(n: int) -> float:
+        page = "<p>" + unit * (n // len(unit))
+        start = time.perf_counter()
+        for _ in ex.scan(page):
+            pass
+        return time.perf_counter() - start
+
+    small = min(took(200_000) for _ in range(3))
+    assert took(2_000_000) < 30 * small + 1.0
+
+
+def test_ten_megabytes_of_open_tags():
+    import time
+
+    start = time.perf_counter()
+    assert [t for t, _, _ in ex.scan("<p>one<p>two" + "<a " * 3_400_000)][0] == "one"
+    deep = list(ex.scan("".join(f"<div id=i{chr(97 + i % 26)}{i}>x" for i in range(20_000))))
+    assert len(deep) == 20_000 and len(deep[-1][1]) <= ex.ROWS + 9
+    assert time.perf_counter() - start < 60
+
+
+def test_quotes_in_tags():
+    texts = lambda page: [t for t, _, _ in ex.blocks(page)]
+    assert texts("<p title='a > b' class=\"c > d\">x</p>") == ["x"]
+    assert texts("<p title=it's>x</p><p>y'</p>") == ["x", "y'"], "a quote that begins no value is none"
+    assert texts("<p title='open>x</p><p>y</p>") == ["x", "y"], "an unpaired quote means nothing"
+    assert texts("a < b and <p") == ["a < b and <p"] and texts("<p>x <3 y</p>") == ["x <3 y"]
+    assert texts("&#00000000065; &#99999999999; &#x41; " + "&#" + "1" * 6000 + ";") == ["A \ufffd A \ufffd"]
+
+
+def test_blocks_of_all_pages_against_a_plain_parser(spark):
+    """The standard library's parser, with the same tags as block ends, finds the same blocks on every page."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.text, self.raw = [], "", 0
+
+        def end(self):
+            whole = " ".join(self.text.split())
+            self.out += [whole] * bool(whole)
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            self.raw += tag in ex._RAW
+            if tag == "br":
+                self.text += " "
+            elif tag not in ex._INLINE and (tag not in ex._VOID or tag == "hr"):
+                self.end()
+
+        def handle_endtag(self, tag):
+            self.raw -= tag in ex._RAW
+            if tag not in ex._INLINE and tag not in ex._VOID:
+                self.end()
+
+        def handle_data(self, data):
+            self.text += "" if self.raw else data
+
+    for sf in ("sf0.001", "sf0.1"):
+        for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect():
+            plain = Plain()
+            plain.feed(r.html)
+            plain.close()
+            plain.end()
+            assert [t for t, _, _ in ex.blocks(r.html)] == plain.out, r.page_id
+
+
+def test_one_pass_reads_what_training_reads(labeller):
+    for page, _ in ex.made_pages(20, seed=77):
+        texts, x = labeller.read(page)
+        found = ex.blocks(page)
+        assert texts == [t for t, _, _ in found] and np.allclose(x, labeller.inputs(ex.encode(found)), atol=1e-6)
+
+
+def test_long_pages_go_through_in_spans(labeller, monkeypatch):
+    _, x = labeller.read("".join(f"<p>word {i} and more.</p>" for i in range(100)))
+    whole = labeller.label([x, x[:3]])
+    monkeypatch.setattr(ex, "SPAN", 7)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(whole, labeller.label([x, x[:3]]), strict=True))
+
+
 def test_formulas_and_objects_are_text():
     page = "<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p><object data=a><p>else this</p></object><svg><text>no</text></svg></article>"
     assert [t for t, _, _ in ex.blocks(page)] == ["so x=1 holds", "else this"]
