@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ def cell_key(index: Column) -> Column:
 
 
 def relative_ref(ref: Column, root: str) -> Column:
-    return make_ref(F.regexp_replace(ref_path(ref), "^" + root.rstrip("/") + "/", ""), ref_index(ref))
+    return make_ref(F.regexp_replace(ref_path(ref), "^" + re.escape(root.rstrip("/")) + "/", ""), ref_index(ref))
 
 
 def absolute_ref(ref: Column, root: str) -> Column:
@@ -80,3 +82,9 @@ def blob_tile(name: Column) -> dict[str, Column]:
     """key, col and row of a tile name ``<key>_<col>_<row>.npz``."""
     pattern = r"^(.+)_(\d+)_(\d+)\.npz$"
     return {"uuid": clean_key(F.regexp_extract(name, pattern, 1)), "col": F.regexp_extract(name, pattern, 2).try_cast("int"), "row": F.regexp_extract(name, pattern, 3).try_cast("int")}
+
+
+def image_tile(name: Column) -> dict[str, Column]:
+    """The same for the older form ``image_<key>_<col>_<row>``, whatever follows: the shortest key."""
+    pattern = r"image_(.+?)_(\d+)_(\d+)"
+    return {"uuid": F.regexp_extract(name, pattern, 1), "col": F.regexp_extract(name, pattern, 2).try_cast("int"), "row": F.regexp_extract(name, pattern, 3).try_cast("int")}

@@ -12,8 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.numeric import pixel_box_to_world
+from tessera.session import checkpointed
+
 BOX = ["xmin", "ymin", "xmax", "ymax"]
-#: bins on one axis that a box may cover; larger boxes go through the list of all
+#: bins on one axis that a box may meet; larger boxes are joined on larger bins
 MOST_BINS = 64
 
 
@@ -32,37 +35,80 @@ def intersects(a: str, b: str) -> Column:
     return (c(f"{a}xmin") <= c(f"{b}xmax")) & (c(f"{b}xmin") <= c(f"{a}xmax")) & (c(f"{a}ymin") <= c(f"{b}ymax")) & (c(f"{b}ymin") <= c(f"{a}ymax"))
 
 
-def _binned(boxes: DataFrame, prefix: str, cell: float) -> DataFrame:
-    first = lambda n: F.floor(F.col(f"{prefix}{n}") / cell).cast("long")
-    xs, ys = F.sequence(first("xmin"), first("xmax")), F.sequence(first("ymin"), first("ymax"))
-    return boxes.withColumn("_bx", F.explode(xs)).withColumn("_by", F.explode(ys))
+def _bins(prefix: str, cell: float) -> tuple[Column, Column, Column, Column]:
+    return tuple(F.floor(F.col(f"{prefix}{n}") / cell).cast("long") for n in BOX)
 
 
-def box_join(left: DataFrame, right: DataFrame, cell: float, left_key: str, right_key: str) -> DataFrame:
-    """(left_key, right_key) of all boxes that intersect, each pair once.
+def _binned(boxes: DataFrame, prefix: str, cell: float) -> DataFrame:
+    """Every box once for each bin that it meets."""
+    x0, y0, x1, y1 = _bins(prefix, cell)
+    return boxes.withColumn("_bx", F.explode(F.sequence(x0, x1))).withColumn("_by", F.explode(F.sequence(y0, y1)))
 
-    Both sides are spread over square bins of side ``cell`` and joined by bin; a pair is reported by the bin that holds
-    the lower left corner of its intersection, so no distinct is needed. Choose the cell near the typical box."""
-    a = left.select(F.col(left_key).alias("_l"), *[F.col(c).alias(f"a_{c}") for c in BOX])
-    b = right.select(F.col(right_key).alias("_r"), *[F.col(c).alias(f"b_{c}") for c in BOX])
-    pairs = _binned(a, "a_", cell).join(_binned(b, "b_", cell), ["_bx", "_by"]).where(intersects("a_", "b_"))
-    home = lambda n: F.floor(F.greatest(F.col(f"a_{n}"), F.col(f"b_{n}")) / cell)
-    return pairs.where((home("xmin") == F.col("_bx")) & (home("ymin") == F.col("_by"))).select(F.col("_l").alias(left_key), F.col("_r").alias(right_key))
 
+def box_join(left: DataFrame, right: DataFrame, cell: float, left_key: str, right_key: str, by: list[str] = ()) -> DataFrame:
+    """(by, left_key, right_key) of all boxes that intersect (and agree in ``by``), each pair once.
 
-def box_semi_join(left: DataFrame, right: DataFrame, cell: float, key: str) -> DataFrame:
-    """Rows of ``left`` that intersect any box of ``right``."""
+    Both sides are spread over square bins of side ``cell`` and joined by bin; a pair is reported by the bin that holds
+    the lower left corner of its intersection, so no distinct is needed. Choose the cell near the typical box. A box that
+    would meet more than MOST_BINS bins on an axis is joined on bins that are MOST_BINS times as wide, and so on, so it has
+    few rows however large it is; the other side has one more set of rows for each size that occurs."""
+    by = list(by)
+    a = left.select(*by, F.col(left_key).alias("_l"), *[F.col(c).alias(f"a_{c}") for c in BOX])
+    b = right.select(*by, F.col(right_key).alias("_r"), *[F.col(c).alias(f"b_{c}") for c in BOX])
+
+    def level(prefix: str) -> Column:
+        """How often the bins must grow MOST_BINS-fold for the box to meet at most as many on an axis."""
+        x0, y0, x1, y1 = _bins(prefix, cell)
+        return F.greatest(F.lit(0), F.ceil(F.log(F.greatest(x1 - x0, y1 - y0, F.lit(1)) / F.lit(MOST_BINS - 2.0)) / F.log(F.lit(float(MOST_BINS)))).cast("int"))
+
+    a, b = a.withColumn("_level", level("a_")), b.withColumn("_level", level("b_"))
+    # a handful of levels, whatever the boxes
+    levels = sorted({r[0] for side in (a, b) for r in side.select("_level").distinct().collect() if r[0] is not None})
+    out = None
+    for n in levels:
+        side = cell * MOST_BINS**n
+        # pairs whose larger level is n
+        x, y = a.where(F.col("_level") <= n).withColumnRenamed("_level", "_la"), b.where(F.col("_level") <= n).withColumnRenamed("_level", "_lb")
+        pairs = _binned(x, "a_", side).join(_binned(y, "b_", side), [*by, "_bx", "_by"]).where(intersects("a_", "b_") & (F.greatest("_la", "_lb") == n))
+        home = lambda c, side=side: F.floor(F.greatest(F.col(f"a_{c}"), F.col(f"b_{c}")) / side)
+        pairs = pairs.where((home("xmin") == F.col("_bx")) & (home("ymin") == F.col("_by"))).select(*by, F.col("_l").alias(left_key), F.col("_r").alias(right_key))
+        out = pairs if out is None else out.union(pairs)
+    return out if out is not None else a.join(b, by or F.lit(False)).select(*by, F.col("_l").alias(left_key), F.col("_r").alias(right_key)).limit(0)
+
+
+def box_semi_join(left: DataFrame, right: DataFrame, cell: float, key: str, by: list[str] = ()) -> DataFrame:
+    """Rows of ``left`` that intersect any box of ``right`` (of the same ``by``)."""
     tagged = right.withColumn("_rid", F.lit(1))
-    hits = box_join(left, tagged, cell, key, "_rid").select(key).distinct()
-    return left.join(hits, key, "left_semi")
+    hits = box_join(left, tagged, cell, key, "_rid", by).select(*by, key).distinct()
+    return left.join(hits, [*by, key], "left_semi")
+
+
+def clip(boxes: DataFrame, to: DataFrame, cell: float | None = None, by: list[str] = ()) -> DataFrame:
+    """Boxes cut to the boxes of ``to`` (of the same ``by``); a box that meets several is there once for each, and those
+    without area inside are dropped. With ``cell`` the two sides are joined by bins of that side."""
+    by = list(by)
+    names = {c: f"_{c}" for c in BOX}
+    if cell is None:
+        # the reference's one extent, or one for each of ``by``
+        t = to.select(*by, *[F.col(c).alias(n) for c, n in names.items()])
+        out = boxes.join(F.broadcast(t), by) if by else boxes.join(F.broadcast(t), F.col("xmin") < F.col("_xmax"))
+    else:
+        rows, areas = (checkpointed(d.withColumn(n, F.monotonically_increasing_id())) for d, n in ((boxes, "_box"), (to.select(*by, *BOX), "_area")))
+        pairs = box_join(rows, areas, cell, "_box", "_area", by).select("_box", "_area")
+        out = rows.join(pairs, "_box").join(areas.select("_area", *[F.col(c).alias(n) for c, n in names.items()]), "_area").drop("_box", "_area")
+    cut = {"xmin": F.greatest("xmin", "_xmin"), "ymin": F.greatest("ymin", "_ymin"), "xmax": F.least("xmax", "_xmax"), "ymax": F.least("ymax", "_ymax")}
+    return out.withColumns(cut).drop(*names.values()).where("xmin < xmax and ymin < ymax")
 
 
-def clip(boxes: DataFrame, to: DataFrame) -> DataFrame:
-    """Boxes cut to the one box of ``to``; those without area inside are dropped."""
-    t = to.select(*[F.col(c).alias(f"_{c}") for c in BOX]).limit(1)
-    out = boxes.join(F.broadcast(t))
-    cut = {"xmin": F.greatest("xmin", "_xmin"), "ymin": F.greatest("ymin", "_ymin"), "xmax": F.least("xmax", "_xmax"), "ymax": F.least("ymax", "_ymax")}
-    return out.withColumns(cut).drop(*[f"_{c}" for c in BOX]).where("xmin < xmax and ymin < ymax")
+def mask_boxes(cells: DataFrame, affine: Column, step: int, key: list[str] = ()) -> DataFrame:
+    """A footprint's coarse cells (row, col of ``step`` pixels) as world boxes, runs along a row joined: what a mask table
+    gives to ``clip`` and ``union_area``."""
+    k = list(key)
+    along = Window.partitionBy(*k, "row").orderBy("col")
+    runs = cells.withColumn("_run", F.col("col") - F.row_number().over(along))
+    runs = runs.groupBy(*k, "row", "_run").agg(F.min("col").alias("_c0"), (F.max("col") + 1).alias("_c1"))
+    box = pixel_box_to_world(affine, F.col("_c0") * step, F.col("row") * step, F.col("_c1") * step, (F.col("row") + 1) * step)
+    return runs.select(*k, *[v.alias(n) for n, v in box.items()])
 
 
 def union_area(boxes: DataFrame, cell: float, group: list[str] = ()) -> DataFrame:
@@ -136,10 +182,17 @@ def overlapping_windows(blobs: DataFrame, tile: int, overlap: int, cell: int = 1
     return out.select(*carry, name.alias("chunk_id"), "col_px", "row_px", "w_px", "h_px")
 
 
-def chunk_rects(blobs: DataFrame, size: int | None, carry: list[str] = ("uuid",)) -> DataFrame:
-    """The whole blob (size None) or its parts of ``size`` pixels, the last ones cut off."""
-    if size is None:
+def chunk_rects(blobs: DataFrame, size: int | str | None, carry: list[str] = ("uuid",), tiles: DataFrame | None = None) -> DataFrame:
+    """The whole blob (size None or ``blob``), its tiles (``tile``: rows of ``tiles`` with col, row, w, h), or its parts of
+    ``size`` pixels, the last ones cut off."""
+    if size == "tile":
+        if tiles is None:
+            raise ValueError("tiles are needed")
+        return tiles.join(blobs.select(*carry), list(carry), "left_semi").select(*carry, F.col("col").alias("col_px"), F.col("row").alias("row_px"), F.col("w").alias("w_px"), F.col("h").alias("h_px"))
+    if size is None or size == "blob":
         return blobs.select(*carry, F.lit(0).alias("col_px"), F.lit(0).alias("row_px"), F.col("width").alias("w_px"), F.col("height").alias("h_px"))
+    if not isinstance(size, int):
+        raise ValueError(f"chunks of {size!r}: blob, tile or a number of pixels")
     starts = lambda n: F.sequence(F.lit(0), F.greatest(F.lit(0), F.col(n) - 1), F.lit(size))
     out = blobs.where("width > 0 and height > 0").withColumn("row_px", F.explode(starts("height"))).withColumn("col_px", F.explode(starts("width")))
     return out.select(*carry, "col_px", "row_px", F.least(F.lit(size), F.col("width") - F.col("col_px")).alias("w_px"), F.least(F.lit(size), F.col("height") - F.col("row_px")).alias("h_px"))

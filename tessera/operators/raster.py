@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import checkpointed
+from tessera.session import checkpointed, discard
 
 
 def canvas(spark, height: int, width: int) -> DataFrame:
@@ -102,6 +102,17 @@ def class_codes(painted: DataFrame, classes: list[int], mask: DataFrame, key: li
     return mask.join(painted, at, "left").select(*at, F.when(F.col("has_data"), F.coalesce(code, F.lit(0))).otherwise(0).alias("code"))
 
 
+def footprint_or_bounds(pixels: DataFrame, step: int, least: int = 64) -> DataFrame:
+    """The footprint, or, where nothing but speckle is there, all coarse cells of the raster's bounds."""
+    found = checkpointed(footprint(pixels, step, least))
+    if not found.isEmpty():
+        return found
+    cell = lambda f, n: F.expr(f"{f}({n}) div {step}")
+    ends = pixels.agg(*[cell(f, n).alias(f"{f}_{n}") for f in ("min", "max") for n in ("row", "col")]).where("min_row is not null")
+    every = lambda n: F.explode(F.sequence(f"min_{n}", f"max_{n}"))
+    return ends.withColumn("row", every("row")).withColumn("col", every("col")).select("row", "col")
+
+
 def footprint(pixels: DataFrame, step: int, least: int = 64) -> DataFrame:
     """Coarse cells of ``step`` pixels that hold data and are no speckle: those in 4-connected components of ``least`` cells
     or more. A mask table instead of a polygon."""
@@ -118,7 +129,7 @@ def footprint(pixels: DataFrame, step: int, least: int = 64) -> DataFrame:
 
 def _components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, label) by hooking each label to its smallest neighbour and following hooks, until no pair disagrees. Each
-    round is checkpointed."""
+    round is checkpointed, and the one before it removed."""
     labels = checkpointed(nodes.withColumn("label", F.col("node")))
     pairs = checkpointed(pairs)
     while True:
@@ -126,10 +137,12 @@ def _components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         met = pairs.join(a, "node").join(b, "other").where("la <> lb").select("la", "lb")
         hooks = checkpointed(met.union(met.select("lb", "la")).groupBy("la").agg(F.min("lb").alias("to")).where("to < la"))
         if hooks.isEmpty():
+            discard(pairs, hooks)
             return labels
         onward = hooks.select(F.col("la").alias("to"), F.col("to").alias("next"))
         far = hooks.join(onward, "to", "left").select("la", F.coalesce("next", "to").alias("to"))
-        labels = checkpointed(labels.join(far, labels["label"] == far["la"], "left").select("node", F.coalesce("to", "label").alias("label")))
+        before, labels = labels, checkpointed(labels.join(far, labels["label"] == far["la"], "left").select("node", F.coalesce("to", "label").alias("label")))
+        discard(before, hooks)
 
 
 def tile_split(pixels: DataFrame, tile: int) -> DataFrame:
@@ -167,3 +180,15 @@ def window_read(pixels: DataFrame, row: int, col: int, height: int, width: int,
     part = pixels.where(F.col("row").between(row, row + height - 1) & F.col("col").between(col, col + width - 1))
     part = part.select(*k, (F.col("row") - row).alias("row"), (F.col("col") - col).alias("col"), *values)
     return keyed(canvas(pixels.sparkSession, height, width), pixels, k).join(part, [*k, "row", "col"], "left").na.fill(0, values)
+
+
+def decimated(pixels: DataFrame, row: int, col: int, height: int, width: int, out_height: int, out_width: int, values: list[str], key: list[str] = ()) -> DataFrame:
+    """A window of a raster (with a key, of each) read at ``out_height`` x ``out_width`` positions: each shows the pixel
+    under its centre, zero where the raster ends. Other pixels are left out before anything is joined."""
+    k = list(key)
+    frame = keyed(canvas(pixels.sparkSession, out_height, out_width), pixels, k)
+    at = lambda i, n, of, start: F.floor((F.col(i) + 0.5) * of / n).cast("int") + start
+    frame = frame.withColumn("_r", at("row", out_height, height, row)).withColumn("_c", at("col", out_width, width, col))
+    part = pixels.where(F.col("row").between(row, row + height - 1) & F.col("col").between(col, col + width - 1))
+    part = part.select(*k, F.col("row").alias("_r"), F.col("col").alias("_c"), *values)
+    return frame.join(part, [*k, "_r", "_c"], "left").na.fill(0, values).drop("_r", "_c")

@@ -28,17 +28,21 @@ def tile_statistics(masks: DataFrame, key: list[str], column: str = "class", sch
     """No-data pixels, pixels of the rolled-up classes, unmapped pixels, no_data_frac, distinct original classes, and
     the extent of the annotated pixels (share of the tile's area, density inside). One aggregation, no join but the
     broadcast class table. A tile that holds an unknown class is left out."""
-    coarse = taxonomy.remap(masks.withColumn("_known", F.col(column).isin(*[*taxonomy.mapping(scheme), *taxonomy.NO_DATA])), column, scheme, "_coarse")
+    # one row for each class of a tile, then one for each tile
+    span = [f(F.col(c)).alias(f"_{n}_{c}") for c in ("row", "col") for n, f in (("min", F.min), ("max", F.max))]
+    each = masks.groupBy(*key, column).agg(F.count("*").alias("_n"), *span)
+    coarse = taxonomy.remap(each.withColumn("_known", F.col(column).isin(*[*taxonomy.mapping(scheme), *taxonomy.NO_DATA])), column, scheme, "_coarse")
     none = is_no_data(column)
     there = lambda name: F.when(~none, F.col(name))
-    counts = [F.count_if((F.col("_coarse") == k) & ~none).alias(f"pixels_class_{k}") for k in taxonomy.ROLLED_UP]
+    pixels = lambda where: F.coalesce(F.sum(F.when(where, F.col("_n"))), F.lit(0))
+    counts = [pixels((F.col("_coarse") == k) & ~none).alias(f"pixels_class_{k}") for k in taxonomy.ROLLED_UP]
     out = coarse.groupBy(*key).agg(
-        F.count("*").alias("total_pixels"),
-        F.count_if(none).alias("pixels_no_data"),
+        F.sum("_n").alias("total_pixels"),
+        pixels(none).alias("pixels_no_data"),
         *counts,
-        F.count_distinct(column).cast("short").alias("n_unique_orig_classes"),
-        (F.max(there("row")) - F.min(there("row")) + 1).cast("long").alias("_h"),
-        (F.max(there("col")) - F.min(there("col")) + 1).cast("long").alias("_w"),
+        F.count(column).cast("short").alias("n_unique_orig_classes"),
+        (F.max(there("_max_row")) - F.min(there("_min_row")) + 1).cast("long").alias("_h"),
+        (F.max(there("_max_col")) - F.min(there("_min_col")) + 1).cast("long").alias("_w"),
         F.bool_and("_known").alias("_known"),
     )
     annotated = F.col("total_pixels") - F.col("pixels_no_data")

@@ -64,10 +64,15 @@ def gram(df: DataFrame, column: str = "vec", normalise: bool = True, eps: float
     return sum(r.n for r in found), total, sum(np.frombuffer(r.g) for r in found).reshape(c, c)
 
 
+def covariance_from_gram(n: int, total: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance (divided by n - 1)."""
+    mean = total / max(n, 1)
+    return mean, (product - n * np.outer(mean, mean)) / max(n - 1, 1)
+
+
 def pca_from_gram(n: int, total: np.ndarray, product: np.ndarray, k: int | None = None) -> PCA:
     """The sign of a component is fixed: its largest entry is positive."""
-    mean = total / max(n, 1)
-    cov = (product - n * np.outer(mean, mean)) / max(n - 1, 1)
+    mean, cov = covariance_from_gram(n, total, product)
     values, vectors = np.linalg.eigh((cov + cov.T) / 2)
     values, vectors = values[::-1], vectors[:, ::-1].T
     if k is not None and k > len(values):
@@ -117,8 +122,53 @@ def project_sql(df: DataFrame, mean: Column, axes: list[Column], column: str = "
     return df.withColumns({(names or [f"pc{i}" for i in range(len(axes))])[i]: fv.project(F.col(column), mean, a) for i, a in enumerate(axes)})
 
 
+#: rows of which one task finds percentiles; more are narrowed down to so many first
+FEW = 1 << 20
+#: parts of a range of values
+PARTS = 1 << 14
+
+
+def order_statistic(df: DataFrame, column: str, rank: int) -> float:
+    """The value of that rank (from 0) in an order of a column without nulls, for any number of rows.
+
+    The range of values is cut into PARTS; the part that holds the rank follows from the parts' counts, and is cut again
+    until it holds few rows or one value. PARTS counts a turn come to the driver, and no task gets more than FEW values."""
+    x = F.col(column).cast("double")
+    low, high, n = df.agg(F.min(x), F.max(x), F.count("*")).first()
+    rows = df.select(x.alias("x"))
+    while n > FEW and low < high:
+        # halves first, so that no difference overflows; the parts are in the order of the values
+        part = F.least(F.floor((F.col("x") / 2 - low / 2) / (high / 2 - low / 2) * PARTS), F.lit(PARTS - 1))
+        parts = sorted(rows.groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect())
+        for p in parts:
+            if rank < p.n:
+                break
+            rank -= p.n
+        if (p.low, p.high) == (low, high) and p.n == n:
+            break
+        low, high, n = p.low, p.high, p.n
+        rows = rows.where(F.col("x").between(low, high))
+    if low == high:
+        return low
+    return rows.where(F.col("x").between(low, high)).orderBy("x").limit(rank + 1).agg(F.max("x")).first()[0]
+
+
 def percentile_bounds(df: DataFrame, columns: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
-    return df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(p)).alias(f"{c}_{n}") for c in columns for n, p in (("lo", low), ("hi", high))])
+    """One row: ``<column>_lo`` and ``<column>_hi``, percentiles with interpolation between neighbours; nulls don't count."""
+    ends = (("lo", low), ("hi", high))
+    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    if all(counts[c] <= FEW for c in columns):
+        return df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(p)).alias(f"{c}_{n}") for c in columns for n, p in ends])
+    found = {}
+    for c in columns:
+        some = df.select(c).where(F.col(c).isNotNull())
+        for n, p in ends:
+            place = p * (counts[c] - 1)
+            below = int(place)
+            v = order_statistic(some, c, below) if counts[c] else None
+            w = order_statistic(some, c, below + 1) if counts[c] and place > below else v
+            found[f"{c}_{n}"] = None if v is None else v + (w - v) * (place - below)
+    return df.sparkSession.createDataFrame([tuple(found.values())], ", ".join(f"{k} double" for k in found))
 
 
 def stretched(df: DataFrame, columns: list[str], low: float = 0.02, high: float = 0.98, eps: float = 1e-6) -> DataFrame:
@@ -168,20 +218,34 @@ def drift(a: DataFrame, b: DataFrame, key: list[str], column: str = "vec") -> Da
     return both.agg(F.avg(fv.cosine(F.col("_a"), F.col("_b"))).alias("mean_cosine"), F.count("*").alias("n"))
 
 
+#: numbers of the centres that a task holds
+MOST_NUMBERS = 1 << 25
+
+
 def assign(df: DataFrame, centres: list[tuple[int, list[float]]] | DataFrame, column: str = "vec", target: str = "cluster", eps: float = 1e-8, digits: int | None = None) -> DataFrame:
-    """The centre of largest cosine; ties go to the smallest number. Centres are few (a literal list, or a table whose
-    size is checked) and are compared inside the row."""
+    """The centre of largest cosine; ties go to the smallest number. Centres are a list, or a table (k, centre) that is
+    collected as far as MOST_NUMBERS allows; they travel with the tasks as one matrix."""
     if isinstance(centres, DataFrame):
-        rows = centres.select("k", "centre").orderBy("k").limit(4097).collect()
-        if len(rows) > 4096:
-            raise ValueError("more than 4096 centres")
+        dims = centres.select(F.max(F.size("centre"))).first()[0] or 1
+        rows = centres.select("k", "centre").limit(MOST_NUMBERS // dims + 1).collect()
+        if len(rows) > MOST_NUMBERS // dims:
+            raise ValueError(f"more than {MOST_NUMBERS // dims} centres of {dims} numbers: use learn.neighbour_vote with one neighbour")
         centres = [(r.k, list(r.centre)) for r in rows]
-    unit = [(k, np.asarray(c, float) / (np.linalg.norm(c) + eps)) for k, c in centres]
-    literal = F.array(*[F.struct(F.lit(int(k)).alias("k"), F.array(*[F.lit(float(v)) for v in c]).alias("c")) for k, c in unit])
-    normed = fv.l2_normalise(F.col(column), eps)
-    sim = lambda c: fv.dot(F.col("_unit"), c["c"]) if digits is None else F.round(fv.dot(F.col("_unit"), c["c"]), digits)
-    scored = F.transform(literal, lambda c: F.struct((-sim(c)).alias("s"), c["k"].alias("k")))
-    return df.withColumn("_unit", normed).withColumn(target, F.array_min(scored)["k"]).drop("_unit")
+    centres = sorted(centres)
+    names = np.array([k for k, _ in centres], np.int64)
+    matrix = np.array([np.asarray(c, float) / (np.linalg.norm(c) + eps) for _, c in centres]).T
+
+    @F.pandas_udf("int")
+    def nearest(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            out = []
+            for at in range(0, len(s), 1024):
+                x = np.stack(s.iloc[at : at + 1024].to_numpy()).astype(float)
+                sims = x / (np.linalg.norm(x, axis=1, keepdims=True) + eps) @ matrix
+                out.append(names[(sims if digits is None else np.round(sims, digits)).argmax(1)])
+            yield pd.Series(np.concatenate(out) if out else [], dtype="int32")
+
+    return df.withColumn(target, nearest(F.when(F.col(column).isNotNull(), F.col(column).cast("array<double>"))))
 
 
 def spherical_kmeans(df: DataFrame, k: int, column: str = "vec", key: str = "vec_id", iterations: int = 50, seed: int = 0, eps: float = 1e-8, seeding: int = 4096) -> np.ndarray:
@@ -229,8 +293,12 @@ def kmeans(df: DataFrame, k: int, column: str = "vec", seeds: int = 10, iteratio
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = df.withColumn("features", array_to_vector(fv.l2_normalise(F.col(column), 1e-8))).cache()
-    best = min((KMeans(k=k, seed=s, maxIter=iterations).fit(data) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
+    data = df.withColumn("features", array_to_vector(fv.l2_normalise(F.col(column), 1e-8)))
+    held = data.select("features").cache()
+    try:
+        best = min((KMeans(k=k, seed=s, maxIter=iterations).fit(held) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
+    finally:
+        held.unpersist()
     return best.transform(data).withColumnRenamed("prediction", "cluster").drop("features")
 
 

@@ -95,22 +95,11 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 RGB = """rgb AS (
   SELECT CAST(l_suppkey % 20 AS BIGINT) AS cell_id, CAST(l_partkey % 16 AS INTEGER) AS row, CAST(l_orderkey % 16 AS INTEGER) AS col,
     max(CASE WHEN l_quantity < 25 THEN 0 ELSE CAST(l_quantity AS INTEGER) END) AS r, max(CASE WHEN l_returnflag = 'R' THEN 9 ELSE 0 END) AS g, 0 AS b
-  FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2, 3)"""
-
-
-#: the same from all line items
-RGB_ALL = RGB.replace(" WHERE l_linenumber = 1", "")
+  FROM lineitem GROUP BY 1, 2, 3)"""
 
 
 def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rgb(read(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
-
-
-def rgb_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rgb(read(spark, sf_dir, "lineitem"))
-
-
-def _rgb(li: DataFrame) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem")
     return li.groupBy((F.col("l_suppkey") % 20).alias("cell_id"), (F.col("l_partkey") % 16).cast("int").alias("row"), (F.col("l_orderkey") % 16).cast("int").alias("col")).agg(
         F.max(F.when(F.col("l_quantity") < 25, 0).otherwise(F.col("l_quantity").cast("int"))).alias("r"), F.max(F.when(F.col("l_returnflag") == "R", 9).otherwise(0)).alias("g"), F.lit(0).alias("b")
     )

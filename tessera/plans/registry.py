@@ -21,18 +21,8 @@ def query(sql: str | None = None):
     return add
 
 
-def without(name: str, *cuts: str) -> str:
-    """The SQL of a registered query less these filters, each of which must be in it."""
-    sql = ORACLE_SQL[name]
-    for cut in cuts:
-        if cut not in sql:
-            raise ValueError(f"{name} has no {cut!r}")
-        sql = sql.replace(cut, "")
-    return sql
-
-
 def load() -> None:
-    from tessera.plans import learning, relational, scalar, spatial, storage, vector, whole  # noqa: F401
+    from tessera.plans import learning, relational, scalar, sites, spatial, storage, vector  # noqa: F401
 
 
 load()

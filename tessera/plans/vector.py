@@ -10,8 +10,8 @@ from tessera.operators import vectors as vec
 from tessera.plans import bindings as b
 from tessera.plans.registry import query
 
-DIMS = 6
-#: fixed centres and axes of DIMS components, so that another engine can use the same
+DIMS = 64
+#: fixed centres and axes, so that another engine can use the same
 CENTRES = [(k, [float((k * 7 + i * 3) % 5 - 2 + 0.1 * k) for i in range(DIMS)]) for k in range(5)]
 AXES = [[float((a * 5 + i * 2) % 7 - 3) for i in range(DIMS)] for a in range(3)]
 MEAN = [0.01 * i for i in range(DIMS)]
@@ -44,11 +44,27 @@ def vec_mean(spark, sf_dir):
 
 @query(f"""WITH {_SCALED}, x AS (SELECT i, j, v[i + 1] AS a, v[j + 1] AS b FROM v, range({DIMS}) r(i), range({DIMS}) s(j) WHERE i <= j) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(covar_samp(a, b), 9) AS cov FROM x GROUP BY 1, 2""")
 def gram_cov(spark, sf_dir):
-    return vec.covariance(_scaled(spark, sf_dir), "v", DIMS, "vec_id").withColumn("cov", F.round("cov", 9))
+    """The covariance that the exact PCA is fitted to, from merged partials."""
+    _, cov = vec.covariance_from_gram(*vec.gram(_scaled(spark, sf_dir), "v", normalise=False))
+    return spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(DIMS) for j in range(i, DIMS)], "i int, j int, cov double").withColumn("cov", F.round("cov", 9))
+
+
+@query(f"""WITH {_SCALED}, x AS (SELECT i, j, v[i + 1] AS a, v[j + 1] AS b FROM v, range(8) r(i), range(8) s(j) WHERE i <= j) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(covar_samp(a, b), 9) AS cov FROM x GROUP BY 1, 2""")
+def covariance_sql(spark, sf_dir):
+    """The same from sums of products inside the JVM, of the eight leading components: for few of them."""
+    return vec.covariance(_scaled(spark, sf_dir), "v", 8, "vec_id").withColumn("cov", F.round("cov", 9))
 
 
 @query(f"""WITH {_SCALED} SELECT vec_id, {", ".join(f"round(list_dot_product(list_transform(list_zip(u, {_sql(MEAN)}), lambda p: p[1] - p[2]), {_sql(a)}), 9) AS pc{i}" for i, a in enumerate(AXES))} FROM v""")
 def project_fixed(spark, sf_dir):
+    model = vec.PCA(np.array(MEAN), np.array(AXES), np.ones(len(AXES)), np.ones(len(AXES)), 1)
+    out = vec.project(_scaled(spark, sf_dir), model, "u", normalise=False)
+    return out.select("vec_id", *[F.round(F.get("z", i), 9).alias(f"pc{i}") for i in range(3)])
+
+
+@query(f"""WITH {_SCALED} SELECT vec_id, {", ".join(f"round(list_dot_product(list_transform(list_zip(u, {_sql(MEAN)}), lambda p: p[1] - p[2]), {_sql(a)}), 9) AS pc{i}" for i, a in enumerate(AXES))} FROM v""")
+def project_literal(spark, sf_dir):
+    """The same without Python."""
     lit = lambda v: F.array(*[F.lit(x) for x in v])
     out = vec.project_sql(_scaled(spark, sf_dir), lit(MEAN), [lit(a) for a in AXES], "u")
     return out.select("vec_id", *[F.round(f"pc{i}", 9).alias(f"pc{i}") for i in range(3)])
@@ -105,6 +121,22 @@ def pca_components(spark, sf_dir):
     return spark.createDataFrame(rows, "k int, variance double, ratio double, cum double")
 
 
+@query()
+def eff_dim_fit(spark, sf_dir):
+    """Components of the exact PCA that hold nine tenths of the variance."""
+    model = vec.fit_pca(b.vectors(spark, sf_dir), None, "vec")
+    return spark.createDataFrame([(vec.effective_dimensions(model.ratio),)], "eff_dim int")
+
+
+@query()
+def pca_reference_basis(spark, sf_dir):
+    """A basis fitted on the vectors of label 0 as they are and applied to all of them: drift of label means along it."""
+    e = b.vectors(spark, sf_dir)
+    model = vec.fit_pca(e.where("label = 0"), 3, "vec", normalise=False)
+    z = vec.project(e, model, "vec", normalise=False)
+    return z.groupBy("label").agg(*[F.round(F.avg(F.get("z", i)), 9).alias(f"pc{i}") for i in range(3)])
+
+
 @query()
 def pca_sampled(spark, sf_dir):
     """PCA of a hash sample in every class, projected on everything."""

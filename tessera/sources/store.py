@@ -13,6 +13,11 @@ def write_manifest(cells: DataFrame, path: str) -> None:
     cells.repartition("site_id").sortWithinPartitions("site_id", "cell_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site_id").parquet(path)
 
 
+def write_sites(rows: DataFrame, path: str) -> None:
+    """Any table by site; only the sites in ``rows`` are replaced."""
+    rows.repartition("site_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site_id").parquet(path)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -42,18 +42,23 @@ def _boxes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
         rows = []
         for path, content in pdf[["path", "content"]].itertuples(index=False):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                h, w = member_shape(z, "RED")[:2]
-                gt = member_array(z, "GEO_TRANSFORM").astype(float)
-                srid = int(member_array(z, "SRID").ravel()[0])
-            rows.append((path, int(w), int(h), gt[2], gt[5] + h * gt[4], gt[2] + w * gt[0], gt[5], srid, gt.tolist()))
-        yield pd.DataFrame(rows, columns=["path", "w", "h", "xmin", "ymin", "xmax", "ymax", "srid", "affine"])
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    h, w = member_shape(z, "RED")[:2]
+                    gt = member_array(z, "GEO_TRANSFORM").astype(float)
+                    srid = int(member_array(z, "SRID").ravel()[0])
+                rows.append((path, int(w), int(h), gt[2], gt[5] + h * gt[4], gt[2] + w * gt[0], gt[5], srid, gt.tolist(), None))
+            except (zipfile.BadZipFile, KeyError, ValueError, IndexError) as e:
+                rows.append((path, *[None] * 8, f"{type(e).__name__}: {e}"))
+        out = pd.DataFrame(rows, columns=["path", "w", "h", "xmin", "ymin", "xmax", "ymax", "srid", "affine", "error"])
+        yield out.astype({c: "Int32" for c in ("w", "h", "srid")} | {c: "float64" for c in ("xmin", "ymin", "xmax", "ymax")})
 
 
 def tile_boxes(spark: SparkSession, site_dir: str, splits: tuple[str, ...] = ("train", "val")) -> DataFrame:
-    """One row for each tile below ``site_dir/<split>``: tile, split, path, size, world box, srid, affine."""
+    """One row for each tile below ``site_dir/<split>``: tile, split, path, size, world box, srid, affine; of an archive that
+    can't be read path and ``error`` only."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load([f"{site_dir}/{s}" for s in splits])
-    out = files.select("path", "content").mapInPandas(_boxes, "path string, w int, h int, xmin double, ymin double, xmax double, ymax double, srid int, affine array<double>")
+    out = files.select("path", "content").mapInPandas(_boxes, "path string, w int, h int, xmin double, ymin double, xmax double, ymax double, srid int, affine array<double>, error string")
     return out.withColumn("tile", F.regexp_extract("path", r"([^/]+)\.npz$", 1)).withColumn("split", F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1))
 
 
@@ -98,9 +103,10 @@ def paired(masks: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumn("image_exists", F.col("_a").isNotNull() | F.col("_b").isNotNull()).withColumn("image_path", F.coalesce("_a", "_b", "_same")).drop("_same", "_other", "_a", "_b")
 
 
-def blobs(tiles: DataFrame, name: str = "name") -> DataFrame:
-    """Tiles (name, w, h, affine, srid) -> one row for each blob: tiles, width, height, affine and srid of its first."""
-    parts = fp.blob_tile(F.col(name))
+def blobs(tiles: DataFrame, name: str = "name", images_only: bool = False) -> DataFrame:
+    """Tiles (name, w, h, affine, srid) -> one row for each blob: tiles, width, height, affine and srid of its first.
+    ``images_only`` is the older form of names, ``image_<uuid>_<col>_<row>``: others are left out."""
+    parts = fp.image_tile(F.col(name)) if images_only else fp.blob_tile(F.col(name))
     t = tiles.withColumns(parts).where(F.col("col").isNotNull())
     return t.groupBy("uuid").agg(F.max(F.col("col") + F.col("w")).alias("width"), F.max(F.col("row") + F.col("h")).alias("height"), F.count("*").alias("n_tiles"), F.min_by("affine", name).alias("affine"), F.min_by("srid", name).alias("srid"))
 

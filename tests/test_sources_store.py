@@ -34,6 +34,23 @@ def test_tile_boxes(spark, site):
     assert got["image_2"].xmax == 102.5 and got["image_3"].split == "val" and got["image_1"].srid == 7
 
 
+def test_broken_archives_are_recorded(spark, site, tmp_path):
+    (tmp_path / "train").mkdir()
+    (tmp_path / "val").mkdir()
+    (tmp_path / "train" / "bad.npz").write_bytes(b"no archive")
+    np.savez(tmp_path / "train" / "other.npz", RED=np.zeros((2, 2)))
+    good = site / "P" / "S" / "10cm" / "v2" / "train" / "image_1.npz"
+    (tmp_path / "val" / "good.npz").write_bytes(good.read_bytes())
+    got = {r.tile: r for r in src.tile_boxes(spark, str(tmp_path)).collect()}
+    assert got["good"].error is None and got["good"].w == 6 and got["bad"].w is None and "BadZipFile" in got["bad"].error and got["other"].error
+
+
+def test_older_names_of_tiles(spark):
+    names = ["image_ab_c_10_20.npz", "image_ab_c_30_20_part.npz", "mask_ab_c_0_0.npz", "image_x.npz"]
+    t = spark.createDataFrame([(n, 4, 5, [1.0] * 6, 7) for n in names], "name string, w int, h int, affine array<double>, srid int")
+    assert [(r.uuid, r.width, r.height, r.n_tiles) for r in src.blobs(t, images_only=True).collect()] == [("ab_c", 34, 25, 2)]
+
+
 def test_masks_and_broken_files(spark, site):
     px = src.mask_pixels(spark, str(site))
     assert px.where("class is null").select("path").distinct().count() == 1

@@ -122,6 +122,50 @@ def test_random_projections_find_close_pairs(spark):
     assert len(found & {(i, i + 100) for i in range(100)}) >= 90
 
 
+def test_recall_of_the_neighbour_query(spark):
+    from tessera.plans import registry
+
+    sf_dir = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
+    ids = np.array([r.vec_id for r in rows])
+    x = np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(int(a), int(b)) for a in ids[ids % 100 == 0] for b in ids[np.linalg.norm(x - x[ids == a][0], axis=1) < 1.25] if a != b}
+    got = {(r.a, r.b) for r in registry.QUERIES["ann_lsh"](spark, sf_dir).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) > 0
+
+
+def test_nearest_centres_against_brute_force(spark, shifted):
+    rng = np.random.default_rng(4)
+    centres = [(k, rng.standard_normal(64).tolist()) for k in (7, 3, 5)] + [(9, [0.0] * 64)]
+    x = matrix(shifted)
+    names = [k for k, _ in sorted(centres)]
+    c = np.array([v for _, v in sorted(centres)])
+    c = c / (np.linalg.norm(c, axis=1, keepdims=True) + 1e-8)
+    want = [names[i] for i in (x @ c.T / np.linalg.norm(x, axis=1, keepdims=True)).argmax(1)]
+    table = spark.createDataFrame([(k, v) for k, v in centres], "k int, centre array<double>")
+    for given in (centres, table):
+        assert [r.cluster for r in vec.assign(shifted, given).orderBy("vec_id").collect()] == want
+
+
+def test_components_of_the_fit(spark, shifted):
+    from tessera.plans import registry
+
+    e = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in e], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-6
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    want = int(np.searchsorted(np.cumsum(values / values.sum()), 0.9) + 1)
+    assert registry.QUERIES["eff_dim_fit"](spark, SF_DIR).first().eff_dim == want
+    raw, labels = np.array([r.embedding for r in e], float), np.array([r.label for r in e])
+    _, axes = np.linalg.eigh(np.cov(raw[labels == 0].T))
+    top = axes[:, ::-1].T[:3]
+    top = top * np.sign(top[np.arange(3), np.abs(top).argmax(1)])[:, None]
+    z = (raw - raw[labels == 0].mean(0)) @ top.T
+    for r in registry.QUERIES["pca_reference_basis"](spark, SF_DIR).collect():
+        assert (r.pc0, r.pc1, r.pc2) == pytest.approx(tuple(z[labels == r.label].mean(0)), abs=1e-6)
+
+
 def test_geo_labels_outside_are_zero(spark):
     patches = spark.createDataFrame([("t", 0, 10.4, 19.6), ("t", 1, 9.9, 19.0), ("t", 2, 11.4, 18.1)], "tile string, p int, x double, y double")
     tiles = spark.createDataFrame([("t", 10.0, 20.0, 1.0, -1.0, 2, 2)], "tile string, ox double, oy double, px double, py double, w int, h int")

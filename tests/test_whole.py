@@ -14,14 +14,14 @@ def rows(spark, table):
 
 
 def test_no_part_or_supplier_is_left_out(spark):
-    for name, key, table in (("chunk_rects_all", "uuid", "part"), ("overlapping_windows_all", "uuid", "part"), ("grid_gen_all", "s_suppkey", "supplier")):
+    for name, key, table in (("chunk_rects", "uuid", "part"), ("overlapping_windows", "uuid", "part"), ("grid_gen", "s_suppkey", "supplier")):
         assert registry.QUERIES[name](spark, SF_DIR).select(key).distinct().count() == rows(spark, table)
 
 
 def test_heat_of_all_parts_against_brute_force(spark):
-    windows = registry.QUERIES["overlapping_windows_all"](spark, SF_DIR)
+    windows = registry.QUERIES["overlapping_windows"](spark, SF_DIR)
     want = sum(r.w_px * r.h_px for r in windows.collect())
-    heat = registry.QUERIES["coverage_heat_all"](spark, SF_DIR)
+    heat = registry.QUERIES["coverage_heat"](spark, SF_DIR)
     assert heat.agg({"n_boxes": "sum"}).first()[0] == want and heat.count() == heat.select("row", "col").distinct().count()
 
 
@@ -37,9 +37,9 @@ def test_pixels_of_all_line_items(spark):
 
     li = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").collect()
     spots = {(r.l_suppkey % 20, r.l_partkey % 16, r.l_orderkey % 16) for r in li}
-    assert b.rgb_all(spark, SF_DIR).count() == len(spots) > b.rgb(spark, SF_DIR).count()
-    assert registry.QUERIES["geo_labels_all"](spark, SF_DIR).agg({"n": "sum"}).first()[0] == len(li)
-    for name in ("data_mask_all", "class_canvas_all", "rgba_canvas_all", "edge_pad_all", "window_read_all"):
+    assert b.rgb(spark, SF_DIR).count() == len(spots)
+    assert registry.QUERIES["geo_labels"](spark, SF_DIR).agg({"n": "sum"}).first()[0] == len(li)
+    for name in ("data_mask", "class_canvas", "rgba_canvas", "edge_pad", "window_read"):
         assert registry.QUERIES[name](spark, SF_DIR).select("cell_id").distinct().count() == len({s[0] for s in spots})
 
 
@@ -47,13 +47,13 @@ def test_footprint_takes_all_pixels(spark, monkeypatch):
     from tessera.plans import bindings as b
 
     monkeypatch.setattr(raster, "footprint", lambda pixels, *_: pixels)
-    assert registry.QUERIES["footprint"](spark, SF_DIR).count() == b.rgb_all(spark, SF_DIR).count()
+    assert registry.QUERIES["footprint"](spark, SF_DIR).count() == b.rgb(spark, SF_DIR).count()
 
 
 def test_pairs_of_even_and_of_odd_boxes(spark):
-    pairs = registry.QUERIES["box_join_all"](spark, SF_DIR)
+    pairs = registry.QUERIES["box_join"](spark, SF_DIR)
     assert {(r.a, r.b) for r in pairs.selectExpr("a_id % 2 AS a", "b_id % 2 AS b").distinct().collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
-    assert {r.v for r in registry.QUERIES["box_semi_join_all"](spark, SF_DIR).selectExpr("vec_id % 2 AS v").distinct().collect()} == {0, 1}
+    assert {r.v for r in registry.QUERIES["box_semi_join"](spark, SF_DIR).selectExpr("vec_id % 2 AS v").distinct().collect()} == {0, 1}
 
 
 def test_boosted_probe_judges_all_labels(spark, monkeypatch):
