@@ -11,62 +11,62 @@ NO_DATA = (0, 15, 127, -128, 255, 65535)
 # The seven rolled-up classes.
 ROLLED_UP = (2, 3, 4, 5, 6, 40, 301)
 
-# Class id, short name (empty where there is none), full name.
-NAMES = """
-0|No class|No class
-1|Non erosion|Non erosion
-2|Ground|Ground
-3|HumGras|Hummock Grass
-4|Shrub|Shrub
-5|Tree|Tree
-6|Herb|Herb
-7|Grass|Grass
-9|Debris|Generic Debris
-40|Sedge|Sedge
-70|AnnHer|Annual herbs and grasses
-141|Rills|Rills
-142|Gullies|Gullies
-200|Abiotic|Abiotic
-201|Water|Water
-301|TusGra|Tussock Grass
-302|Herb2|Herb 2
-303|CenSpp|Cenchrus spp.
-401|SkeShr|Skeletal shrub
-402|AerJav|Aerva javanica
-450|MacSpp|Macrozamia spp.
-501|CalPro|Calotropis procera
-601|Melaleu|Melaleuca spp.
-603|EucSpp|Eucalyptus spp.
-607|BanSpp|Banksia spp.
-1791|PasFoe|Passiflora foetida
-4900|XanPre|Xanthorrhoea preissii
-5007|Mulga|Mulga
-5103|NelPal|Neltuma pallida
-5114|ParAcu|Parkinsonia aculeata
-5203|VacFar|Vachellia farnesiana
-6008|EucCam|Eucalyptus camaldulensis
-6012|EucVic|Eucalyptus victrix
-6015|MelArg|Melaleuca argentea
-6016|PhoDac|Phoenix dactylifera
-9003|DeadTr|Dead Triodia
-9004|DeadSh|Dead Shrub
-10001|SteveSpi|Steve the spikey plant
-10003|BBT1|BBT1
-10004|BBT2|BBT2
-10005|BBT3|BBT3
-10006|BBT4|BBT4
-10007|NGLowPalm|New Guinea low Palm
-10008|NGTallPalm|New Guinea Tall Palm
-10009|NGGrass|New Guinea Grass
-10010|NGBroad|New Guinea Broadleaf
-10011|NGShrub|New Guinea shrub
-10012|NGTree|New Guinea Tree
-10013|NGWisTree|New Guinea Wispy Tree
-10014||ALC Other Veg
-10016||Marrie
-10050|HerbRumVes|Rumex Vesicarius
-10092|ShrubTecticorna|Tecticorna spp
-"""
+# Class id, short name (None where there is none), full name.
+NAMES = (
+    (0, "No class", "No class"),
+    (1, "Non erosion", "Non erosion"),
+    (2, "Ground", "Ground"),
+    (3, "HumGras", "Hummock Grass"),
+    (4, "Shrub", "Shrub"),
+    (5, "Tree", "Tree"),
+    (6, "Herb", "Herb"),
+    (7, "Grass", "Grass"),
+    (9, "Debris", "Generic Debris"),
+    (40, "Sedge", "Sedge"),
+    (70, "AnnHer", "Annual herbs and grasses"),
+    (141, "Rills", "Rills"),
+    (142, "Gullies", "Gullies"),
+    (200, "Abiotic", "Abiotic"),
+    (201, "Water", "Water"),
+    (301, "TusGra", "Tussock Grass"),
+    (302, "Herb2", "Herb 2"),
+    (303, "CenSpp", "Cenchrus spp."),
+    (401, "SkeShr", "Skeletal shrub"),
+    (402, "AerJav", "Aerva javanica"),
+    (450, "MacSpp", "Macrozamia spp."),
+    (501, "CalPro", "Calotropis procera"),
+    (601, "Melaleu", "Melaleuca spp."),
+    (603, "EucSpp", "Eucalyptus spp."),
+    (607, "BanSpp", "Banksia spp."),
+    (1791, "PasFoe", "Passiflora foetida"),
+    (4900, "XanPre", "Xanthorrhoea preissii"),
+    (5007, "Mulga", "Mulga"),
+    (5103, "NelPal", "Neltuma pallida"),
+    (5114, "ParAcu", "Parkinsonia aculeata"),
+    (5203, "VacFar", "Vachellia farnesiana"),
+    (6008, "EucCam", "Eucalyptus camaldulensis"),
+    (6012, "EucVic", "Eucalyptus victrix"),
+    (6015, "MelArg", "Melaleuca argentea"),
+    (6016, "PhoDac", "Phoenix dactylifera"),
+    (9003, "DeadTr", "Dead Triodia"),
+    (9004, "DeadSh", "Dead Shrub"),
+    (10001, "SteveSpi", "Steve the spikey plant"),
+    (10003, "BBT1", "BBT1"),
+    (10004, "BBT2", "BBT2"),
+    (10005, "BBT3", "BBT3"),
+    (10006, "BBT4", "BBT4"),
+    (10007, "NGLowPalm", "New Guinea low Palm"),
+    (10008, "NGTallPalm", "New Guinea Tall Palm"),
+    (10009, "NGGrass", "New Guinea Grass"),
+    (10010, "NGBroad", "New Guinea Broadleaf"),
+    (10011, "NGShrub", "New Guinea shrub"),
+    (10012, "NGTree", "New Guinea Tree"),
+    (10013, "NGWisTree", "New Guinea Wispy Tree"),
+    (10014, None, "ALC Other Veg"),
+    (10016, None, "Marrie"),
+    (10050, "HerbRumVes", "Rumex Vesicarius"),
+    (10092, "ShrubTecticorna", "Tecticorna spp"),
+)
 
 # Fine classes under each of the seven.
 SEVEN = {
@@ -95,7 +95,7 @@ def mapping(scheme: str) -> dict[int, int]:
     if scheme == "erosion":
         return dict(EROSION)
     if scheme == "identity":
-        return {int(line.split("|")[0]): int(line.split("|")[0]) for line in NAMES.strip().split("\n")}
+        return {class_id: class_id for class_id, _, _ in NAMES}
     seven = {fine: coarse for coarse, fines in SEVEN.items() for fine in fines}
     return seven if scheme == "seven" else {fine: COARSER[scheme][coarse] for fine, coarse in seven.items()}
 
@@ -106,8 +106,7 @@ def scheme_table(spark: SparkSession, scheme: str) -> DataFrame:
 
 
 def names_table(spark: SparkSession) -> DataFrame:
-    rows = [(int(i), short or None, full) for i, short, full in (line.split("|") for line in NAMES.strip().split("\n"))]
-    return spark.createDataFrame(rows, "class_id int, short string, full string")
+    return spark.createDataFrame(list(NAMES), "class_id int, short string, full string")
 
 
 def remap(df: DataFrame, column: str, scheme: str, target: str | None = None) -> DataFrame:
