@@ -358,12 +358,16 @@ def _across_shards(members: DataFrame, links: DataFrame, block: int, k: int, num
     return links
 
 
-def _hot(tokens: DataFrame) -> DataFrame | None:
-    """Tokens that very many nodes have, judged by the nodes whose hash is a multiple of SAMPLED: at most MOST_HOT, as each
-    takes a MOST_HOT-th of the sampled rows. Whether a token is among them changes the way and not the result."""
-    sample = tokens.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SAMPLED)) == 0)
-    least = max(HOT_LEAST, -(-sample.count() // MOST_HOT))
-    hot = stored(sample.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("token"), "hot")
+def _hot(sets: DataFrame) -> DataFrame | None:
+    """Tokens that very many sets (print, tokens) have, judged by the sets whose hash is a multiple of SAMPLED: at most
+    MOST_HOT, as each takes a MOST_HOT-th of the sampled rows. Whether a token is among them changes the way and not the
+    result."""
+    some = sets.where(F.pmod(F.xxhash64("print", F.lit(5)), F.lit(SAMPLED)) == 0)
+    sample = some.groupBy("print").agg(F.first("tokens").alias("tokens")).select(F.explode("tokens").alias("token"))
+    counts = stored(sample.groupBy("token").agg(F.count("*").alias("n")), "sample")
+    least = max(HOT_LEAST, -(-(counts.agg(F.sum("n")).first()[0] or 0) // MOST_HOT))
+    hot = stored(counts.where(F.col("n") >= least).select("token"), "hot")
+    discard(counts)
     return None if hot.isEmpty() else hot
 
 
@@ -391,10 +395,10 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, block: int, key: str,
     made = stored(slim.mapInArrow(lambda it: trimmed(_sets(it, k, num, den)), schema).withColumn("uid", F.monotonically_increasing_id()), "sets")
     # the row with the smallest key, rows without a key last, stands for a set; copies are combined before they are shuffled
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first")
-    nodes = made.where("n > 0").groupBy("print").agg(first, F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    nodes = stored(nodes.select(F.col("first.uid").alias("node"), F.col("first.id").alias("rep"), "print", "n", "tokens"), "nodes")
-    tokens = nodes.select(F.explode("tokens").alias("token"), "node")
-    hot = _hot(tokens)
+    sets = made.where("n > 0").groupBy("print")
+    nodes = stored(sets.agg(first, F.first("n").alias("n")).select(F.col("first.uid").alias("node"), F.col("first.id").alias("rep"), "print", "n"), "nodes")
+    tokens = sets.agg(first, F.first("tokens").alias("tokens")).select(F.explode("tokens").alias("token"), F.col("first.uid").alias("node"))
+    hot = _hot(made.where("n > 0"))
     cold = tokens if hot is None else tokens.join(F.broadcast(hot), "token", "left_anti")
     shared = cold.repartition("token").sortWithinPartitions("token", "node").mapInArrow(lambda it: trimmed(_shared(it)), "node long, token long, df long")
     if hot is not None:
@@ -412,9 +416,9 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, block: int, key: str,
         chains = chains.union(_through_hubs(rare.join(F.broadcast(hot), "token", "left_semi"), num, den))
     blocks = connected_components(chains).select("node", F.col("component").alias("block"))
     sizes = blocks.groupBy("block").agg(F.count("*").alias("m"))
-    # a block may hold a large part of all sets: joined so that its rows can be split
-    spread = blocks.join(sizes.hint("merge"), "block").withColumn("g", F.ceil(F.col("m") / block).cast("int")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    members = made.select(F.col("uid").alias("node"), "text").join(spread, "node")
+    spread = blocks.join(sizes, "block").withColumn("g", F.ceil(F.col("m") / block).cast("int")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    # as it goes where there are many: texts by row, both sides shuffled
+    members = made.select(F.col("uid").alias("node"), "text").join(spread.hint("merge"), "node")
     members = stored(members.select("block", "g", "s", "node", "text"), "members")
     links = _links(members.withColumns({"i": F.col("s"), "j": F.lit(0), "known": F.lit(None).cast("long"), "walks": F.lit(True)}), k, num, den)
     cut = members.where("g > 1")

@@ -154,8 +154,8 @@ def test_hot_tokens_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(nj, "SAMPLED", 1)
     monkeypatch.setattr(nj, "HOT_LEAST", 2)
     monkeypatch.setattr(nj, "MOST_HOT", 10)
-    rows = [(t, n) for t in range(100) for n in range(1 if t > 40 else 50 - t)]
-    hot = nj._hot(spark.createDataFrame(rows, "token long, node long"))
+    rows = [(b"%d" % n, [t for t in range(100) if n < (1 if t > 40 else 50 - t)]) for n in range(50)]
+    hot = nj._hot(spark.createDataFrame(rows * 3, "print binary, tokens array<long>"))
     assert hot is None or hot.count() <= 10
 
 
