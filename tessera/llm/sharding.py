@@ -5,8 +5,10 @@ Z_a x Z_b, the smallest near-square grid with a*b >= N, permutes the numbers; va
 walked on until they fall inside. Position v of the shuffle is slot v div S of shard v mod S, so shard and slot of a
 row follow from its number alone, and counts of shards differ by one at most (law ``rows``).
 
-Scale: only key, size and checksum are shuffled, once, by 4096 md5 buckets; bucket offsets are 4096 rows at any input
-size. No step sees a group of equal texts together: repeated rows are numbered apart by their keys.
+Scale: only key, size and checksum are shuffled, once, by 4096 md5 buckets. The rows of a key that has a large share of all
+rows (null above all) are cut out of their bucket and numbered in ranges of their first tie column. Offsets are a bounded
+number of rows at any input size. No step sees a group of equal texts together: repeated rows are numbered apart by their
+keys.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from tessera.llm.common import crc, utf8_bytes
 
 ROUNDS = 6
 BUCKET_DIGITS = 3
+#: a key is hot with more rows than this, and more than this share of all
+HOT_LEAST, MOST_HOT = 1 << 16, 64
+#: ranges of a hot key's rows
+PARTS = 256
 
 
 def grid(rows: int) -> tuple[int, int]:
@@ -62,17 +68,35 @@ def permute(df: DataFrame, number: str, rows: int, seed: int, target: str = "pos
     return df.withColumn(target, F.expr(walked))
 
 
-def numbered(df: DataFrame, key: str, ties: list[str], number: str = "row_number") -> DataFrame:
+def hot_keys(df: DataFrame, key: str, rows: int) -> list:
+    """Keys of more than HOT_LEAST rows and a MOST_HOT-th of all rows: fewer than MOST_HOT. Null counts as a key."""
+    least = max(HOT_LEAST, -(-rows // MOST_HOT))
+    return [r[0] for r in df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(key).collect()]
+
+
+def numbered(df: DataFrame, key: str, ties: list[str], number: str = "row_number", rows: int | None = None) -> DataFrame:
     """Adds the global row number: the rank by (md5 bucket of the key, key, ties). Rows equal in all of these get
-    different numbers in no particular order, as they can't be told apart."""
-    key_text = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    df = df.withColumn("_bucket", F.substring(F.md5(key_text.cast("binary")), 1, BUCKET_DIGITS))
-    counts = df.groupBy("_bucket").agg(F.count("*").alias("_rows"))
-    before = counts.select("_bucket", (F.sum("_rows").over(Window.orderBy("_bucket")) - F.col("_rows")).alias("_before"))
+    different numbers in no particular order, as they can't be told apart. The first of ``ties`` is a number from 0 to
+    2 ** 32 - 1, by which the rows of a hot key are cut into PARTS ranges; ``rows`` saves a count."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    bucket = lambda c: F.substring(F.md5(text(c).cast("binary")), 1, BUCKET_DIGITS)
+    kind = df.schema[key].dataType
+    df = df.withColumn("_bucket", bucket(F.col(key)))
+    segment = F.lit(0)
+    for k in sorted(hot_keys(df, key, df.count() if rows is None else rows), key=lambda k: (k is None, k)):
+        # 0 before the first hot key of the bucket, 1 for its rows, 2 between it and the next, and so on
+        value = F.lit(k).cast(kind)
+        after = F.when(F.col(key).eqNullSafe(value), 1).when(F.col(key).isNull() if k is not None else F.lit(False), 2).when(F.col(key) > value, 2).otherwise(0)
+        segment = segment + F.when(F.col("_bucket") == bucket(value), after).otherwise(0)
+    df = df.withColumn("_segment", segment)
+    df = df.withColumn("_part", F.when(F.col("_segment") % 2 == 1, F.expr(f"cast(`{ties[0]}` div {(1 << 32) // PARTS} as int)")).otherwise(0))
+    place = ["_bucket", "_segment", "_part"]
+    counts = df.groupBy(*place).agg(F.count("*").alias("_rows"))
+    before = counts.select(*place, (F.sum("_rows").over(Window.orderBy(*place)) - F.col("_rows")).alias("_before"))
     order = [F.col(key).asc_nulls_last(), *[F.col(t).asc_nulls_last() for t in ties]]
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    # at most 16^BUCKET_DIGITS rows at any input size
-    return df.withColumn("_inside", inside).join(F.broadcast(before), "_bucket").withColumn(number, F.col("_before") + F.col("_inside") - 1).drop("_bucket", "_inside", "_before")
+    inside = F.row_number().over(Window.partitionBy(*place).orderBy(*order))
+    # at most 16^BUCKET_DIGITS rows, and PARTS + 1 for each hot key
+    return df.withColumn("_inside", inside).join(F.broadcast(before), place).withColumn(number, F.col("_before") + F.col("_inside") - 1).drop(*place, "_inside", "_before")
 
 
 def shard(docs: DataFrame, shards: int = 24, seed: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,5 +109,5 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 1, key: str = "doc_id",
         raise ValueError("shards must be at least 1")
     rows = docs.count()
     slim = docs.select(F.col(key), (utf8_bytes(F.col(text)) + 8).alias("size"), crc(F.col(text)).alias("text_crc32"))
-    out = permute(numbered(slim, key, ["text_crc32", "size"], "_number"), "_number", rows, seed, "_position")
+    out = permute(numbered(slim, key, ["text_crc32", "size"], "_number", rows), "_number", rows, seed, "_position")
     return out.select(key, "size", "text_crc32", F.lit("rows").alias("law"), (F.col("_position") % shards).cast("int").alias("shard"), F.expr(f"_position div {shards}").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

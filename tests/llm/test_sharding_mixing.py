@@ -42,6 +42,23 @@ def test_shards_match_brute_force(spark):
     assert got == want
 
 
+def test_hot_keys_change_no_number(spark, monkeypatch):
+    """A third of the rows without a key, and two hot keys of one bucket: numbers as by one sort."""
+    bucket = lambda k: hashlib.md5(("" if k is None else str(k)).encode()).hexdigest()[:3]
+    first = 7
+    other = next(i for i in range(8, 100_000) if bucket(i) == bucket(first))
+    between = [i for i in range(other + 1, 200_000) if bucket(i) == bucket(first)][:2]
+    keys = [None] * 60 + [first] * 30 + [other] * 30 + between + list(range(50))
+    rows = [(k, (i * 2654435761) % (1 << 32), i % 5) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "doc_id long, crc long, size int")
+    want = [r[1:] for r in sorted((bucket(k), k is None, k or 0, c, s) for k, c, s in rows)]
+    get = lambda: [(r.doc_id is None, r.doc_id or 0, r.crc, r["size"]) for r in sorted(sharding.numbered(df, "doc_id", ["crc", "size"]).collect(), key=lambda r: r.row_number)]
+    assert get() == want
+    monkeypatch.setattr(sharding, "HOT_LEAST", 10)
+    monkeypatch.setattr(sharding, "MOST_HOT", 20)
+    assert set(sharding.hot_keys(df, "doc_id", len(rows))) == {None, first, other} and get() == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 50, 101])
 def test_permutation_is_a_bijection(spark, n):
     df = sharding.permute(spark.range(n), "id", n, seed=9)
