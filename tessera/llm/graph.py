@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,25 @@ from tessera.llm.common import stored
 from tessera.session import discard
 
 JUMPS = 3
+#: so few edges are solved in one task
+FEW = 1 << 14
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) -> (n, h): every node and the smallest that it reaches."""
+    columns = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+    if not columns:
+        return
+    ends = np.concatenate([np.stack(c) for c in columns], 1)
+    nodes, at = np.unique(ends, return_inverse=True)
+    a, b = at.reshape(ends.shape)
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["n", "h"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,14 +39,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round, every node hooks on to its smallest neighbour if that is smaller, hooks are followed a few steps, and
     the graph is contracted along them; rounds are logarithmic in practice. Minima are combined map-side, so a hub
-    costs one row for each task. Each round is written to the shared folder. Nulls are dropped, loops are kept as
+    costs one row for each task. Each round is written to the shared folder. When FEW edges are left, one task follows them to
+    the end. Nulls are dropped, loops are kept as
     nodes, repeated edges count once, no edge gives no row.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
     every = edges = stored(edges.distinct(), "edges")
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node"))
     rest = edges.where("a <> b")
-    while not rest.isEmpty():
+    while (left := rest.count()) > 0:
+        if left <= FEW:
+            hooks = stored(rest.coalesce(1).mapInArrow(_solved, "n long, h long"), "hooks")
+            before, labels = labels, stored(labels.join(hooks, F.col("component") == F.col("n"), "left").select("node", F.coalesce("h", "component").alias("component")), "labels")
+            discard(before, hooks, every)
+            return labels
         both = rest.union(rest.select("b", "a"))
         near = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("h")).select("n", F.least("n", "h").alias("h"))
         near = hooks = stored(near, "hooks")

@@ -159,13 +159,33 @@ def test_hot_tokens_are_bounded(spark, monkeypatch):
     assert hot is None or hot.count() <= 10
 
 
-def test_components_of_paths_hubs_and_loops(spark):
+@pytest.mark.parametrize("few", [0, 20, graph.FEW])
+def test_components_of_paths_hubs_and_loops(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 200), (None, 3), (301, 300), (300, 301)]
     got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, 200: 200, 300: 300, 301: 300}
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(-30, 30), st.integers(-30, 30)), min_size=1, max_size=60))
+def test_few_edges_are_solved(edges):
+    import pyarrow as pa
+
+    parts = [pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges[j : j + 7]]) for i in (0, 1)], names=["a", "b"]) for j in range(0, len(edges), 7)]
+    [found] = graph._solved(iter(parts))
+    got = dict(zip(found.column("n").to_pylist(), found.column("h").to_pylist(), strict=True))
+    near = {n: {n} for e in edges for n in e}
+    for _ in near:
+        for a, b in edges:
+            near[a] = near[b] = near[a] | near[b]
+    want = {n: min(m for m in near if near[m] & near[n]) for n in near}
+    for _ in near:
+        want = {n: want[want[n]] for n in want}
+    assert got == want
+
+
 def test_runs_across_batches():
     import pyarrow as pa
 
