@@ -11,7 +11,7 @@ from tessera.plans.registry import query
 
 _SEVEN = ", ".join(f"({s}, {d})" for s, d in sorted(taxonomy.mapping("seven").items()))
 _NONE = ", ".join(map(str, taxonomy.NO_DATA))
-_NAMES = ", ".join("({}, {}, '{}')".format(i, f"'{s}'" if s else "NULL", f) for i, s, f in (line.split("|") for line in taxonomy.NAMES.strip().split("\n")))
+_NAMES = ", ".join("({}, {}, '{}')".format(i, f"'{s}'" if s else "NULL", f) for i, s, f in taxonomy.NAMES)
 _MAP = f"seven(src, dst) AS (VALUES {_SEVEN})"
 
 
