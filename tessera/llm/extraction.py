@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import html
+import math
 import re
 import zlib
 from collections import Counter
@@ -261,8 +262,19 @@ def scan(page: str | None) -> Iterator[tuple[str, tuple[str, ...], int]]:
     yield from flush()
 
 
-def _row(name: str) -> int:
-    return _short_row(name) if len(name) <= 40 else zlib.crc32(name.encode("utf-8", "surrogatepass")) % ROWS
+class _Rows(dict):
+    """name or word -> its row; those that are not long are kept while there are not too many."""
+
+    def __missing__(self, name: str) -> int:
+        row = zlib.crc32(name.encode("utf-8", "surrogatepass")) % ROWS
+        if len(name) <= 40:
+            if len(self) >= 1 << 16:
+                self.clear()
+            self[name] = row
+        return row
+
+
+_row = _Rows().__getitem__
 
 
 def _path_rows(names: tuple[str, ...]) -> tuple[int, ...]:
@@ -274,14 +286,9 @@ def _short_path_rows(names: tuple[str, ...]) -> tuple[int, ...]:
     return tuple(_row(n) for n in names)
 
 
-@functools.lru_cache(1 << 15)
-def _short_row(name: str) -> int:
-    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % ROWS
-
-
 def _own_figures(text: str, tokens: list[str], linked: int) -> tuple:
-    marks = sum(text.count(c) for c in ".,;:!?")
-    return (1.0, np.log1p(len(text)) / 6, np.log1p(len(tokens)) / 5, linked / len(text), marks / max(1, len(tokens)), text[-1] in ".!?:\"»”")
+    marks = sum(map(text.count, ".,;:!?"))
+    return (1.0, math.log1p(len(text)) / 6, math.log1p(len(tokens)) / 5, linked / len(text), marks / max(1, len(tokens)), text[-1] in ".!?:\"»”")
 
 
 def _placed(own: list[tuple], digits: list[float]) -> np.ndarray:
@@ -293,7 +300,7 @@ def _placed(own: list[tuple], digits: list[float]) -> np.ndarray:
 
 
 def _digit_share(text: str) -> float:
-    return sum(map(text.count, "0123456789")) / len(text) if text.isascii() else sum(c.isdigit() for c in text) / len(text)
+    return sum(map(text.count, "0123456789")) / len(text) if text.isascii() else sum(map(str.isdigit, text)) / len(text)
 
 
 def encode(found: list[tuple[str, tuple[str, ...], int]]) -> tuple[list[tuple[int, ...]], list[np.ndarray], np.ndarray]:
@@ -302,7 +309,7 @@ def encode(found: list[tuple[str, tuple[str, ...], int]]) -> tuple[list[tuple[in
     for text, names, linked in found:
         tokens = text.lower().split()
         paths.append(_path_rows(names))
-        words.append(np.array([_row(w) for w in tokens], np.int64))
+        words.append(np.array(list(map(_row, tokens)), np.int64))
         own.append(_own_figures(text, tokens, linked))
     return paths, words, _placed(own, [_digit_share(text) for text, _, _ in found])
 
@@ -325,7 +332,7 @@ class Labeller:
         self.p |= {"out": draw(2 * HIDDEN + size, 1), "bias": np.zeros(1, np.float32)}
 
     def _path(self, rows: tuple[int, ...]) -> np.ndarray:
-        return self.p["path"][list(rows)].mean(0) if rows else np.zeros(PATH, np.float32)
+        return self.p["path"][list(rows)].sum(0) / len(rows) if rows else np.zeros(PATH, np.float32)
 
     def _words(self, rows: np.ndarray) -> np.ndarray:
         return self.p["word"][rows[self.known[rows]]].sum(0) / max(1, len(rows))
@@ -334,20 +341,27 @@ class Labeller:
         paths, words, figures = page
         return np.concatenate([np.stack([self._path(r) for r in paths]), np.stack([self._words(w) for w in words]), figures], 1)
 
-    def read(self, page: str | None) -> tuple[list[str], np.ndarray]:
-        """The texts of a page's blocks and their inputs, without keeping names and words of more than one block."""
-        texts, vectors, own = [], [], []
-        path, held = (), np.zeros(PATH, np.float32)
+    def read(self, page: str | None, paths: dict | None = None) -> tuple[list[str], np.ndarray]:
+        """The texts of a page's blocks and their inputs, without keeping names and words of more than one block. ``paths``
+        keeps the vectors of paths that are not long from page to page."""
+        texts, above, inside, own = [], [], [], []
+        paths = {} if paths is None else paths
         for text, names, linked in scan(page):
-            if names is not path:
-                path, held = names, self._path(_path_rows(names))
+            held = paths.get(names)
+            if held is None:
+                held = self._path(_path_rows(names))
+                if len(paths) >= 4096:
+                    paths.clear()
+                if len(names) <= 64:
+                    paths[names] = held
             tokens = text.lower().split()
-            vectors.append(np.concatenate([held, self._words(np.array([_row(w) for w in tokens], np.int64))]))
+            above.append(held)
+            inside.append(self._words(np.array(list(map(_row, tokens)), np.int64)))
             own.append(_own_figures(text, tokens, linked))
             texts.append(text)
         if not texts:
             return [], np.zeros((0, PATH + WORD + FIGURES), np.float32)
-        return texts, np.concatenate([np.stack(vectors), _placed(own, [_digit_share(t) for t in texts])], 1)
+        return texts, np.concatenate([np.stack(above), np.stack(inside), _placed(own, list(map(_digit_share, texts)))], 1)
 
     def _scan(self, d: str, x: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
         """x: time x pages x inputs. Hidden states of one direction; padding leaves the state as it is."""
@@ -628,7 +642,8 @@ def default_labeller(pages: int = PAGES, epochs: int = EPOCHS) -> Labeller:
 
 
 def main_text(pages: list[str | None], model: Labeller, least: float = 0.5) -> list[str]:
-    found = [model.read(p) for p in pages]
+    paths: dict = {}
+    found = [model.read(p, paths) for p in pages]
     marked = model.label([x for _, x in found])
     return ["\n\n".join(text for text, p in zip(texts, m, strict=True) if p >= least) for (texts, _), m in zip(found, marked, strict=True)]
 
