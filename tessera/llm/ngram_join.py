@@ -8,6 +8,8 @@ but a few tokens, so
 2. What a set shares is put in a second global order, rare tokens first. A set that shares fewer tokens than any
    partner needs has none; for the others a shorter prefix of the rare tokens must meet the partner's. Sets that meet
    are chained, and the components of the chains (blocks) can be joined apart from each other.
+   Blocks of more than ``BLOCK`` sets, which a common passage may chain, are divided once more in the same way by their
+   whole sets: a set shares t of all its tokens with any partner, so most sets that have but the passage in common go.
 3. Inside a block, the whole sets are stored in a prefix tree (path-compressed, tokens in order of falling frequency in
    the block). Each set walks the tree: overlaps along a path are counted once for all sets below it, and a subtree is
    left when its sizes, or the overlap so far with the most that can still follow, rule out t, or when all its sets are
@@ -15,9 +17,10 @@ but a few tokens, so
 
 Equal sets are one node from the start, whatever their number: only one row of each goes on. A token that very many sets
 have (found in a sample of the sets, which decides nothing but the way) is not shuffled by itself: it counts as frequent
-wherever it stands, and its sets are chained through one set for each class of sizes. Blocks of more than ``BLOCK`` sets are cut into shards that are joined inside and
-then with what is outside of the block's largest component, so no group has to fit into one task and a group of near
-copies is not met pair by pair. Links found make up the components.
+wherever it stands, and its sets are chained through one set for each class of sizes. Blocks that still have more than
+``BLOCK`` sets are cut into shards that are joined inside and then with what is outside of the block's largest component,
+so no group has to fit into one task and a group of near copies is not met pair by pair. Links found make up the
+components.
 
 Bounds hold for every pair: no partner, candidate or bucket is capped, and no text is cut.
 """
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
@@ -124,6 +127,16 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), tokens, batch.column(1), batch.column(2)], names=["id", "print", "n", "tokens", "text", "row"])
 
 
+def _whole(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, text) -> (node, tokens), all tokens of the set."""
+    cache = _WordHashes()
+    for batch in _small(batches):
+        sets = [shingle_set(text, cache, k) for text in batch.column(1).to_pylist()]
+        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets), pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), tokens], names=["node", "tokens"])
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (token, node) sorted by both -> (node, token, number of nodes) of tokens that two nodes or more have. Repeated
     rows count once. The rows of a token that FREQUENT nodes have go on as they come and all count FREQUENT."""
@@ -358,11 +371,15 @@ def _across_shards(members: DataFrame, links: DataFrame, block: int, k: int, num
     return links
 
 
+def _sampled(name: str) -> Column:
+    return F.pmod(F.xxhash64(name, F.lit(5)), F.lit(SAMPLED)) == 0
+
+
 def _hot(sets: DataFrame) -> DataFrame | None:
     """Tokens that very many sets (print, tokens) have, judged by the sets whose hash is a multiple of SAMPLED: at most
     MOST_HOT, as each takes a MOST_HOT-th of the sampled rows. Whether a token is among them changes the way and not the
     result."""
-    some = sets.where(F.pmod(F.xxhash64("print", F.lit(5)), F.lit(SAMPLED)) == 0)
+    some = sets.where(_sampled("print"))
     sample = some.groupBy("print").agg(F.first("tokens").alias("tokens")).select(F.explode("tokens").alias("token"))
     counts = stored(sample.groupBy("token").agg(F.count("*").alias("n")), "sample")
     least = max(HOT_LEAST, -(-(counts.agg(F.sum("n")).first()[0] or 0) // MOST_HOT))
@@ -384,28 +401,17 @@ def _through_hubs(rare: DataFrame, num: int, den: int) -> DataFrame:
     return inside.union(onward.join(F.broadcast(hubs), ["token", "cls"]).select("a", F.col("hub").alias("b")))
 
 
-def _grouped(docs: DataFrame, k: int, num: int, den: int, block: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (uid, id, print, n, text, row) of ``docs``, and (print, component_id, keeper) of every distinct set: the
-    smallest key of its component and the row that stands for it.
+def _blocks(tokens: DataFrame, nodes: DataFrame, hot: DataFrame | None, wanted: Column, block: int, num: int, den: int) -> DataFrame:
+    """(node, block, g, s): no link leaves a block, which is to be cut into ``g`` shards, and a node is in that with number s.
 
-    Rows are named by a number of their own, sets by 128 bits until they are named by one of their rows."""
-    rest = [c for c in docs.columns if c != text]
-    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
-    schema = StructType([StructField("id", LongType()), StructField("print", BinaryType()), StructField("n", LongType()), StructField("tokens", ArrayType(LongType())), StructField("text", StringType()), StructField("row", slim.schema["row"].dataType)])
-    made = stored(slim.mapInArrow(lambda it: trimmed(_sets(it, k, num, den)), schema).withColumn("uid", F.monotonically_increasing_id()), "sets")
-    # the row with the smallest key, rows without a key last, stands for a set; copies are combined before they are shuffled
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first")
-    sets = made.where("n > 0").groupBy("print")
-    nodes = stored(sets.agg(first, F.first("n").alias("n")).select(F.col("first.uid").alias("node"), F.col("first.id").alias("rep"), "print", "n"), "nodes")
-    tokens = sets.agg(first, F.first("tokens").alias("tokens")).select(F.explode("tokens").alias("token"), F.col("first.uid").alias("node"))
-    hot = _hot(made.where("n > 0"))
+    Rows of ``tokens`` (token, node) name some tokens of each set, of which it has ``wanted`` or more, a term of its size n,
+    in common with any partner; ``nodes`` has (node, n). Sets that can have no partner are in no block."""
     cold = tokens if hot is None else tokens.join(F.broadcast(hot), "token", "left_anti")
     shared = cold.repartition("token").sortWithinPartitions("token", "node").mapInArrow(lambda it: trimmed(_shared(it)), "node long, token long, df long")
     if hot is not None:
         shared = shared.union(tokens.join(F.broadcast(hot), "token", "left_semi").select("node", "token", F.lit(FREQUENT).cast("long")))
-    wanted = (F.floor(F.expr(f"(n * {num} + {den} - 1) div {den}") / 20) + 1).cast("int")
     lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
-    lists = lists.join(nodes.select("node", "n"), "node").withColumn("_need", wanted).where(F.size("list") >= F.col("_need"))
+    lists = lists.join(nodes.select("node", "n"), "node").withColumn("_need", wanted.cast("int")).where(F.size("list") >= F.col("_need"))
     prefix = F.slice("list", F.lit(1), F.size("list") - F.col("_need") + 1)
     rare = lists.select(F.explode(F.transform(prefix, lambda x: x["token"])).alias("token"), "n", "node")
     if hot is not None:
@@ -415,17 +421,52 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, block: int, key: str,
     if hot is not None:
         chains = chains.union(_through_hubs(rare.join(F.broadcast(hot), "token", "left_semi"), num, den))
     blocks = connected_components(chains).select("node", F.col("component").alias("block"))
+    discard(rare)
     sizes = blocks.groupBy("block").agg(F.count("*").alias("m"))
-    spread = blocks.join(sizes, "block").withColumn("g", F.ceil(F.col("m") / block).cast("int")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    return blocks.join(sizes, "block").select("node", "block", F.ceil(F.col("m") / block).cast("int").alias("g")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+
+
+def _divided(cut: DataFrame, nodes: DataFrame, block: int, k: int, num: int, den: int) -> DataFrame:
+    """Rows (block, g, s, node, text) of large blocks, divided by their whole sets into blocks of the same kind. What shares
+    too little with all others together to be linked goes."""
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.select("node", "text").mapInArrow(lambda it: trimmed(_whole(it, k)), "node long, tokens array<long>")
+
+    hot = _hot(whole(cut.where(_sampled("node"))).withColumnRenamed("node", "print"))
+    tokens = whole(cut).select(F.explode("tokens").alias("token"), "node")
+    finer = _blocks(tokens, nodes, hot, F.expr(f"(n * {num} + {den} - 1) div {den}"), block, num, den)
+    return cut.select("node", "text").join(finer.hint("merge"), "node").select("block", "g", "s", "node", "text")
+
+
+def _grouped(docs: DataFrame, k: int, num: int, den: int, block: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (uid, id, print, n, text, row) of ``docs``, and (print, component_id, keeper) of every distinct set: the
+    smallest key of its component and the row that stands for it.
+
+    Rows are named by a number of their own, sets by 128 bits until they are named by one of their rows."""
+    rest = [c for c in docs.columns if c != text]
+    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+    schema = StructType([StructField("id", LongType()), StructField("print", BinaryType()), StructField("n", LongType()), StructField("tokens", ArrayType(LongType())), StructField("text", StringType()), StructField("row", slim.schema["row"].dataType)])
+    made = stored(slim.mapInArrow(lambda it: trimmed(_sets(it, k, num, den)), schema).withColumn("uid", F.monotonically_increasing_id()), "sets")
+    # the row with the smallest key, rows without a key last, stands for a set; copies are combined before they are shuffled
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first")
+    sets = made.where("n > 0").groupBy("print")
+    nodes = stored(sets.agg(first, F.first("n").alias("n")).select(F.col("first.uid").alias("node"), F.col("first.id").alias("rep"), "print", "n"), "nodes")
+    tokens = sets.agg(first, F.first("tokens").alias("tokens")).select(F.explode("tokens").alias("token"), F.col("first.uid").alias("node"))
+    hot = _hot(made.where("n > 0"))
+    blocks = _blocks(tokens, nodes, hot, F.floor(F.expr(f"(n * {num} + {den} - 1) div {den}") / 20) + 1, block, num, den)
     # as it goes where there are many: texts by row, both sides shuffled
-    members = made.select(F.col("uid").alias("node"), "text").join(spread.hint("merge"), "node")
+    members = made.select(F.col("uid").alias("node"), "text").join(blocks.hint("merge"), "node")
     members = stored(members.select("block", "g", "s", "node", "text"), "members")
+    texts, cut = [members], members.where("g > 1")
+    if not cut.isEmpty():
+        finer = stored(_divided(cut, nodes, block, k, num, den), "members")
+        texts.append(finer)
+        members, cut = members.where("g = 1").union(finer), finer.where("g > 1")
     links = _links(members.withColumns({"i": F.col("s"), "j": F.lit(0), "known": F.lit(None).cast("long"), "walks": F.lit(True)}), k, num, den)
-    cut = members.where("g > 1")
     if not cut.isEmpty():
         links = _across_shards(cut, links, block, k, num, den)
     linked = stored(connected_components(links).join(nodes.select("node", "rep"), "node"), "linked")
-    discard(members)
+    discard(*texts)
     least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("least")
     named = linked.select("node", "component").join(linked.groupBy("component").agg(least).hint("merge"), "component")
     named = nodes.select("node", "rep", "print").join(named, "node", "left")

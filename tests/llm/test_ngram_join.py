@@ -217,3 +217,29 @@ def test_very_frequent_tokens_have_one_count(monkeypatch):
     rows = [pa.RecordBatch.from_arrays([pa.array(token[i : i + 3]), pa.array(node[i : i + 3])], names=["token", "node"]) for i in range(0, 33, 3)]
     got = [r for b in nj._shared(iter(rows)) for r in b.to_pylist()]
     assert {r["df"] for r in got if r["token"] == 1} == {8} and sorted(r["node"] for r in got) == list(range(33))
+
+
+def test_sets_with_a_common_passage_only_are_not_met_pair_by_pair(spark, monkeypatch):
+    """One passage chains all texts into one block, which is divided before it would be cut: no pair of shards is met
+    but for a group of near copies, and nothing is lost."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(20)) + " " + passage for _ in range(80)]
+    texts += [f"{t} end" for t in texts[:10]] + [f"{c} {passage}" for c in near_copies(rng, 12, 60, 2)]
+    across, shards = [], nj._across_shards
+    monkeypatch.setattr(nj, "_across_shards", lambda members, *rest: across.append(members.count()) or shards(members, *rest))
+    sets = {i: brute_set(t) for i, t in enumerate(texts)}
+    got = {r.doc_id: r.component_id for r in nj.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=8).collect()}
+    assert got == brute_components(sets)
+    assert sum(across) <= 12
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    from tessera.session import SHUFFLE_CLEANUP, checkpointed
+
+    shuffles = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    spark.sparkContext._jvm.System.gc()
+    made = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    before, setting = shuffles(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    assert checkpointed(made, "made").count() == 7
+    assert shuffles() <= before + 1 and spark.conf.get(SHUFFLE_CLEANUP, None) == setting
