@@ -8,8 +8,6 @@ but a few tokens, so
 2. What a set shares is put in a second global order, rare tokens first. A set that shares fewer tokens than any
    partner needs has none; for the others a shorter prefix of the rare tokens must meet the partner's. Sets that meet
    are chained, and the components of the chains (blocks) can be joined apart from each other.
-   Blocks of more than ``BLOCK`` sets, which a common passage may chain, are divided once more in the same way by their
-   whole sets: a set shares t of all its tokens with any partner, so most sets that have but the passage in common go.
 3. Inside a block, the whole sets are stored in a prefix tree (path-compressed, tokens in order of falling frequency in
    the block). Each set walks the tree: overlaps along a path are counted once for all sets below it, and a subtree is
    left when its sizes, or the overlap so far with the most that can still follow, rule out t, or when all its sets are
@@ -19,8 +17,10 @@ Equal sets are one node from the start, whatever their number: only one row of e
 have (found in a sample of the sets, which decides nothing but the way) is not shuffled by itself: it counts as frequent
 wherever it stands, and its sets are chained through one set for each class of sizes. Blocks that still have more than
 ``BLOCK`` sets are cut into shards that are joined inside and then with what is outside of the block's largest component,
-so no group has to fit into one task and a group of near copies is not met pair by pair. Links found make up the
-components.
+so no group has to fit into one task and a group of near copies is not met pair by pair. Where more than ``BLOCK`` sets
+are outside, as a common passage may chain what is not alike, the block is divided before that in the way of 2, by whole
+sets: a set shares t of all its tokens with any partner, so most of those that have but the passage in common go. Links
+found make up the components.
 
 Bounds hold for every pair: no partner, candidate or bucket is capped, and no text is cut.
 """
@@ -329,12 +329,17 @@ def _links(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return stored(made, "links")
 
 
-def _across_shards(members: DataFrame, links: DataFrame, block: int, k: int, num: int, den: int) -> DataFrame:
+def _in_shards(members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    return _links(members.withColumns({"i": F.col("s"), "j": F.lit(0), "known": F.lit(None).cast("long"), "walks": F.lit(True)}), k, num, den)
+
+
+def _across_shards(members: DataFrame, links: DataFrame, block: int, k: int, num: int, den: int, nodes: DataFrame | None = None) -> DataFrame:
     """All links of blocks that were cut into shards, given those inside of the shards.
 
     The largest components of a block's shards are linked through a few sets of each. Then only sets outside of the
     block's largest component are still looked at: they go, in parts, to every shard. In a group of near copies these are
-    few, so the work grows with the group and not with its square; where they are many, all pairs of shards are met."""
+    few, so the work grows with the group and not with its square. Where they are more than ``block``, the block is divided
+    by its whole sets, given the sizes of ``nodes``; where they are that many in a divided one, all pairs of shards are met."""
     def labelled(links: DataFrame) -> DataFrame:
         found = connected_components(links)
         return members.join(found, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
@@ -359,7 +364,14 @@ def _across_shards(members: DataFrame, links: DataFrame, block: int, k: int, num
     main = largest(two, ["block"], "_main").join(shards, "block")
     marked = two.join(main, ["block", "s"]).withColumn("walks", F.col("known") != F.col("_main"))
     parts = marked.where("walks").groupBy("block").agg(F.ceil(F.count("*") / block).cast("int").alias("_parts")).join(shards, "block")
-    marked = stored(marked.join(parts, ["block", "s"]), "marked")
+    made = marked = stored(marked.join(parts, ["block", "s"]), "marked")
+    many = marked.where("_parts > 1")
+    if nodes is not None and not many.isEmpty():
+        finer = stored(_divided(many, nodes, block, k, num, den), "members")
+        within, again = _in_shards(finer, k, num, den), finer.where("g > 1")
+        links = links.union(within if again.isEmpty() else _across_shards(again, within, block, k, num, den))
+        discard(finer)
+        marked = marked.where("_parts = 1")
     shard = marked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("i", F.col("s"))
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("_parts")).cast("int")
     guests = marked.where("walks").withColumn("j", part).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
@@ -367,7 +379,7 @@ def _across_shards(members: DataFrame, links: DataFrame, block: int, k: int, num
     same = F.col("walks") & (part == F.col("j"))
     rows = shard.withColumn("walks", same).where(~F.col("walks")).select("block", "i", "j", "node", "known", "walks", "text").union(guests.select("block", "i", "j", "node", "known", "walks", "text"))
     links = links.union(_links(rows, k, num, den))
-    discard(marked)
+    discard(made)
     return links
 
 
@@ -457,16 +469,12 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, block: int, key: str,
     # as it goes where there are many: texts by row, both sides shuffled
     members = made.select(F.col("uid").alias("node"), "text").join(blocks.hint("merge"), "node")
     members = stored(members.select("block", "g", "s", "node", "text"), "members")
-    texts, cut = [members], members.where("g > 1")
-    if not cut.isEmpty():
-        finer = stored(_divided(cut, nodes, block, k, num, den), "members")
-        texts.append(finer)
-        members, cut = members.where("g = 1").union(finer), finer.where("g > 1")
-    links = _links(members.withColumns({"i": F.col("s"), "j": F.lit(0), "known": F.lit(None).cast("long"), "walks": F.lit(True)}), k, num, den)
+    links = _in_shards(members, k, num, den)
+    cut = members.where("g > 1")
     if not cut.isEmpty():
-        links = _across_shards(cut, links, block, k, num, den)
+        links = _across_shards(cut, links, block, k, num, den, nodes)
     linked = stored(connected_components(links).join(nodes.select("node", "rep"), "node"), "linked")
-    discard(*texts)
+    discard(members)
     least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("least")
     named = linked.select("node", "component").join(linked.groupBy("component").agg(least).hint("merge"), "component")
     named = nodes.select("node", "rep", "print").join(named, "node", "left")
