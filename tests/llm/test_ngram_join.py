@@ -242,3 +242,14 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     before, setting = shuffles(), spark.conf.get(SHUFFLE_CLEANUP, None)
     assert checkpointed(made, "made").count() == 7
     assert shuffles() <= before + 1 and spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+
+
+def test_one_of_each_of_texts_with_a_common_passage(spark, monkeypatch):
+    """As the pipeline's stage takes them: texts that a passage chains don't all go to every shard, and all stay."""
+    rng = random.Random(10)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(20)) + " " + passage for _ in range(80)]
+    met, links = [], nj._links
+    monkeypatch.setattr(nj, "_links", lambda rows, *rest: met.append(rows.count()) or links(rows, *rest))
+    kept = nj.one_of_each(spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string"), block=8)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(80)) and sum(met) <= 5 * len(texts)
