@@ -4,7 +4,8 @@ A document's set is its distinct 5-word shingles, as 64-bit hashes. Two sets of
 but a few tokens, so
 
 1. in one global order (of hashes), both hold their first ``need(n)`` common tokens within their first ``reach(n)``
-   tokens. Only these are shuffled, once, by token; tokens that one set alone has vanish there.
+   tokens. Only these are shuffled, once, by token; tokens that one set alone has vanish there. Short sets have to meet
+   in more of their tokens, so a passage that many short texts end with does not chain them.
 2. What a set shares is put in a second global order, rare tokens first. A set that shares fewer tokens than any
    partner needs has none; for the others a shorter prefix of the rare tokens must meet the partner's. Sets that meet
    are chained, and the components of the chains (blocks) can be joined apart from each other.
@@ -14,7 +15,7 @@ but a few tokens, so
    already in the walker's component. Overlaps at the ends are exact.
 
 Equal sets are one node from the start, whatever their number: only one row of each goes on. A token that very many sets
-have (found in a sample of the sets, which decides nothing but the way) is not shuffled by itself: it counts as frequent
+have (found in a sample of the sets, which decides nothing but the way) is dealt by token and set: it counts as frequent
 wherever it stands, and its sets are chained through one set for each class of sizes. Blocks that still have more than
 ``BLOCK`` sets are cut into shards that are joined inside and then with what is outside of the block's largest component,
 so no group has to fit into one task and a group of near copies is not met pair by pair. Where more than ``BLOCK`` sets
@@ -23,6 +24,9 @@ sets: a set shares t of all its tokens with any partner, so most of those that h
 found make up the components.
 
 Bounds hold for every pair: no partner, candidate or bucket is capped, and no text is cut.
+
+Rows with their texts are stored once and not shuffled where it can be helped: which of them are copies, stand in a block
+or go is told by bits that are broadcast, and only rows with their bit set are joined by row.
 """
 
 from __future__ import annotations
@@ -46,9 +50,15 @@ SHINGLE = 5
 T_NUM, T_DEN = 80, 100
 #: sets of one tree
 BLOCK = 1500
+#: common tokens that short sets are asked for
+MANY = 24
 #: a token's count of sets is known up to here; above, all are equally frequent
 FREQUENT = 1 << 20
-#: a token that stands in one of so many sampled sets, and in this share of all sampled rows, is not shuffled by itself
+#: stands for the count of a hot token
+HOT = 1 << 40
+#: words of 64 bits that are broadcast at most
+BIT_WORDS = 1 << 20
+#: a token that stands in one of so many sampled sets, and in this share of all sampled rows, is hot: not in one task
 SAMPLED, HOT_LEAST, MOST_HOT = 64, 64, 10_000
 #: sets that stand for the largest component of a shard
 ENVOYS = 8
@@ -91,13 +101,20 @@ def shingle_set(text: str | None, cache: dict, k: int = SHINGLE) -> np.ndarray:
 
 
 def need(n, num: int = T_NUM, den: int = T_DEN):
-    """Common tokens to look for: one of a larger set's tokens in twenty, and one."""
-    return n // 20 + 1
+    """Common tokens to look for: half of a set's tokens up to MANY, of a larger set one in twenty, and one. It never falls
+    as n grows and is no more than a set of n has in common with any partner."""
+    return min(max(n // 20 + 1, min(-(-n // 2), MANY)), -(-num * n // den))
+
+
+def _fewest(n: str, num: int, den: int) -> Column:
+    """need() of the smallest partner that a set of n may have."""
+    m = f"(({n} * {num} + {den} - 1) div {den})"
+    return F.expr(f"least(greatest({m} div 20 + 1, least(({m} + 1) div 2, {MANY})), ({m} * {num} + {den} - 1) div {den})")
 
 
 def reach(n: int, num: int = T_NUM, den: int = T_DEN) -> int:
     """Tokens within which a set of n has its first need(n) common ones with any partner."""
-    return min(n, n - -(-num * n // den) + need(n))
+    return min(n, n - -(-num * n // den) + need(n, num, den))
 
 
 def needed_overlap(n: int, m: int, num: int = T_NUM, den: int = T_DEN) -> int:
@@ -139,7 +156,8 @@ def _whole(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (token, node) sorted by both -> (node, token, number of nodes) of tokens that two nodes or more have. Repeated
-    rows count once. The rows of a token that FREQUENT nodes have go on as they come and all count FREQUENT."""
+    rows count once. The rows of a token that FREQUENT nodes have go on as they come and all count FREQUENT. A third column
+    is set in the rows of hot tokens, which may stand elsewhere too: they go on and count HOT."""
     last, over = None, None
     token = node = np.empty(0, np.int64)
 
@@ -151,7 +169,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(node[:stop][found]), pa.array(token[:stop][found]), pa.array(each[found])], names=["node", "token", "df"])
 
     for batch in batches:
-        t, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        t, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+        if batch.num_columns > 2 and batch.column(2).null_count < batch.num_rows:
+            hot = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(n[hot]), pa.array(t[hot]), pa.array([HOT] * int(hot.sum()), pa.int64())], names=["node", "token", "df"])
+            t, n = t[~hot], n[~hot]
         if not len(t):
             continue
         fresh = np.r_[last != (t[0], n[0]), (t[1:] != t[:-1]) | (n[1:] != n[:-1])]
@@ -418,20 +440,21 @@ def _blocks(tokens: DataFrame, nodes: DataFrame, hot: DataFrame | None, wanted:
 
     Rows of ``tokens`` (token, node) name some tokens of each set, of which it has ``wanted`` or more, a term of its size n,
     in common with any partner; ``nodes`` has (node, n). Sets that can have no partner are in no block."""
-    cold = tokens if hot is None else tokens.join(F.broadcast(hot), "token", "left_anti")
-    shared = cold.repartition("token").sortWithinPartitions("token", "node").mapInArrow(lambda it: trimmed(_shared(it)), "node long, token long, df long")
+    dealt = [F.col("token")]
     if hot is not None:
-        shared = shared.union(tokens.join(F.broadcast(hot), "token", "left_semi").select("node", "token", F.lit(FREQUENT).cast("long")))
+        tokens = tokens.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "token", "left").select("token", "node", "hot")
+        dealt.append(F.when(F.col("hot"), F.col("node")))
+    shared = tokens.repartition(*dealt).sortWithinPartitions("token", "node").mapInArrow(lambda it: trimmed(_shared(it)), "node long, token long, df long")
     lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
     lists = lists.join(nodes.select("node", "n"), "node").withColumn("_need", wanted.cast("int")).where(F.size("list") >= F.col("_need"))
     prefix = F.slice("list", F.lit(1), F.size("list") - F.col("_need") + 1)
-    rare = lists.select(F.explode(F.transform(prefix, lambda x: x["token"])).alias("token"), "n", "node")
+    rare = lists.select(F.explode(prefix).alias("x"), "n", "node").select("x.token", "x.df", "n", "node")
     if hot is not None:
         rare = stored(rare, "rare")
-    alone = rare if hot is None else rare.join(F.broadcast(hot), "token", "left_anti")
+    alone = rare.where(F.col("df") != HOT).select("token", "n", "node")
     chains = alone.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(lambda it: trimmed(_chains(it, num, den)), "a long, b long")
     if hot is not None:
-        chains = chains.union(_through_hubs(rare.join(F.broadcast(hot), "token", "left_semi"), num, den))
+        chains = chains.union(_through_hubs(rare.where(F.col("df") == HOT).select("token", "n", "node"), num, den))
     blocks = connected_components(chains).select("node", F.col("component").alias("block"))
     discard(rare)
     sizes = blocks.groupBy("block").agg(F.count("*").alias("m"))
@@ -450,6 +473,21 @@ def _divided(cut: DataFrame, nodes: DataFrame, block: int, k: int, num: int, den
     return cut.select("node", "text").join(finer.hint("merge"), "node").select("block", "g", "s", "node", "text")
 
 
+def _bits(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """``rows`` (uid, ...) with ``_hit``: false only where the uid is not in ``of`` (uid). Nothing is shuffled but ``of``: at
+    most BIT_WORDS words of bits are broadcast. Up to about that many words nearly all other rows have false."""
+    word, bit = F.pmod(F.xxhash64(F.shiftright("uid", 6)), F.lit(BIT_WORDS)), F.expr("cast(uid & 63 as int)")
+    words = of.select(word.alias("_word"), F.expr("shiftleft(1L, cast(uid & 63 as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    hit = F.coalesce(F.getbit("_bits", bit) == 1, F.lit(False))
+    return rows.withColumn("_word", word).join(F.broadcast(words), "_word", "left").withColumn("_hit", hit).drop("_word", "_bits")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` (uid, ...) whose uid is not in ``gone`` (uid): only those that may be are shuffled."""
+    marked = _bits(rows, gone)
+    return marked.where(~F.col("_hit")).unionAll(marked.where("_hit").join(gone.hint("merge"), "uid", "left_anti").select(*marked.columns)).drop("_hit")
+
+
 def _grouped(docs: DataFrame, k: int, num: int, den: int, block: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Rows (uid, id, print, n, text, row) of ``docs``, and (print, component_id, keeper) of every distinct set: the
     smallest key of its component and the row that stands for it.
@@ -463,12 +501,16 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, block: int, key: str,
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first")
     sets = made.where("n > 0").groupBy("print")
     nodes = stored(sets.agg(first, F.first("n").alias("n")).select(F.col("first.uid").alias("node"), F.col("first.id").alias("rep"), "print", "n"), "nodes")
-    tokens = sets.agg(first, F.first("tokens").alias("tokens")).select(F.explode("tokens").alias("token"), F.col("first.uid").alias("node"))
+    # tokens of copies don't go on
+    uids = made.where("n > 0").select("uid")
+    copies = stored(uids.join(nodes.select(F.col("node").alias("uid")), "uid", "left_anti"), "copies")
+    tokens = _without(made.where("n > 0").select("uid", "tokens"), copies).select(F.explode("tokens").alias("token"), F.col("uid").alias("node"))
     hot = _hot(made.where("n > 0"))
-    blocks = _blocks(tokens, nodes, hot, F.floor(F.expr(f"(n * {num} + {den} - 1) div {den}") / 20) + 1, block, num, den)
+    blocks = stored(_blocks(tokens, nodes, hot, _fewest("n", num, den), block, num, den), "blocks")
     # as it goes where there are many: texts by row, both sides shuffled
-    members = made.select(F.col("uid").alias("node"), "text").join(blocks.hint("merge"), "node")
-    members = stored(members.select("block", "g", "s", "node", "text"), "members")
+    members = _bits(made.select("uid", "text"), blocks.select(F.col("node").alias("uid"))).where("_hit").select(F.col("uid").alias("node"), "text")
+    members = stored(members.join(blocks.hint("merge"), "node").select("block", "g", "s", "node", "text"), "members")
+    discard(copies, blocks)
     links = _in_shards(members, k, num, den)
     cut = members.where("g > 1")
     if not cut.isEmpty():

@@ -67,11 +67,12 @@ def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
 
 def checkpointed(df: DataFrame, name: str = "cut") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cut off from its lineage and from what the optimiser
-    knows of it, which would grow from round to round; it survives lost executors."""
+    knows of it, which would grow from round to round; it survives lost executors. It is written with zstd: such tables hold
+    whole inputs, and disk runs out before processors do."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     with _shuffles_removed(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_folder = path
     return out

@@ -253,3 +253,51 @@ def test_one_of_each_of_texts_with_a_common_passage(spark, monkeypatch):
     monkeypatch.setattr(nj, "_links", lambda rows, *rest: met.append(rows.count()) or links(rows, *rest))
     kept = nj.one_of_each(spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string"), block=8)
     assert sorted(r.doc_id for r in kept.collect()) == list(range(80)) and sum(met) <= 5 * len(texts)
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (1, 1), (3, 10), (1, 50)])
+def test_need_of_the_smallest_partner(spark, num, den):
+    """The column form equals the function; needs never fall and ask for no more than any partner shares."""
+    sizes = range(1, 1200)
+    got = {r.n: r.w for r in spark.createDataFrame([(n,) for n in sizes], "n long").select("n", nj._fewest("n", num, den).alias("w")).collect()}
+    assert got == {n: nj.need(-(-num * n // den), num, den) for n in sizes}
+    needs = [nj.need(n, num, den) for n in sizes]
+    assert needs == sorted(needs) and all(1 <= w <= -(-num * n // den) for n, w in zip(sizes, needs, strict=True))
+
+
+def test_a_passage_does_not_chain_short_texts(spark, monkeypatch):
+    """Texts that share 30 % with all others meet nobody; near copies among them do."""
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(60)) + " " + passage for _ in range(150)]
+    texts += [f"{t} end" for t in texts[:5]]
+    met, links = [], nj._links
+    monkeypatch.setattr(nj, "_links", lambda rows, *rest: met.append(rows.count()) or links(rows, *rest))
+    got = {r.doc_id: r.component_id for r in nj.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i if i < 150 else i - 150 for i in range(155)} and sum(met) <= 15
+
+
+def test_tokens_are_made_and_marked_once(spark, hard, monkeypatch):
+    """Hot tokens are told apart by one join of all tokens, whose rows grow with the tokens; nothing joins them again."""
+    monkeypatch.setattr(nj, "SAMPLED", 1)
+    monkeypatch.setattr(nj, "HOT_LEAST", 20)
+    plans, stored = [], nj.stored
+    monkeypatch.setattr(nj, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or stored(df, name))
+    sets = {i: brute_set(t) for i, t in hard}
+    got = {r.doc_id: r.component_id for r in nj.join(spark.createDataFrame(hard, "doc_id long, text string")).collect()}
+    assert got == brute_components(sets) and {"hot", "rare", "hubs"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if re.search("Join LeftSemi", plan)]
+
+
+@pytest.mark.parametrize("bit_words", [1, 3, 1 << 20])
+def test_rows_without_others(spark, monkeypatch, bit_words):
+    """However few the words of bits are; with enough of them only what is named is joined."""
+    monkeypatch.setattr(nj, "BIT_WORDS", bit_words)
+    uids = [p * (1 << 33) + i for p in range(4) for i in range(150)]
+    gone = [u for u in uids if u % 7 == 3 or u % (1 << 33) == 63]
+    rows = spark.createDataFrame([(u, f"t{u}") for u in uids], "uid long, text string")
+    of = spark.createDataFrame([(u,) for u in gone], "uid long")
+    assert sorted(r.uid for r in nj._without(rows, of).collect()) == sorted(set(uids) - set(gone))
+    assert nj._without(rows, of).columns == rows.columns and nj._without(rows, of.limit(0)).count() == len(uids)
+    hits = {r.uid for r in nj._bits(rows, of).where("_hit").collect()}
+    assert hits >= set(gone) and (bit_words < 4 or hits == set(gone))
