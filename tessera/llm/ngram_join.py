@@ -539,5 +539,6 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, num: int = T_NUM, den: int =
     """One row, all columns, of each component of ``docs``: the one with the smallest key (a row without a key only where
     none has one; of rows equal in key and text, any one). Texts without words are copies of nothing and all stay."""
     made, named = _grouped(docs, k, num, den, block, key, text)
-    kept = made.where("n > 0").join(named.select(F.col("keeper").alias("uid")), "uid", "left_semi").unionByName(made.where("n = 0"))
+    gone = stored(made.where("n > 0").select("uid").join(named.select(F.col("keeper").alias("uid")), "uid", "left_anti"), "gone")
+    kept = _without(made.select("uid", "text", "row"), gone)
     return kept.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -301,3 +301,26 @@ def test_rows_without_others(spark, monkeypatch, bit_words):
     assert nj._without(rows, of).columns == rows.columns and nj._without(rows, of.limit(0)).count() == len(uids)
     hits = {r.uid for r in nj._bits(rows, of).where("_hit").collect()}
     assert hits >= set(gone) and (bit_words < 4 or hits == set(gone))
+
+
+def test_kept_texts_are_not_shuffled(spark):
+    """Of the rows of one_of_each only those that go, or may, are joined by row, where sides are too large to be broadcast."""
+    sc, threshold = spark.sparkContext, "spark.sql.autoBroadcastJoinThreshold"
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    rng = random.Random(13)
+    texts = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(1000)) for _ in range(60)]
+    rows = [*enumerate(texts), (60, texts[0]), (61, texts[1] + " end"), (62, ""), (63, None)]
+    default = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        kept = nj.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+        before = shuffled()
+        assert sorted(r.doc_id for r in kept.collect()) == [*range(60), 62, 63]
+    finally:
+        spark.conf.set(threshold, default)
+    assert sum(n for i, n in shuffled().items() if i not in before) < sum(map(len, texts)) / 10
