@@ -4,8 +4,10 @@ A document's set is its distinct 5-word shingles, as 64-bit hashes. Two sets of
 but a few tokens, so
 
 1. in one global order (of hashes), both hold their first ``need(n)`` common tokens within their first ``reach(n)``
-   tokens. Only these are shuffled, once, by token; tokens that one set alone has vanish there. Short sets have to meet
-   in more of their tokens, so a passage that many short texts end with does not chain them.
+   tokens. Only these are shuffled, once, by token; tokens that one set alone has vanish there. Where sets are many, a
+   part of all tokens is shuffled after the other, so that disk has to hold one part's shuffle and what was shared in
+   the parts before. Short sets have to meet in more of their tokens, so a passage that many short texts end with does
+   not chain them.
 2. What a set shares is put in a second global order, rare tokens first. A set that shares fewer tokens than any
    partner needs has none; for the others a shorter prefix of the rare tokens must meet the partner's. Sets that meet
    are chained, and the components of the chains (blocks) can be joined apart from each other.
@@ -31,6 +33,7 @@ or go is told by bits that are broadcast, and only rows with their bit set are j
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -60,6 +63,8 @@ HOT = 1 << 40
 BIT_WORDS = 1 << 20
 #: a token that stands in one of so many sampled sets, and in this share of all sampled rows, is hot: not in one task
 SAMPLED, HOT_LEAST, MOST_HOT = 64, 64, 10_000
+#: tokens are shuffled in so many parts at most, one after the other, one for each SETS_A_PART sets
+PARTS, SETS_A_PART = 3, 1 << 16
 #: sets that stand for the largest component of a shard
 ENVOYS = 8
 #: shards whose envoys meet in one tree
@@ -435,28 +440,33 @@ def _through_hubs(rare: DataFrame, num: int, den: int) -> DataFrame:
     return inside.union(onward.join(F.broadcast(hubs), ["token", "cls"]).select("a", F.col("hub").alias("b")))
 
 
-def _blocks(tokens: DataFrame, nodes: DataFrame, hot: DataFrame | None, wanted: Column, block: int, num: int, den: int) -> DataFrame:
+def _blocks(tokens: list[DataFrame], nodes: DataFrame, hot: DataFrame | None, wanted: Column, block: int, num: int, den: int) -> DataFrame:
     """(node, block, g, s): no link leaves a block, which is to be cut into ``g`` shards, and a node is in that with number s.
 
     Rows of ``tokens`` (token, node) name some tokens of each set, of which it has ``wanted`` or more, a term of its size n,
-    in common with any partner; ``nodes`` has (node, n). Sets that can have no partner are in no block."""
+    in common with any partner; ``nodes`` has (node, n). Sets that can have no partner are in no block. Parts of
+    ``tokens`` are shuffled one after the other; each has all rows of its tokens."""
     dealt = [F.col("token")]
     if hot is not None:
-        tokens = tokens.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "token", "left").select("token", "node", "hot")
+        tokens = [part.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "token", "left").select("token", "node", "hot") for part in tokens]
         dealt.append(F.when(F.col("hot"), F.col("node")))
-    shared = tokens.repartition(*dealt).sortWithinPartitions("token", "node").mapInArrow(lambda it: trimmed(_shared(it)), "node long, token long, df long")
+    made = [part.repartition(*dealt).sortWithinPartitions("token", "node").mapInArrow(lambda it: trimmed(_shared(it)), "node long, token long, df long") for part in tokens]
+    if len(made) > 1:
+        made = [stored(part, "shared") for part in made]
+    shared = functools.reduce(DataFrame.unionAll, made)
     lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
     lists = lists.join(nodes.select("node", "n"), "node").withColumn("_need", wanted.cast("int")).where(F.size("list") >= F.col("_need"))
     prefix = F.slice("list", F.lit(1), F.size("list") - F.col("_need") + 1)
     rare = lists.select(F.explode(prefix).alias("x"), "n", "node").select("x.token", "x.df", "n", "node")
     if hot is not None:
         rare = stored(rare, "rare")
+        discard(*made)
     alone = rare.where(F.col("df") != HOT).select("token", "n", "node")
     chains = alone.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(lambda it: trimmed(_chains(it, num, den)), "a long, b long")
     if hot is not None:
         chains = chains.union(_through_hubs(rare.where(F.col("df") == HOT).select("token", "n", "node"), num, den))
     blocks = connected_components(chains).select("node", F.col("component").alias("block"))
-    discard(rare)
+    discard(rare, *made)
     sizes = blocks.groupBy("block").agg(F.count("*").alias("m"))
     return blocks.join(sizes, "block").select("node", "block", F.ceil(F.col("m") / block).cast("int").alias("g")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
 
@@ -469,7 +479,7 @@ def _divided(cut: DataFrame, nodes: DataFrame, block: int, k: int, num: int, den
 
     hot = _hot(whole(cut.where(_sampled("node"))).withColumnRenamed("node", "print"))
     tokens = whole(cut).select(F.explode("tokens").alias("token"), "node")
-    finer = _blocks(tokens, nodes, hot, F.expr(f"(n * {num} + {den} - 1) div {den}"), block, num, den)
+    finer = _blocks([tokens], nodes, hot, F.expr(f"(n * {num} + {den} - 1) div {den}"), block, num, den)
     return cut.select("node", "text").join(finer.hint("merge"), "node").select("block", "g", "s", "node", "text")
 
 
@@ -504,7 +514,10 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, block: int, key: str,
     # tokens of copies don't go on
     uids = made.where("n > 0").select("uid")
     copies = stored(uids.join(nodes.select(F.col("node").alias("uid")), "uid", "left_anti"), "copies")
-    tokens = _without(made.where("n > 0").select("uid", "tokens"), copies).select(F.explode("tokens").alias("token"), F.col("uid").alias("node"))
+    distinct = _without(made.where("n > 0").select("uid", "tokens"), copies)
+    parts = min(PARTS, max(1, -(-nodes.count() // SETS_A_PART)))
+    arrays = [F.filter("tokens", lambda t: F.pmod(t, F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [F.col("tokens")]
+    tokens = [distinct.select(F.explode(array).alias("token"), F.col("uid").alias("node")) for array in arrays]
     hot = _hot(made.where("n > 0"))
     blocks = stored(_blocks(tokens, nodes, hot, _fewest("n", num, den), block, num, den), "blocks")
     # as it goes where there are many: texts by row, both sides shuffled

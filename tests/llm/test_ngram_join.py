@@ -324,3 +324,29 @@ def test_kept_texts_are_not_shuffled(spark):
     finally:
         spark.conf.set(threshold, default)
     assert sum(n for i, n in shuffled().items() if i not in before) < sum(map(len, texts)) / 10
+
+
+def test_tokens_are_shuffled_in_parts(spark, hard, monkeypatch):
+    """Where sets are many no shuffle has all tokens, what is shared is told by part, and the links are the same."""
+    monkeypatch.setattr(nj, "SETS_A_PART", 16, raising=False)
+    sc, made, stored = spark.sparkContext, [], nj.stored
+
+    def kept(df, name):
+        out = stored(df, name)
+        if name == "shared":
+            made.append({r.token for r in out.select("token").distinct().collect()})
+        return out
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    monkeypatch.setattr(nj, "stored", kept)
+    sets = {i: brute_set(t) for i, t in hard}
+    before = shuffled()
+    got = {r.doc_id: r.component_id for r in nj.join(spark.createDataFrame(hard, "doc_id long, text string")).collect()}
+    assert got == brute_components(sets)
+    tokens = sum(min(len(s), nj.reach(len(s))) for s in {frozenset(s) for s in sets.values()})
+    assert max(n for i, n in shuffled().items() if i not in before) < tokens / 2
+    assert len(made) == nj.PARTS and all(made) and sum(map(len, made)) == len(set.union(*made))
